@@ -43,6 +43,11 @@ SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_suppkey AS STRING),
   CASE l_linenumber % 4 WHEN 0 THEN 'minute_sheet' WHEN 1 THEN 'invoice' WHEN 2 THEN 'credit_note' ELSE NULL END AS document_type
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey""",
 
+    "v_invoice": """
+SELECT invoice_id, company_id, type, status, 'transactional' AS transaction_status, extraction_source, CAST(NULL AS STRING) AS vendor_name, customer_name, invoice_date, created_at, total FROM v_sales
+UNION ALL
+SELECT invoice_id, company_id, type, status, transaction_status, 'ocr' AS extraction_source, vendor_name, CAST(NULL AS STRING) AS customer_name, invoice_date, created_at, total FROM v_purchase""",
+
     "v_expense": """
 SELECT md5(concat_ws('|', 'E', CAST(l_orderkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING))) AS expense_id,
   s_nationkey % 5 AS company_id,
