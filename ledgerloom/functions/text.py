@@ -116,7 +116,7 @@ _MONTHS = {name[:width]: number for number, name in enumerate(MONTH_NAMES, 1) fo
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     pad = lambda part: F.lpad(part.cast("string"), 2, "0")
-    iso = F.concat_ws("-", year.cast("string"), pad(month), pad(day))
+    iso = F.concat(year.cast("string"), F.lit("-"), pad(month), F.lit("-"), pad(day))
     return F.when(year.cast("string") != "0000", iso.try_cast("date"))
 
 
