@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ledger_queries", "text_queries", "feed_queries", "change_queries")
+MODULES = ("ledger_queries", "text_queries", "feed_queries", "change_queries", "stream_queries", "document_queries")
 
 
 def load() -> None:
