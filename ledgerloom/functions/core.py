@@ -47,13 +47,17 @@ def present(text: ColumnLike) -> Column:
     return F.when(c(text) != "", c(text))
 
 
+#: What counts as white space at the ends of a printed value.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2002\u2003\u2009\u202f\u3000"
+
+
 def strip_chars(text: ColumnLike, chars: str) -> Column:
-    """Strip any of ``chars`` (a regex character class body) from both ends."""
-    return F.regexp_replace(c(text), f"^[{chars}]+|[{chars}]+$", "")
+    """Strip any of the given characters from both ends."""
+    return F.btrim(c(text), F.lit(chars))
 
 
 def strip(text: ColumnLike) -> Column:
-    return strip_chars(text, r"\s")
+    return strip_chars(text, WHITESPACE)
 
 
 def collapse_spaces(text: ColumnLike) -> Column:

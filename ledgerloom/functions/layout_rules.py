@@ -69,7 +69,7 @@ _STOP = (SEP + "(?:" + "|".join(
 
 
 def clean_word(word: Column) -> Column:
-    return strip_chars(F.lower(word), r":\-.\t")
+    return strip_chars(F.lower(word), ":-.\t")
 
 
 def key_string(words: Column) -> Column:
@@ -114,7 +114,7 @@ def _cut_at_label(words: Column, key: Column) -> Column:
 
 
 def value_text(words: Column) -> Column:
-    return strip_chars(line_text(words), r" :#\-\t")
+    return strip_chars(line_text(words), " :#-\t")
 
 
 # -------------------------------------------------------------------- label values
@@ -331,14 +331,14 @@ def cells(words: Column) -> Column:
 
 def is_label_cell(cell: Column) -> Column:
     text = strip(line_text(cell))
-    core = strip_chars(text, r" :#\-.\t")
+    core = strip_chars(text, " :#-.\t")
     letters = F.regexp_replace(core, r"[^\p{L}]", "")
     return ((F.size(cell) <= MAX_LABEL_WORDS) & (letters != "") & ~core.rlike(r"\p{Nd}")
             & (text.endswith(":") | letters.rlike(r"^\p{Lu}+$")))
 
 
 def is_value_cell(cell: Column) -> Column:
-    return strip_chars(strip(line_text(cell)), r" :\t").rlike(r"[0-9a-z$€£₨%]")
+    return strip_chars(strip(line_text(cell)), " :\t").rlike(r"[0-9a-z$€£₨%]")
 
 
 def discovered(words: Column, next_words: Column, next_allowed: Column) -> Column:
@@ -351,10 +351,10 @@ def discovered(words: Column, next_words: Column, next_allowed: Column) -> Colum
             use_right = F.coalesce(is_value_cell(right), F.lit(False))
             last = (i == F.size(cs) - 1) & (F.size(cs) > 1) & next_allowed
             value = F.when(use_right, right).when(last, under)
-            label = strip_chars(strip(line_text(cell)), r" :#\-.\t")
+            label = strip_chars(strip(line_text(cell)), " :#-.\t")
             return F.when(is_label_cell(cell) & value.isNotNull(), F.struct(
                 i.alias("cell_idx"), T.key_for_label(label).alias("key"), label.alias("label"),
-                strip_chars(strip(line_text(value)), r" :\t").alias("value"), line_box(value).alias("box"),
+                strip_chars(strip(line_text(value)), " :\t").alias("value"), line_box(value).alias("box"),
                 (~use_right).alias("below")))
 
         return F.filter(F.transform(cs, entry), lambda e: e["key"] != "")

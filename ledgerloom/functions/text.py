@@ -28,6 +28,8 @@ DATE_SUBSTRING_PATTERNS = (
     r"\d{4}-\d{1,2}-\d{1,2}",
     r"\d{1,2}[/-]\d{1,2}[/-]\d{2}(?!\d)",
 )
+#: Every readable date has two digit separators or a month name; lines without either are not parsed.
+DATE_EVIDENCE_PATTERN = r"(?i)\d[/-]\d{1,2}[/-]\d|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 AMBIGUOUS_DATE_PATTERN = (r"\b(\d{1,2})[/-](\d{1,2})[/-]\d{4}|\b(\d{1,2})[/-](\d{1,2})[/-]\d{2}(?!\d)")
 INVOICE_NUMBER_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9/_-]{1,29}$"
 NTN_PATTERN = r"^\d{6,7}-?\d?$"
@@ -164,7 +166,7 @@ def parse_date(text: ColumnLike) -> Column:
 def find_date_in_text(text: ColumnLike) -> Column:
     """The whole text as a date, else the first date-shaped part that parses."""
     parts = [parse_date(F.regexp_extract(c(text), pattern, 0)) for pattern in DATE_SUBSTRING_PATTERNS]
-    return F.when(c(text).rlike(r"\d"), F.coalesce(parse_date(text), *parts))
+    return F.when(c(text).rlike(DATE_EVIDENCE_PATTERN), F.coalesce(parse_date(text), *parts))
 
 
 def day_month_ambiguous(text: ColumnLike) -> Column:
@@ -212,7 +214,7 @@ def duplicate_key(vendor: ColumnLike, number: ColumnLike, total: ColumnLike, day
 
 def key_for_label(label: ColumnLike) -> Column:
     """Printed label to snake_case key."""
-    out = F.lower(strip_chars(label, r" :#\-.\t"))
+    out = F.lower(strip_chars(label, " :#-.\t"))
     return strip_chars(F.regexp_replace(F.regexp_replace(out, "[&/]", " "), "[^a-z0-9]+", "_"), "_")
 
 

@@ -175,8 +175,11 @@ def with_label_values(lines: DataFrame) -> DataFrame:
     not_header = ~F.col("is_header_row")
     money = {f: _first_value(f, not_header) for f in ("subtotal", "tax", "discount")}
     plain = {f: _first_value(f) for f in ("vendor_label", "customer_label", "invoice_number", "ntn")}
-    amount = F.when(present("cells.amount").isNotNull(), text.parse_money("cells.amount"))
-    out = out.withColumn("item_amount", amount)
+    numbers = {f: F.when(present(f"cells.{f}").isNotNull(), text.parse_money(f"cells.{f}"))
+               for f in ("qty", "rate", "amount")}
+    out = out.withColumns({"item_amount": numbers["amount"], "item_check": F.when(_has_numeric(), checks.line_item_check(
+        numbers["qty"], numbers["rate"], numbers["amount"]))})
+    checked = F.when(F.col("item_check") == "pass", 1.0).when(F.col("item_check") == "fail", 0.0)
     next_outside = ~((F.col("line_idx") + 1 >= F.coalesce("header_row", "line_count"))
                      & (F.col("line_idx") + 1 < F.col("boundary")) & F.col("header_row").isNotNull())
     found = F.when(~F.col("in_body"), rules.discovered(F.col("words"), F.col("next_words"), next_outside))
@@ -193,7 +196,9 @@ def with_label_values(lines: DataFrame) -> DataFrame:
                            "specific": specific})
     out = out.withColumns({
         **{f"d_{f}": v for f, v in {**money, **plain}.items()},
-        "items_sum": _in_doc(F.sum("item_amount")),
+        "items_sum": _in_doc(F.sum("item_amount")), "pass_rate": _in_doc(F.avg(checked)),
+        "item_count": F.coalesce(_in_doc(F.count("item_check")), F.lit(0)),
+        "described": _in_doc(F.max(F.col("cells.description") != "")),
         "first_total_like": _in_doc(F.min(F.array_min("total_like"))),
         "one_total_key": _in_doc(F.min("total_keys_min")) == _in_doc(F.max("total_keys_max")),
         "specific_count": _in_doc(F.sum(F.size("specific"))),
@@ -317,7 +322,10 @@ def document_fields(candidates: DataFrame) -> DataFrame:
                          F.col("first_total_like.page"), F.col("first_total_like.box"),
                          F.coalesce("one_total_key", F.lit(False)))
     chosen = out.select(
-        "doc_id", "n_subtotal", "n_tax", "n_discount", "items_sum", "line_count", "d_subtotal", "d_tax", "d_discount",
+        "doc_id", "n_subtotal", "n_tax", "n_discount", "items_sum", "pass_rate", "line_count",
+        # Description rows without any number merge into one item.
+        F.when(F.col("item_count") > 0, F.col("item_count")).otherwise(
+            F.coalesce(F.col("described").cast("int"), F.lit(0))).alias("item_count"), "d_subtotal", "d_tax", "d_discount",
         "d_vendor_label", "d_customer_label", "d_invoice_number", "d_ntn", "header_row", "boundary", "bands",
         _ranked(F.col("b_vendor"), F.col("s_vendor")).alias("v"), _ranked(F.col("b_date"), F.col("s_date")).alias("d"),
         _ranked(F.col("b_total"), F.col("s_total"), [lone, dynamic]).alias("t"))
@@ -328,6 +336,7 @@ def document_fields(candidates: DataFrame) -> DataFrame:
         first["name"])
     return chosen.select(
         "doc_id", "line_count", "header_row", "boundary", F.size("bands").alias("band_count"), "items_sum",
+        "item_count", "pass_rate",
         F.struct(F.coalesce(labelled["text"], name).alias("value"),
                  F.when(labelled.isNotNull(), "label_anchor+pattern").when(first.isNotNull(), "positional_fallback")
                  .otherwise("not_found").alias("method"),
@@ -419,16 +428,12 @@ _CLEARED = ("total", "subtotal", "tax_amount", "discount", "tax_rate", "vendor_n
 
 
 def extract_fields(documents: DataFrame, words: DataFrame, as_of, resolved: DataFrame | None = None,
-                   known_lines: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+                   known_lines: DataFrame | None = None) -> DataFrame:
     """Documents (``doc_id, text, confidence, method``) and their words to one
     validated, routed row each. ``resolved`` (``doc_id, matched_vendor``) renames
     a vendor to its known spelling."""
     fields = document_fields(line_candidates(words, known_lines))
-    rates = (item_rows(words) if items is None else items).groupBy("doc_id").agg(
-        F.count("*").alias("item_count"),
-        F.avg(F.when(F.col("arithmetic_check") == "pass", 1.0).when(F.col("arithmetic_check") == "fail", 0.0))
-        .alias("pass_rate"))
-    out = documents.join(fields, "doc_id", "left").join(rates, "doc_id", "left")
+    out = documents.join(fields, "doc_id", "left")
     out = out.join(resolved, "doc_id", "left") if resolved is not None else out.withColumn(
         "matched_vendor", F.lit(None).cast("string"))
     return assemble(out, as_of)
