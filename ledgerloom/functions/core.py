@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +21,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constant(value, ddl: str) -> Column:
+    """A small fixed table as one literal; the optimizer folds the parse away."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def any_of(text: Column, phrases: Iterable[str], before: str = "", after: str = "") -> Column:
+    """Whether any of the phrases occurs, between the given regex contexts."""
+    return text.rlike(before + "(?:" + "|".join(re.escape(p) for p in phrases) + ")" + after)
+
+
 def money_sum(amount: ColumnLike, when: Column | None = None) -> Column:
     """Sum of 2-decimal amounts, exact and independent of row order: cents are
     added as integers, so a partial aggregate per task and any merge order give

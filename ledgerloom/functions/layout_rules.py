@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.functions.core import let, lookup, strip, strip_chars
+from ledgerloom.functions.core import any_of, constant, let, lookup, strip, strip_chars
 
 # ---------------------------------------------------------------- fixed values
 
@@ -95,10 +95,7 @@ def _phrase(phrase: str) -> str:
 
 
 def has_phrase(key: Column, phrases) -> Column:
-    test = F.lit(False)
-    for phrase in phrases:
-        test = test | key.contains(_phrase(phrase))
-    return test
+    return any_of(key, [SEP.join(p.split()) for p in phrases], SEP, SEP)
 
 
 def _words_before(key: Column, position: Column) -> Column:
@@ -120,12 +117,21 @@ def value_text(words: Column) -> Column:
 # -------------------------------------------------------------------- label values
 
 
-def label_hit(key: Column, field: str) -> Column:
-    """Where the field's label stands: longest variants first, first hit counts."""
-    variants = sorted(LABELS[field], key=lambda v: -len(v.split()))
-    return F.coalesce(*[F.when(key.contains(_phrase(v)), F.struct(
-        F.instr(key, _phrase(v)).alias("at"), F.lit(len(_phrase(v))).alias("width"),
-        F.lit(len(v.split())).alias("words"), F.lit(v).alias("variant"))) for v in variants])
+_VARIANTS = "array<struct<needle: string, width: int, words: int, variant: string>>"
+
+
+def _variants(field: str) -> list[dict]:
+    """A field's label spellings, longest first."""
+    return [{"needle": _phrase(v), "width": len(_phrase(v)), "words": len(v.split()), "variant": v}
+            for v in sorted(LABELS[field], key=lambda v: -len(v.split()))]
+
+
+def label_hit(key: Column, variants: Column) -> Column:
+    """Where the label stands: longest variants first, the first hit counts."""
+    first = F.get(F.filter(variants, lambda v: key.contains(v["needle"])), F.lit(0))
+    return let(first, lambda v: F.when(v.isNotNull(), F.struct(
+        F.instr(key, v["needle"]).alias("at"), v["width"].alias("width"), v["words"].alias("words"),
+        v["variant"].alias("variant"))))
 
 
 def _value(words: Column, page: Column, variant: Column, accept) -> Column:
@@ -155,18 +161,27 @@ def _next_line(words: Column, key: Column, next_words: Column, next_page: Column
     return _value(cut, next_page, hit["variant"], accept)
 
 
-def label_value(field: str, accept=None) -> Column:
-    """Value printed beside the field's label, else aligned below it: a struct
-    ``{text, page, box, variant}`` or null. Reads the line columns ``words``,
-    ``key``, ``page``, ``next_words`` and ``next_page``."""
-    accept = accept or (lambda _: F.lit(True))
+def _label_value(variants: Column, accept) -> Column:
     words, key = F.col("words"), F.col("key")
-    return let(label_hit(key, field), lambda hit: F.when(hit.isNotNull(), F.coalesce(
+    return let(label_hit(key, variants), lambda hit: F.when(hit.isNotNull(), F.coalesce(
         _same_line(words, key, F.col("page"), hit, accept),
         F.when(F.col("next_words").isNotNull(), _next_line(words, key, F.col("next_words"), F.col("next_page"), hit,
                                                            accept)))))
 
 
+def label_value(field: str, accept=lambda _: F.lit(True)) -> Column:
+    """Value printed beside the field's label, else aligned below it: a struct
+    ``{text, page, box, variant}`` or null. Reads the line columns ``words``,
+    ``key``, ``page``, ``next_words`` and ``next_page``."""
+    return _label_value(constant(_variants(field), _VARIANTS), accept)
+
+
+def label_values(fields: tuple[str, ...]) -> Column:
+    """The values of several fields, in order, by one pass over the line."""
+    return F.transform(constant([_variants(f) for f in fields], f"array<{_VARIANTS}>"),
+                       lambda variants: _label_value(variants, lambda _: F.lit(True)))
+
+
 # ------------------------------------------------------------- vendor candidates
 
 
@@ -239,8 +254,7 @@ def continues_name(words: Column, next_words: Column) -> Column:
 def is_item_header(line: Column) -> Column:
     """At least two of the four column groups are named on the line."""
     lowered = F.lower(line)
-    groups = [F.exists(F.array(*[F.lit(w) for w in words]), lambda w: lowered.contains(w)).cast("int")
-              for words in ITEM_HEADERS.values()]
+    groups = [any_of(lowered, words).cast("int") for words in ITEM_HEADERS.values()]
     return sum(groups[1:], groups[0]) >= 2
 
 
@@ -291,8 +305,7 @@ def names_totals(words: Column, bands: Column) -> Column:
     """A totals word outside the description column."""
     outside = let(band_of(bands, "description"), lambda d: F.filter(
         words, lambda w: d.isNull() | ~((w["x0"] >= d["x0"]) & (w["x0"] < d["x1"]))))
-    lowered = F.lower(line_text(outside))
-    return F.exists(F.array(*[F.lit(w) for w in TOTALS_WORDS]), lambda w: lowered.contains(w))
+    return any_of(F.lower(line_text(outside)), TOTALS_WORDS)
 
 
 def cell_field(word: Column, bands: Column) -> Column:
@@ -367,9 +380,4 @@ def discovered(words: Column, next_words: Column, next_allowed: Column) -> Colum
 
 
 def is_total_key(key: Column) -> Column:
-    yes, no = F.lit(False), F.lit(False)
-    for mark in TOTAL_KEY_MARKS:
-        yes = yes | key.contains(mark)
-    for mark in NOT_TOTAL_KEY_MARKS:
-        no = no | key.contains(mark)
-    return yes & ~no
+    return any_of(key, TOTAL_KEY_MARKS) & ~any_of(key, NOT_TOTAL_KEY_MARKS)

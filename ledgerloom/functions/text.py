@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.core import (ColumnLike, c, collapse_spaces, first_match, let, lookup, present, strip,
+from ledgerloom.functions.core import (ColumnLike, any_of, c, collapse_spaces, first_match, let, lookup, present, strip,
                                         strip_chars)
 
 # ---------------------------------------------------------------- fixed values
@@ -165,8 +165,9 @@ def parse_date(text: ColumnLike) -> Column:
 
 def find_date_in_text(text: ColumnLike) -> Column:
     """The whole text as a date, else the first date-shaped part that parses."""
-    parts = [parse_date(F.regexp_extract(c(text), pattern, 0)) for pattern in DATE_SUBSTRING_PATTERNS]
-    return F.when(c(text).rlike(DATE_EVIDENCE_PATTERN), F.coalesce(parse_date(text), *parts))
+    shapes = F.array(c(text), *[F.regexp_extract(c(text), pattern, 0) for pattern in DATE_SUBSTRING_PATTERNS])
+    first = F.aggregate(shapes, F.lit(None).cast("date"), lambda found, part: F.coalesce(found, parse_date(part)))
+    return F.when(c(text).rlike(DATE_EVIDENCE_PATTERN), first)
 
 
 def day_month_ambiguous(text: ColumnLike) -> Column:
@@ -279,30 +280,23 @@ def _digit_share(text: Column) -> Column:
     return F.when(marks > 0, F.length(F.regexp_replace(text, r"[^\p{Nd}]", "")) / marks)
 
 
-def _starts_with_any(text: Column, prefixes) -> Column:
-    test = F.lit(False)
-    for prefix in prefixes:
-        test = test | text.startswith(prefix)
-    return test
-
-
 def looks_like_reference(text: ColumnLike) -> Column:
     cleaned = F.lower(strip(text))
-    return (_starts_with_any(cleaned, REFERENCE_PREFIXES) | find_date_in_text(text).isNotNull()
+    return (any_of(cleaned, REFERENCE_PREFIXES, "^") | find_date_in_text(text).isNotNull()
             | F.coalesce(_digit_share(cleaned) > 0.5, F.lit(True)))
 
 
 def looks_decorative(text: ColumnLike) -> Column:
     cleaned = F.regexp_replace(F.lower(strip(text)), "[.!]+$", "")
     thanks = cleaned.contains("thank you") & (cleaned.contains("visit again") | cleaned.contains("come again"))
-    return _starts_with_any(cleaned, PROVIDER_CREDITS) | cleaned.isin(*FULFILMENT_PHRASES) | thanks
+    return any_of(cleaned, PROVIDER_CREDITS, "^") | cleaned.isin(*FULFILMENT_PHRASES) | thanks
 
 
 def vendor_line_noise(text: ColumnLike) -> Column:
     """A top-of-page line that cannot be the issuing business."""
     lower = F.lower(strip(text))
     title = F.regexp_replace(lower, "[.!]+$", "").isin(*DOCUMENT_TITLES)
-    address = lower.contains(",") & lower.rlike("(?<![a-z])(?:" + "|".join(ADDRESS_WORDS) + ")(?![a-z])")
-    return (looks_decorative(text) | _starts_with_any(lower, HOLDER_PREFIXES)
+    address = lower.contains(",") & any_of(lower, ADDRESS_WORDS, "(?<![a-z])", "(?![a-z])")
+    return (looks_decorative(text) | any_of(lower, HOLDER_PREFIXES, "^")
             | strip(text).rlike(r"^\S+@\S+\.\S+$") | address | title
             | lower.rlike(r"^(?:dear|hi|hello)\b") | looks_like_reference(text))

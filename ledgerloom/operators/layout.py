@@ -171,7 +171,8 @@ def _first_value(field: str, allowed: Column | None = None) -> Column:
 def with_label_values(lines: DataFrame) -> DataFrame:
     """Label-anchored values per line and, through windows, per document."""
     fields = ("vendor_label", "customer_label", "invoice_number", "ntn", "subtotal", "tax", "discount")
-    out = lines.withColumns({f"v_{f}": rules.label_value(f) for f in fields})
+    out = lines.withColumn("labelled", rules.label_values(fields))
+    out = out.withColumns({f"v_{f}": F.get("labelled", F.lit(i)) for i, f in enumerate(fields)}).drop("labelled")
     not_header = ~F.col("is_header_row")
     money = {f: _first_value(f, not_header) for f in ("subtotal", "tax", "discount")}
     plain = {f: _first_value(f) for f in ("vendor_label", "customer_label", "invoice_number", "ntn")}
