@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.predicates import bucket_date, is_scanned_sale
+from ledgerloom.operators.changes import latest
 from ledgerloom.operators.intake import ATTACHMENT_KEYS, MANUAL, decide
 from ledgerloom.sources import schemas
 from ledgerloom.sources.documents import feed_attachments
@@ -71,20 +72,28 @@ def read_log(spark: SparkSession, log: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).parquet(log)
 
 
-def current_attachments(log: DataFrame) -> DataFrame:
-    """The log folded by key: newest metadata, a person's category if there ever
-    was one, and the review status of the first sighting. Extremes per key
-    combine inside each task, however often one message was delivered."""
+def current_attachments(log: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The log folded by key: newest metadata and category, and the review status
+    of the first sighting. Extremes per key combine inside each task, however
+    often one message was delivered. ``overrides`` is the log of categories
+    people set (keys, ``category, decided_at``); the latest one always wins."""
     def newest(*columns: str):
         return F.struct("batch", *columns)
 
     folded = log.groupBy(*ATTACHMENT_KEYS).agg(
         F.max(newest(*METADATA)).alias("m"), F.max(newest(*DECISION)).alias("c"),
-        F.max(F.when(F.col("category_source") == MANUAL, newest(*DECISION))).alias("o"),
-        F.min(newest("review_status", "review_reason")).alias("r"))
-    return folded.select(*ATTACHMENT_KEYS, *[F.col(f"m.{c}").alias(c) for c in METADATA],
-                         *[F.when(F.col("o").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"c.{c}")).alias(c)
-                           for c in DECISION], "r.review_status", "r.review_reason")
+        F.min(newest("review_status", "review_reason")).alias("r")).select(
+        *ATTACHMENT_KEYS, *[F.col(f"m.{c}").alias(c) for c in METADATA],
+        *[F.col(f"c.{c}").alias(c) for c in DECISION], "r.review_status", "r.review_reason")
+    if overrides is None:
+        return folded
+    people = latest(overrides, ATTACHMENT_KEYS, ["decided_at", "category"], ["category"]).withColumnRenamed(
+        "category", "chosen")
+    chosen = F.col("chosen").isNotNull()
+    return folded.join(people, ATTACHMENT_KEYS, "left").withColumns({
+        "category": F.coalesce("chosen", "category"),
+        "category_confidence": F.when(chosen, 1.0).otherwise(F.col("category_confidence")),
+        "category_source": F.when(chosen, MANUAL).otherwise(F.col("category_source"))}).drop("chosen")
 
 
 def compact(spark: SparkSession, log: str, into: str) -> None:
