@@ -193,8 +193,12 @@ def _suffix_pattern(suffix: str) -> str:
 
 
 def normalize_vendor(name: ColumnLike) -> Column:
-    """Lower case, single spaces, and one corporate suffix taken off."""
+    """Lower case, single spaces, and one corporate suffix taken off. One test
+    for any suffix comes first: most names end in none."""
     def body(text: Column) -> Column:
+        return F.when(any_of(text, CORPORATE_SUFFIXES, "", "$"), without_suffix(text)).otherwise(text)
+
+    def without_suffix(text: Column) -> Column:
         out = text
         for suffix in reversed(CORPORATE_SUFFIXES):
             pattern = _suffix_pattern(suffix)

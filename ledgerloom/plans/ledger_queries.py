@@ -714,7 +714,7 @@ SALES_PERIOD = f"AND {BUCKET} BETWEEN DATE '2001-01-01' AND DATE '{END}'"
     {"Total Revenue": "revenue", "Documents Scanned": "documents", "Pending Review": "pending"},
     f"SELECT company_id, customer_name AS label, total AS value FROM ({CUSTOMERS_SQL.format(period=SALES_PERIOD)}) QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY total DESC, customer_name) <= 1000"))
 def report_sales(t):
-    return reports.sales(t.v_sales, AS_OF, "2001-01-01", END)
+    return reports.sales(t.v_sales, "2001-01-01", END)
 
 
 PERIOD_SPEND = f"SELECT company_id, vendor_id, max(vendor_name) AS vendor_name, {cents('total')} AS total_spend FROM v_purchase WHERE vendor_id IS NOT NULL AND invoice_date {PERIOD} GROUP BY company_id, vendor_id"

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.core import money_label, money_sum
+from ledgerloom.functions.core import count_if, money_label, money_sum
+from ledgerloom.functions.predicates import PENDING_STATUSES, customer_label, date_between
 from ledgerloom.operators import aggregates as agg
 from ledgerloom.operators import lists, trends
 from ledgerloom.operators.aggregates import COMPANY
@@ -43,22 +44,27 @@ def _report(*parts: DataFrame) -> DataFrame:
     return rows.withColumn("display", money_label("value"))
 
 
-def _revenue(invoices: DataFrame, as_of, start, end) -> DataFrame:
-    return agg.sales_totals(invoices, as_of, start, end)
-
-
-def _revenue_and_spend(invoices: DataFrame, expenses: DataFrame, start, end, end_inclusive: bool) -> DataFrame:
+def _revenue_and_spend(invoices: DataFrame, spend: DataFrame, start, end) -> DataFrame:
     revenue = agg.scanned_sales(invoices, start, end).groupBy(COMPANY).agg(money_sum("total").alias("revenue"))
-    spend = agg.expense_summary(expenses, start, end, end_inclusive).select(COMPANY, "approved")
     return revenue.join(spend, COMPANY, "full_outer").na.fill(0.0, ["revenue", "approved"])
 
 
+def _approved(expenses: DataFrame, start, end, end_inclusive: bool) -> DataFrame:
+    return agg.expense_summary(expenses, start, end, end_inclusive).select(COMPANY, "approved")
+
+
 def profit_loss(invoices: DataFrame, expenses: DataFrame, start, end, end_inclusive: bool = False) -> DataFrame:
-    both = _revenue_and_spend(invoices, expenses, start, end, end_inclusive)
+    """The company line rolls up the category aggregate of the table below it.
+    Both branches read the same columns of it, so its exchange is computed once
+    and the ledger is scanned once."""
+    categories = expenses.where(date_between("expense_date", start, end, end_inclusive=end_inclusive)).groupBy(
+        COMPANY, "category").agg(money_sum("amount", F.col("status") == "approved").alias("value"),
+                                 count_if(F.col("status") == "approved").alias("entries"))
+    spend = categories.where(F.col("entries") >= 0).groupBy(COMPANY).agg(money_sum("value").alias("approved"))
     lines = {"Revenue": F.col("revenue"), "Expenses (approved)": F.col("approved"),
              "Net Profit": _round(F.col("revenue") - F.col("approved"))}
-    categories = agg.expense_categories(expenses, start, end, end_inclusive)
-    return _report(summary_lines(both, lines), _table(categories, "category", "value"))
+    return _report(summary_lines(_revenue_and_spend(invoices, spend, start, end), lines),
+                   _table(categories.where(F.col("entries") > 0), "category", "value"))
 
 
 def cash_flow(invoices: DataFrame, expenses: DataFrame, start, end) -> DataFrame:
@@ -75,7 +81,7 @@ def cash_flow(invoices: DataFrame, expenses: DataFrame, start, end) -> DataFrame
 
 def tax_summary(invoices: DataFrame, expenses: DataFrame, settings: DataFrame, start, end,
                 end_inclusive: bool = False) -> DataFrame:
-    both = _revenue_and_spend(invoices, expenses, start, end, end_inclusive)
+    both = _revenue_and_spend(invoices, _approved(expenses, start, end, end_inclusive), start, end)
     gst = F.col("revenue") * (F.col("default_gst_rate") / 100)
     withheld = F.col("approved") * (F.col("withholding_tax_rate") / 100)
     return both.join(settings, COMPANY).select(
@@ -84,12 +90,19 @@ def tax_summary(invoices: DataFrame, expenses: DataFrame, settings: DataFrame, s
         (gst - withheld).alias("net_tax"), money_label(gst - withheld).alias("display"))
 
 
-def sales(invoices: DataFrame, as_of, start, end) -> DataFrame:
-    totals = _revenue(invoices, as_of, start, end)
-    lines = {"Total Revenue": F.col("revenue"), "Documents Scanned": F.col("document_count").cast("double"),
-             "Pending Review": F.col("pending_review").cast("double")}
-    customers = agg.top_customers(invoices, REPORT_CUSTOMER_LIMIT, start, end)
-    return _report(summary_lines(totals, lines), _table(customers, "customer_name", "total"))
+def sales(invoices: DataFrame, start, end) -> DataFrame:
+    """Totals roll up the customer aggregate, so the sales are scanned once."""
+    customers = agg.scanned_sales(invoices, start, end).groupBy(COMPANY, customer_label().alias("customer_name")).agg(
+        money_sum("total").alias("total"), F.count("*").alias("documents"),
+        count_if(F.col("status").isin(*PENDING_STATUSES)).alias("pending"))
+    totals = customers.groupBy(COMPANY).agg(money_sum("total").alias("revenue"), F.sum("documents").alias("documents"),
+                                            F.sum("pending").alias("pending"))
+    lines = {"Total Revenue": F.col("revenue"), "Documents Scanned": F.col("documents").cast("double"),
+             "Pending Review": F.col("pending").cast("double")}
+    # Same columns as the totals branch, so the customer exchange is reused.
+    ranked = agg.top_per_group(customers.where((F.col("documents") >= 0) & (F.col("pending") >= 0)), [COMPANY],
+                               [F.desc("total"), F.asc("customer_name")], REPORT_CUSTOMER_LIMIT)
+    return _report(summary_lines(totals, lines), _table(ranked, "customer_name", "total"))
 
 
 def purchases(invoices: DataFrame, start, end) -> DataFrame:
@@ -102,7 +115,7 @@ def purchases(invoices: DataFrame, start, end) -> DataFrame:
 
 def cash_position(invoices: DataFrame, expenses: DataFrame, as_of, floor: str = ALL_TIME_START,
                   end_inclusive: bool = False) -> DataFrame:
-    both = _revenue_and_spend(invoices, expenses, floor, as_of, end_inclusive)
+    both = _revenue_and_spend(invoices, _approved(expenses, floor, as_of, end_inclusive), floor, as_of)
     return _report(summary_lines(both, {"Cash Balance (approx.)": _round(F.col("revenue") - F.col("approved"))}))
 
 
