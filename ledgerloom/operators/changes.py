@@ -14,6 +14,7 @@ from ledgerloom.functions.core import money_sum
 from ledgerloom.functions.text import duplicate_key, normalize_vendor
 from ledgerloom.operators.aggregates import COMPANY
 from ledgerloom.operators.joins import bulk_link_vendor
+from ledgerloom.operators.skew import splittable_join
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -160,8 +161,9 @@ def create_and_link(invoices: DataFrame, wanted: DataFrame, vendors: DataFrame)
     """Create vendors from raw names and link every purchase carrying the name."""
     created = create_vendors(wanted, vendors)
     rows = invoices.where(F.col("vendor_id").isNull())
-    links = rows.join(created.select(COMPANY, F.col("name").alias("vendor_name"), F.col("vendor_id").alias("nv")),
-                      [COMPANY, "vendor_name"]).select(COMPANY, "invoice_id", F.col("nv").alias("vendor_id"))
+    named = created.select(COMPANY, F.col("name").alias("vendor_name"), F.col("vendor_id").alias("nv"))
+    links = splittable_join(rows, named, [COMPANY, "vendor_name"]).select(COMPANY, "invoice_id",
+                                                                          F.col("nv").alias("vendor_id"))
     return bulk_link_vendor(invoices, links)
 
 

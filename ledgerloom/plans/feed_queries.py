@@ -131,8 +131,7 @@ def stuck_jobs(t):
 
 
 @query("K09_due_accounts", """
-SELECT account_id FROM v_account a WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM v_job j WHERE j.run_group = a.account_id AND j.status IN ('queued', 'running') AND j.started_at >= TIMESTAMP '2024-01-15 00:00:00')""")
+SELECT account_id FROM v_account a WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM v_job j WHERE j.account_id = a.account_id AND j.status IN ('queued', 'running') AND j.started_at >= TIMESTAMP '2024-01-29 12:00:00')""")
 def due_accounts(t):
-    recent = t.v_job.where("started_at >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").select(
-        F.col("run_group").alias("account_id"), "status")
+    recent = t.v_job.where("started_at >= TIMESTAMP_NTZ '2024-01-29 12:00:00'")
     return joins.due_accounts(t.v_account, recent).select("account_id")

@@ -184,7 +184,7 @@ SELECT user_id % 20 AS account_id, event_id AS message_id, ts AS received_at,
 FROM events""",
 
     "v_job": """
-SELECT event_id AS job_id, user_id % 20 AS account_id, user_id % 50 AS run_group,
+SELECT event_id AS job_id, user_id AS account_id, user_id % 50 AS run_group,
   CASE event_type WHEN 'click' THEN 'running' WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,
   ts AS started_at, value AS work
 FROM events""",
