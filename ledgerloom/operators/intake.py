@@ -70,6 +70,12 @@ def window_start(now: Column, window_days: int | None, cursor: Column, full_resy
     return limits[0] if len(limits) == 1 else F.coalesce(F.greatest(*limits), *limits)
 
 
+def backfill_start(cursor: Column, cursor_valid: Column, now: Column, days: int = MAIL_WINDOW_DAYS) -> Column:
+    """A mailbox resumes at its cursor; one without a cursor, or whose cursor the
+    provider no longer accepts, is read again from a bounded time back."""
+    return F.coalesce(F.when(cursor_valid, cursor), now - F.make_dt_interval(F.lit(days)))
+
+
 def incremental_window(files: DataFrame, conversations: DataFrame, now, window_days: int | None,
                        full_resync: bool = False, ts: str = "created_at") -> DataFrame:
     """Rows newer than each conversation's start; the start itself is excluded."""

@@ -23,7 +23,11 @@ from pyspark.sql import types as T
 from ledgerloom.functions import checks, text
 from ledgerloom.functions import layout_rules as rules
 from ledgerloom.functions.core import let, present
+from ledgerloom.operators.aggregates import COMPANY
+from ledgerloom.operators.matching import known_vendor_resolution
+from ledgerloom.operators.skew import splittable_join
 from ledgerloom.operators.trends import select_candidate
+from ledgerloom.session import checkpointed
 
 MIN_OVERLAP, FLAT_TOLERANCE = 0.6, 4.0
 WORD_FIELDS = ("text", "x0", "y0", "x1", "y1", "confidence", "font_size")
@@ -271,7 +275,11 @@ def reconciles(amount: Column, reference: Column) -> Column:
 
 def line_candidates(words: DataFrame, known_lines: DataFrame | None = None) -> DataFrame:
     """Every line with its label values and candidates."""
-    lines = group_lines(words)
+    return candidates_of(group_lines(words), known_lines)
+
+
+def candidates_of(lines: DataFrame, known_lines: DataFrame | None = None) -> DataFrame:
+    """``line_candidates`` over lines that are grouped already."""
     if known_lines is None:
         lines = lines.withColumn("known", F.lit(False))
     else:
@@ -280,10 +288,10 @@ def line_candidates(words: DataFrame, known_lines: DataFrame | None = None) -> D
     return with_candidates(with_label_values(with_table_region(lines)))
 
 
-def vendor_lines(words: DataFrame) -> DataFrame:
+def vendor_lines(lines: DataFrame) -> DataFrame:
     """Candidate vendor names near the top of each document."""
-    return line_candidates(words).where(F.col("c_vendor").isNotNull()).select(
-        "doc_id", "line_idx", F.col("c_vendor.name").alias("name"))
+    return candidates_of(lines).where(F.col("c_vendor").isNotNull()).select(
+        "doc_id", "line_idx", F.col("c_vendor.name").alias("vendor_name"))
 
 
 # ------------------------------------------------------------------ field choice
@@ -425,21 +433,38 @@ def choose(candidates: DataFrame, field: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- assembly
 
-_CLEARED = ("total", "subtotal", "tax_amount", "discount", "tax_rate", "vendor_name")
+def extract_fields(documents: DataFrame, words: DataFrame, as_of) -> DataFrame:
+    """Documents (``doc_id, text, confidence, method``) and their words to one
+    validated, routed row each."""
+    return assemble_documents(documents, document_fields(line_candidates(words)), as_of)
 
 
-def extract_fields(documents: DataFrame, words: DataFrame, as_of, resolved: DataFrame | None = None,
-                   known_lines: DataFrame | None = None) -> DataFrame:
-    """Documents (``doc_id, text, confidence, method``) and their words to one
-    validated, routed row each. ``resolved`` (``doc_id, matched_vendor``) renames
-    a vendor to its known spelling."""
-    fields = document_fields(line_candidates(words, known_lines))
+def assemble_documents(documents: DataFrame, fields: DataFrame, as_of, resolved: DataFrame | None = None) -> DataFrame:
+    """``resolved`` (``doc_id, matched_vendor``) renames vendors to known spellings."""
     out = documents.join(fields, "doc_id", "left")
     out = out.join(resolved, "doc_id", "left") if resolved is not None else out.withColumn(
         "matched_vendor", F.lit(None).cast("string"))
     return assemble(out, as_of)
 
 
+def extract_with_known_vendors(documents: DataFrame, words: DataFrame, known: DataFrame, as_of) -> DataFrame:
+    """Extraction that also uses each company's own vendor names: a line close to
+    one scores higher, and the chosen name takes the known spelling. ``documents``
+    carries ``company_id``; ``known`` is ``(company_id, vendor_name)``. The grouped
+    lines and the chosen fields are read several times, so both are checkpointed."""
+    lines = checkpointed(group_lines(words))
+    company = documents.select("doc_id", COMPANY)
+    named = vendor_lines(lines).join(company, "doc_id")
+    close = known_vendor_resolution(named, known).select(COMPANY, "vendor_name")
+    known_lines = splittable_join(named, close, [COMPANY, "vendor_name"]).select("doc_id", "line_idx")
+    fields = checkpointed(document_fields(candidates_of(lines, known_lines)))
+    chosen = fields.where(F.col("vendor.value").isNotNull()).select(
+        "doc_id", F.trim("vendor.value").alias("vendor_name")).join(company, "doc_id")
+    spelled = known_vendor_resolution(chosen, known).select(COMPANY, "vendor_name", "matched_vendor")
+    resolved = splittable_join(chosen, spelled, [COMPANY, "vendor_name"]).select("doc_id", "matched_vendor")
+    return assemble_documents(documents, fields, as_of, resolved)
+
+
 def assemble(rows: DataFrame, as_of) -> DataFrame:
     base = F.col("confidence")
     discounted = lambda doubt: base * F.when(F.coalesce(doubt, F.lit(False)), 0.7).otherwise(1.0)

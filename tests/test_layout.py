@@ -6,6 +6,7 @@ from datetime import date
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import layout
 from tests.helpers import by_doc, documents, words
@@ -144,14 +145,14 @@ def test_vendor_choice(spark):
     pages = {
         "label": [(20, 50, "INVOICE"), (40, 50, "Sold By: Acme Corp"), foot],
         "first": [(20, 50, "Cash Receipt"), (40, 50, "Express Mart Date:"), foot],
-        "stamp": [(20, 50, "Rs1100 Azeem Electric"), (36, 50, "Hardware Store"), foot],
+        "stamp": [(20, 50, "Rs1100 Noor Electric"), (36, 50, "Hardware Store"), foot],
         "address": [(20, 50, "Blue Sky Foods"), (36, 50, "Hotel view square, Bahria"), foot],
         "title": [(20, 50, "Tax Invoice Zed Traders NTN# 123"), foot],
         "late": [(20, 50, "16 Jun 2026"), (40, 50, "Moon Bakers"), foot],
     }
     got = by_doc(layout.document_fields(layout.line_candidates(words(spark, pages))))
     assert {d: r["vendor"]["value"] for d, r in got.items()} == {
-        "label": "Acme Corp", "first": "Express Mart", "stamp": "Azeem Electric Hardware Store",
+        "label": "Acme Corp", "first": "Express Mart", "stamp": "Noor Electric Hardware Store",
         "address": "Blue Sky Foods", "title": "Zed Traders", "late": "Moon Bakers"}
     weak = by_doc(layout.document_fields(layout.line_candidates(words(spark, {"w": [(20, 50, "BiQ x"), foot]}, 0.5))))
     assert weak["w"]["vendor"]["doubtful"] is True
@@ -198,12 +199,17 @@ def test_extract_and_route(spark):
     assert (table["totals_pass"], table["pass_rate"], table["review_status"]) == (True, 1.0, "auto_processed")
 
 
-def test_a_known_vendor_renames_and_loses_its_method_tier(spark):
-    pages = {"r": [(50, 50, "Expres Mart"), (90, 50, "receipt"), (200, 50, "Total 270.00")]}
-    resolved = spark.createDataFrame([("r", "Express Mart")], "doc_id STRING, matched_vendor STRING")
-    row = by_doc(layout.extract_fields(documents(spark, pages), words(spark, pages), AS_OF, resolved))["r"]
-    assert row["vendor_name"] == "Express Mart" and row["vendor_method"] == "positional_fallback+vendor_match"
-    assert row["vendor_confidence"] == pytest.approx(1.0)
+def test_known_vendors_rename_and_lose_the_method_tier(spark):
+    pages = {"r": [(50, 50, "Expres Mart"), (90, 50, "receipt"), (200, 50, "Total 270.00")],
+             "s": [(50, 50, "Unheard Of"), (90, 50, "receipt"), (200, 50, "Total 270.00")]}
+    docs = documents(spark, pages).withColumn("company_id", F.lit(1))
+    known = spark.createDataFrame([(1, "Express Mart"), (2, "Unheard Of")], "company_id INT, vendor_name STRING")
+    got = by_doc(layout.extract_with_known_vendors(docs, words(spark, pages), known, AS_OF))
+    assert (got["r"]["vendor_name"], got["r"]["vendor_method"]) == ("Express Mart", "positional_fallback+vendor_match")
+    assert got["r"]["vendor_confidence"] == pytest.approx(1.0)
+    # The renamed method has no tier of its own, so the document scores lower.
+    assert got["r"]["document_confidence"] < got["s"]["document_confidence"]
+    assert (got["s"]["vendor_name"], got["s"]["vendor_method"]) == ("Unheard Of", "positional_fallback")
 
 
 def test_extraction_plan_shuffles_words_and_lines_once(spark, capsys):

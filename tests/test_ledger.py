@@ -193,6 +193,14 @@ def test_window_start(spark):
     assert start(window_days=None, full_resync=True) == [None] * 3
 
 
+def test_an_expired_cursor_means_a_bounded_backfill(spark):
+    rows = spark.createDataFrame([(datetime(2024, 1, 10), True), (datetime(2024, 1, 10), False), (None, True)],
+                                 "cursor TIMESTAMP_NTZ, valid BOOLEAN")
+    now = F.lit("2024-01-30").cast("timestamp_ntz")
+    got = [r[0] for r in rows.select(intake.backfill_start(F.col("cursor"), F.col("valid"), now)).collect()]
+    assert got == [datetime(2024, 1, 10), datetime(2023, 8, 3), datetime(2023, 8, 3)]
+
+
 def test_a_hot_company_needs_no_large_shuffle(spark, tables, capsys):
     """Top-k ships k rows per task (group limit below the shuffle) and aggregates
     combine before it; no plan holds a cross join."""

@@ -58,9 +58,9 @@ def test_number_shapes(spark):
 
 def test_normalize_vendor(spark):
     values = ["  ABC   Traders  ", "ABC Traders Pvt Ltd", "ABC Traders Private Limited", "ABC Traders (Pvt) Ltd",
-              "ABC Traders, Inc.", "Ltd Ltd", "Shopify Commerce"]
+              "ABC Traders, Inc.", "Ltd Ltd", "Harbour Commerce"]
     assert evaluate(spark, text.normalize_vendor("v"), values) == [
-        "abc traders", "abc traders", "abc traders", "abc traders", "abc traders", "ltd", "shopify commerce"]
+        "abc traders", "abc traders", "abc traders", "abc traders", "abc traders", "ltd", "harbour commerce"]
 
 
 def test_currency(spark):
@@ -96,13 +96,13 @@ def test_looks_like_amount(spark):
 def test_vendor_line_noise(spark):
     noise = ["Rs 400", "B0-9", "Invoice# 55", "16 Jun 2026", "Powered by Acme", "Home Delivery!", "Dear customer",
              "a@b.com", "Plaza 5, Main Road", "Cash Receipt", "Account Holder", "***"]
-    names = ["Express Mart", "Azeem Electric & Hardware Store", "Smith, Jones & Co."]
+    names = ["Express Mart", "Noor Electric & Hardware Store", "Smith, Jones & Co."]
     assert evaluate(spark, text.vendor_line_noise("v"), noise) == [True] * len(noise)
     assert evaluate(spark, text.vendor_line_noise("v"), names) == [False] * len(names)
 
 
 CATEGORIES = [
-    ("KENTUCKY FRIED CHICKEN kfc", None, "Office Entertainment"), ("Papa John's", None, "Office Entertainment"),
+    ("Fried Chicken KFC", None, "Office Entertainment"), ("Papa John's", None, "Office Entertainment"),
     ("Unrelated Traders Pvt Ltd", None, None), ("Smart Watch Store", None, None),
     ("ABC Stationery Mart", None, "Stationary / Others"), ("City Hardware Store", None, "Office Repair & Maintenance"),
     ("Falcon Cash & Carry Sprite Mirinda Pepsi", None, "Office Entertainment"),
