@@ -13,6 +13,16 @@ from ledgerloom.sources.fixtures import AS_OF
 from ledgerloom.sources.page_words import page_documents, page_words
 
 
+# What the rendered pages print, straight from the source columns: the checking
+# SQL states the truth of a page and knows nothing of how it is read back.
+PAGE_SQL = """SELECT o_orderkey AS doc_id, c_name, concat('Acme ', upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2)), ' Traders') AS vendor,
+  strftime(o_orderdate, '%d/%m/%Y') AS day, COALESCE(l.n, 0) AS n, l.s, CAST(l.s * CAST(0.05 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS tax,
+  COALESCE(l.s + CAST(l.s * CAST(0.05 AS DECIMAL(3,2)) AS DECIMAL(18,2)), CAST(o_totalprice AS DECIMAL(18,2))) AS grand,
+  7 + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE 1 END AS header_row
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey"""
+BOUNDARY_SQL = "CAST(header_row + 1 + n + floor((n + 1) / 3) AS INT)"
+
+
 @query("J02_reconciliation_queue")
 def reconciliation_queue(t):
     return matching.reconciliation_queue(t.v_purchase, t.v_ignored, t.v_vendor)
@@ -37,7 +47,9 @@ def group_lines(t):
         "doc_id", "page", "line_idx", F.transform("words", lambda w: w["text"]).alias("words"))
 
 
-@query("L02_label_values")
+@query("L02_label_values", f"""
+SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN vendor END AS vendor_label, c_name AS customer_label, concat('INV-', CAST(doc_id AS VARCHAR)) AS invoice_number, CASE WHEN doc_id % 6 <> 0 THEN '1234567-8' END AS ntn,
+  CAST(s AS VARCHAR) AS subtotal, CASE WHEN n > 0 THEN CAST(tax AS VARCHAR) WHEN doc_id % 7 = 2 THEN 'BillTotal' END AS tax, CAST(NULL AS VARCHAR) AS discount FROM ({PAGE_SQL})""")
 def label_values(t):
     lines = layout.with_label_values(layout.with_table_region(layout.group_lines(page_words(t))))
     fields = ("vendor_label", "customer_label", "invoice_number", "ntn", "subtotal", "tax", "discount")
@@ -49,54 +61,71 @@ def vendor_candidates(t):
     return layout.choose(layout.line_candidates(page_words(t)), "vendor")
 
 
-@query("L04_name_continuation")
+@query("L04_name_continuation", f"""
+SELECT doc_id, CASE WHEN doc_id % 5 <> 1 AND doc_id % 3 = 0 AND doc_id % 12 <> 0 THEN concat(vendor, ' Hardware Store') ELSE vendor END AS vendor_name, CASE WHEN doc_id % 5 = 1 THEN 'label_anchor+pattern' ELSE 'positional_fallback' END AS method FROM ({PAGE_SQL})""")
 def name_continuation(t):
     fields = layout.document_fields(layout.line_candidates(page_words(t)))
     return fields.select("doc_id", F.col("vendor.value").alias("vendor_name"),
-                         F.col("vendor.method").alias("method"), F.col("vendor.doubtful").alias("doubtful"))
+                         F.col("vendor.method").alias("method"))
 
 
-@query("L05_date_candidates")
+@query("L05_date_candidates", f"SELECT doc_id, day AS value, 'label_anchor+pattern' AS method, 'accept' AS status FROM ({PAGE_SQL})")
 def date_candidates(t):
-    return layout.choose(layout.line_candidates(page_words(t)), "date")
+    return layout.choose(layout.line_candidates(page_words(t)), "date").select("doc_id", "value", "method", "status")
+
+
+_TOTALS_SQL = f"""SELECT *, CASE WHEN doc_id % 9 = 0 THEN 15 END AS second_page, CASE doc_id % 7 WHEN 0 THEN 10 WHEN 1 THEN 15 WHEN 2 THEN NULL ELSE 20 END + CASE WHEN n > 0 THEN 3 ELSE 0 END AS last_line FROM ({PAGE_SQL})"""
 
 
-@query("L06_total_candidates")
+@query("L06_total_candidates", f"""
+SELECT doc_id, CAST(CASE WHEN last_line >= COALESCE(second_page, 0) THEN grand WHEN second_page IS NOT NULL THEN 99.00 ELSE s END AS DOUBLE) AS value, 'label_anchor+pattern' AS method,
+  CASE WHEN last_line = second_page THEN 'review' ELSE 'accept' END AS status FROM ({_TOTALS_SQL}) WHERE last_line IS NOT NULL OR second_page IS NOT NULL OR s IS NOT NULL""")
 def total_candidates(t):
-    return layout.choose(layout.line_candidates(page_words(t)), "total")
+    return layout.choose(layout.line_candidates(page_words(t)), "total").select(
+        "doc_id", F.col("value").cast("double").alias("value"), "method", "status")
 
 
-@query("L07_total_positional")
+@query("L07_total_positional", f"""
+SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 0 ELSE 2 + 2 * n + CASE WHEN n > 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 2 THEN 1 ELSE 0 END END AS specific_count, CAST(NULL AS VARCHAR) AS total_text FROM ({PAGE_SQL})""")
 def total_positional(t):
     lines = layout.with_label_values(layout.with_table_region(layout.group_lines(page_words(t))))
     only = F.when(F.col("specific_count") == 1, F.col("specific_first.w.text"))
     return lines.where(F.col("line_idx") == 0).select("doc_id", "specific_count", only.alias("total_text"))
 
 
-@query("L08_item_header_row")
+@query("L08_item_header_row", f"SELECT doc_id, CAST(header_row AS INT) AS header_row FROM ({PAGE_SQL})")
 def item_header_row(t):
     lines = layout.with_table_region(layout.group_lines(page_words(t)))
     return lines.where(F.col("line_idx") == 0).select("doc_id", "header_row")
 
 
-@query("L09_item_columns")
+@query("L09_item_columns", f"""
+SELECT doc_id, 'description' AS field, 5e0 AS x0, 300e0 AS x1 FROM ({PAGE_SQL}) UNION ALL SELECT doc_id, 'qty', 295e0, 360e0 FROM ({PAGE_SQL}) UNION ALL SELECT doc_id, 'rate', 355e0, 480e0 FROM ({PAGE_SQL})
+UNION ALL SELECT doc_id, 'amount', 475e0, CASE WHEN doc_id % 4 = 0 THEN 522e0 ELSE 530e0 END FROM ({PAGE_SQL})""")
 def item_columns(t):
     lines = layout.with_table_region(layout.group_lines(page_words(t)))
     return lines.where(F.col("line_idx") == 0).select("doc_id", F.explode("bands").alias("b")).select("doc_id", "b.*")
 
 
-@query("L10_totals_boundary")
+@query("L10_totals_boundary", f"SELECT doc_id, {BOUNDARY_SQL} AS boundary FROM ({PAGE_SQL})")
 def totals_boundary(t):
     lines = layout.with_table_region(layout.group_lines(page_words(t)))
     return lines.where(F.col("line_idx") == 0).select("doc_id", "boundary")
 
 
-@query("L11_item_rows")
+@query("L11_item_rows", """
+SELECT doc_id, position, description, qty, rate, amount, CASE WHEN abs(qty * rate - amount) <= 0.02e0 * greatest(abs(amount), 1e0) THEN 'pass' ELSE 'fail' END AS arithmetic_check, '' AS review_flags FROM (
+  SELECT l_orderkey AS doc_id, CAST(p AS INT) AS position, concat('Part SKU-', CAST(l_partkey AS VARCHAR), CASE WHEN p % 3 = 1 THEN ' with steel handle' ELSE '' END) AS description,
+    l_quantity AS qty, floor(l_extendedprice * 100 / l_quantity) / 100 AS rate, l_extendedprice AS amount
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_extendedprice, l_shipdate) - 1 AS p FROM lineitem))""")
 def item_rows(t):
     return layout.item_rows(page_words(t))
 
 
-@query("L12_discover_fields")
+@query("L12_discover_fields", f"""
+SELECT doc_id, 'shipping' AS key, 'SHIPPING' AS label, '10.00' AS value, CAST(header_row - 3 AS INT) AS line_idx FROM ({PAGE_SQL})
+UNION ALL SELECT doc_id, 'payment_method', 'PAYMENT METHOD', 'Money order', CAST(header_row - 2 AS INT) FROM ({PAGE_SQL})
+UNION ALL SELECT doc_id, 'billtotal', 'BillTotal', CAST(grand AS VARCHAR), {BOUNDARY_SQL} + 2 FROM ({PAGE_SQL}) WHERE doc_id % 7 = 2""")
 def discover_fields(t):
     return layout.discovered_fields(page_words(t))
 

@@ -35,7 +35,7 @@ def page_words(t: Tables) -> DataFrame:
     item_parts = F.array(
         _piece(top, 10, F.concat(F.lit("Part SKU-"), F.col("l_partkey").cast("string"))),
         _piece(top, 300, F.col("l_quantity").cast("int").cast("string")),
-        _piece(top, 362, money(F.col("l_extendedprice") / F.col("l_quantity"))),
+        _piece(top, 362, money(F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100)),
         _piece(top, 482, money(F.col("l_extendedprice"))),
         _piece(top + 16.0, 10, F.when(F.col("n") % 3 == 1, F.lit("with steel handle")).otherwise("")))
     item_words = items.select(F.col("l_orderkey").alias("doc_id"), F.explode(item_parts).alias("e")).select(
