@@ -387,7 +387,8 @@ def item_rows(words: DataFrame) -> DataFrame:
                                                     F.col("below.i").alias("i"))))))
     owner = F.when(F.col("numeric"), F.col("line_idx")).otherwise(F.coalesce(choice["i"], F.lit(-1)))
     rows = near.withColumn("owner", owner).where(F.col("numeric") | (F.col("cells.description") != ""))
-    # One table row and its wrapped lines: bounded by the printed row, not by the document.
+    # One table row and its wrapped lines, whose joined text is the item itself. A
+    # table without any number is a single item made of its body lines.
     parts = F.sort_array(F.collect_list(F.when(F.col("cells.description") != "", F.struct(
         (~F.col("numeric")).alias("wrapped"), "line_idx", F.col("cells.description").alias("d")))))
     merged = rows.groupBy("doc_id", "owner").agg(

@@ -130,16 +130,37 @@ def discover_fields(t):
     return layout.discovered_fields(page_words(t))
 
 
-@query("L13_extract_fields")
+FIELDS_SQL = f"""SELECT *, CASE WHEN internal THEN NULL WHEN doc_id % 5 <> 1 AND doc_id % 3 = 0 AND doc_id % 12 <> 0 THEN concat(vendor, ' Hardware Store') ELSE vendor END AS vendor_name,
+  CASE WHEN doc_id % 6 = 3 THEN 'minute_sheet' WHEN doc_id % 7 = 2 THEN 'approval_request' WHEN doc_id % 6 = 2 THEN 'quotation' WHEN doc_id % 6 = 4 THEN 'purchase_order' WHEN doc_id % 6 = 0 THEN 'invoice' WHEN doc_id % 6 = 1 OR n > 0 THEN 'receipt' END AS document_type,
+  CASE WHEN internal THEN NULL ELSE chosen END AS total, CASE WHEN doc_id % 7 = 2 THEN 22875e0 WHEN internal THEN chosen END AS amount_mentioned, NOT internal AND doc_id % 6 NOT IN (2, 4) AS transactional
+  FROM (SELECT *, doc_id % 6 = 3 OR doc_id % 7 = 2 AS internal, CAST(CASE WHEN last_line >= COALESCE(second_page, 0) THEN grand WHEN second_page IS NOT NULL THEN 99.00 ELSE s END AS DOUBLE) AS chosen FROM ({_TOTALS_SQL}))"""
+
+
+@query("L13_extract_fields", f"""
+SELECT doc_id, document_type, transactional, vendor_name, c_name AS customer_name, concat('INV-', CAST(doc_id AS VARCHAR)) AS invoice_number, CAST(strptime(day, '%d/%m/%Y') AS DATE)::VARCHAR AS invoice_date,
+  CASE WHEN doc_id % 6 <> 0 THEN '1234567-8' END AS ntn, CASE WHEN NOT internal THEN CAST(s AS DOUBLE) END AS subtotal, CASE WHEN NOT internal AND n > 0 THEN CAST(tax AS DOUBLE) END AS tax_amount, total, amount_mentioned FROM ({FIELDS_SQL})""")
 def extract_fields(t):
-    return layout.extract_fields(page_documents(t), page_words(t), AS_OF).drop("raw_text")
+    return layout.extract_fields(page_documents(t), page_words(t), AS_OF).select(
+        "doc_id", "document_type", "transactional", "vendor_name", "customer_name", "invoice_number", "invoice_date",
+        "ntn", "subtotal", "tax_amount", "total", "amount_mentioned")
+
 
+@query("L13_confidence_and_routing")
+def confidence_and_routing(t):
+    return layout.extract_fields(page_documents(t), page_words(t), AS_OF).select(
+        "doc_id", "vendor_method", "vendor_confidence", "date_confidence", "total_confidence", "items_sum", "pass_rate",
+        "totals_pass", "tax_rate_ok", "date_ok", "magnitude_ok", "arithmetic_ok", "currency", "city", "country",
+        "payment_status", "document_confidence", "review_flags", "review_status")
 
 
-@query("L14_build_invoice")
+@query("L14_build_invoice", f"""
+SELECT doc_id, 'purchase' AS type, CASE WHEN transactional THEN 'transactional' ELSE 'non_transactional' END AS transaction_status, vendor_name, concat('scan_', CAST(doc_id AS VARCHAR), '.pdf') AS filename, total, amount_mentioned,
+  CASE WHEN NOT transactional THEN NULL WHEN vendor_name LIKE '%Hardware Store' THEN 'Office Repair & Maintenance' WHEN doc_id % 5 = 0 THEN 'Employee Care' WHEN doc_id % 5 = 1 THEN 'Vehicle Running & Maintenance' END AS category FROM ({FIELDS_SQL})""")
 def build_invoice(t):
     words = page_words(t)
-    fields = layout.extract_fields(page_documents(t), words, AS_OF)
-    files = fields.select("doc_id", F.concat(F.lit("scan_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-                          .alias("filename"))
-    return build_invoices(fields, layout.item_rows(words), files, "purchase").drop("raw_text")
+    pages = page_documents(t)
+    fields = layout.extract_fields(pages, words, AS_OF)
+    files = pages.select("doc_id", F.concat(F.lit("scan_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+                         .alias("filename"))
+    return build_invoices(fields, layout.item_rows(words), files, "purchase").select(
+        "doc_id", "type", "transaction_status", "vendor_name", "filename", "total", "amount_mentioned", "category")
