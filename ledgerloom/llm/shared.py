@@ -44,7 +44,7 @@ def open_target(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    stream = store.open_output_stream(path, buffer_size=1 << 20)
+    stream = store.open_output_stream(path, compression=None, buffer_size=1 << 20)
 
     def finish() -> str:
         stream.close()
