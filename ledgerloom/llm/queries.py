@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, quality, sharding, shared, token_files, tokens, warc
+from ledgerloom.llm import langid, packing, quality, sharding, shared, token_files, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "reason", F.col("n_tokens_0").alias("n_tokens"))
 
 
+def fold(column: str = "doc_id") -> Column:
+    """0 marks the held-out rows."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.labelled(docs, labels.where(fold() != 0)))
+    return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), shared.fresh_folder(spark, "warc"))
@@ -67,3 +79,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), shared.fresh_folder(spark, "tokens"),
                                         tokens.default_path("byte_bpe_50k.json"))
     return token_files.read_tokens(manifest)
+
+
+@query
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold() != 0))
+    return langid.label(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score",
+                                            F.size("spans").alias("n_spans"))
