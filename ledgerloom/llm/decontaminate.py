@@ -8,6 +8,8 @@ the items' windows word by word."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,38 @@ def word_list(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def grams(words: Column, n: int) -> Column:
-    """Hashes of all n-word runs, in order."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
+def gram_hash(hashes: list[Column]) -> Column:
+    """Hash of a run of words from the words' own hashes."""
+    mixed = hashes[0]
+    for j, h in enumerate(hashes[1:], 1):
+        mixed = mixed.bitwiseXOR(F.shiftleft(h, 3 * j))
+    return F.xxhash64(mixed)
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """``words`` of ``text`` with ``hashes`` of each and their number. Every step is a
+    projection of its own: a list used twice in one expression would be built twice."""
+    rows = rows.withColumn("words", word_list(F.col("text")))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    return rows.withColumn("n_words", F.size("hashes").cast("long"))
 
 
-def minima(hashes: Column, width: int) -> Column:
-    """Distinct least hashes of all runs of ``width``."""
-    starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(1), F.size(hashes) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(hashes, i, F.lit(width)))))
+def fingerprints(rows: DataFrame, keep: list[str], gram: int, run: int) -> DataFrame:
+    """``keep``, p, mark: the least hash of each ``run`` of ``gram``-word runs, from p on,
+    where it differs from that of the run before; and one row p = -1 for every text.
+
+    Places are exploded from the list of word hashes, so that all arithmetic is compiled
+    code; no row carries words."""
+    width = gram + run - 1
+    last = F.greatest(F.col("n_words").cast("int") - width, F.lit(-1))
+    rows = rows.select(*keep, "hashes", F.explode(F.sequence(F.lit(-1), last)).alias("p"))
+    rows = rows.select(*keep, "p", *[F.get("hashes", F.col("p") + j).alias(f"h{j + 1}") for j in range(-1, width)])
+    rows = rows.select(*keep, "p", *[gram_hash([F.col(f"h{i + j}") for j in range(gram)]).alias(f"g{i}") for i in range(run + 1)])
+    least = lambda first, n: F.least(*[F.col(f"g{i}") for i in range(first, first + n)]) if n > 1 else F.col(f"g{first}")
+    # the task number keeps the filter above the hashes; below them it would compute each anew
+    rows = rows.select(*keep, "p", least(1, run).alias("mark"), least(0, run).alias("before"), F.spark_partition_id().alias("task"))
+    rows = rows.where((F.col("task") >= 0) & ((F.col("p") <= 0) | (F.col("mark") != F.col("before"))))
+    return rows.select(*keep, "p", F.when(F.col("p") < 0, F.xxhash64(*keep)).otherwise(F.col("mark")).alias("mark"))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -46,50 +70,36 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
         .select("item_id", "size", F.array_join(F.slice("words", F.col("at"), F.col("size")), " ").alias("window")).distinct()
 
 
-def marked(rows: DataFrame, unit: int, run: int) -> DataFrame:
-    """``rows`` (with ``words``) and the fingerprints of each. Every step is a projection
-    of its own: a lambda over an unnamed list would build the list anew for each word."""
-    hashed = rows.withColumn("hashes", grams(F.col("words"), unit))
-    return hashed.withColumn("marks", minima(F.col("hashes"), run))
-
-
 def shared_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(key, at, size, item_id): every place of a document (word ``at``, from 1) where a
     window of an item stands; and (key, doc_id, n_words) of all rows, from the one pass
     that reads and hashes the texts. ``docs``: key, doc_id, text."""
     windows = shared.stored(item_windows(items, width=width), "windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``width`` numbers
-    # windows too short to be winnowed are their own only fingerprint
-    units = {size: (gram, width - gram + 1) if size == width else (size, 1) for size in sizes}
-    lists = docs.select("key", "doc_id", word_list(F.col("text")).alias("words"))
-    columns = []
-    for size, (unit, run) in units.items():
-        lists = marked(lists, unit, run).withColumnsRenamed({"hashes": f"hashes_{size}", "marks": f"marks_{size}"})
-        columns.append(f"marks_{size}")
-    first = shared.stored(lists.select("key", "doc_id", F.size("words").cast("long").alias("n_words"), *columns), "fingerprints")
-    found = []
-    for size, (unit, run) in units.items():
-        own = windows.where(F.col("size") == size).select(F.split("window", " ").alias("words"), "window", "item_id")
-        marks = shared.stored(marked(own.select("words"), unit, run).select(F.explode("marks").alias("mark")).distinct(), "marks")
-        picked = first.select("key", F.explode(f"marks_{size}").alias("mark"))
-        hits = picked.join(marks, "mark", "left_semi").groupBy("key").agg(F.collect_set("mark").alias("hit_marks"))
+    lists, keep, found, rows = hashed(docs), ["key", "doc_id", "n_words"], [], None
+    for size in [*[s for s in sizes if s != width], width]:
+        # windows too short to be winnowed are their own only fingerprint
+        unit, run = (gram, width - gram + 1) if size == width else (size, 1)
+        own = windows.where(F.col("size") == size)
+        marks = fingerprints(hashed(own.select("item_id", F.col("window").alias("text"))), ["item_id"], unit, run).where("p >= 0")
+        marks = shared.stored(marks.select("mark", F.lit(True).alias("hit")).distinct(), "marks")
+        picked = fingerprints(lists, keep, unit, run).join(marks, "mark", "left").where("hit OR p = -1")
+        picked = shared.stored(picked.select(*keep, "p", "mark"), "picked")
+        rows = picked.where("p = -1").select(*keep)
+        hits = picked.where("p >= 0").groupBy("key").agg(F.collect_set("mark").alias("marks"))
         # extend: all windows around the places of shared fingerprints
-        texts = docs.select("key", "text").join(shared.stored(hits, "hits"), "key")
-        texts = texts.select("key", "hit_marks", word_list(F.col("text")).alias("words")).withColumn("hashes", grams(F.col("words"), unit))
-        places = F.filter(F.sequence(F.lit(1), F.size("hashes")),
-                          lambda i: F.array_contains(F.col("hit_marks"), F.get(F.col("hashes"), i - 1)))
-        texts = texts.withColumn("places", places)
+        texts = hashed(docs.select("key", "text").join(shared.stored(hits, "hits"), "key")).where(F.col("n_words") >= size)
+        starts = F.sequence(F.lit(0), F.size("hashes") - unit)
+        texts = texts.select("key", "marks", "words", "hashes").withColumn(
+            "grams", F.transform(starts, lambda i: gram_hash([F.get("hashes", i + j) for j in range(unit)])))
+        places = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains(F.col("marks"), F.get("grams", i - 1)))
+        texts = texts.select("key", "words", places.alias("places"))
         around = F.transform("places", lambda p: F.sequence(F.greatest(p - (size - unit), F.lit(1)), p))
         spans = texts.select("key", "words", F.explode(F.array_distinct(F.flatten(around))).alias("at")) \
             .where(F.col("at") <= F.size("words") - (size - 1)) \
             .select("key", "at", F.array_join(F.slice("words", F.col("at"), F.lit(size)), " ").alias("window"))
         found.append(spans.join(own.select("window", "item_id"), "window").select("key", "at", F.lit(size).alias("size"), "item_id"))
-    if not found:
-        return first.select("key", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("item_id")).where("false"), first
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out, first
+    return reduce(DataFrame.unionByName, found), rows
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
