@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, langid, packing, quality, sharding, shared, token_files, tokens, toxicity, warc
+from ledgerloom.llm import decontaminate, langid, packing, quality, sharding, shared, substrings, token_files, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,27 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "reason", F.col("n_tokens_0").alias("n_tokens"))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+s AS (SELECT doc_id, st, md5(array_to_string(w[st : st + 19], ' ')) AS win
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS st FROM d WHERE len(w) >= 20)),
+l AS (SELECT doc_id, st FROM (SELECT doc_id, st, row_number() OVER (PARTITION BY win ORDER BY doc_id, st) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(st, st + 19)) AS p FROM l),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept, count(*) AS n FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.p = g.p
+    GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)
+"""
+
+
 def fold(column: str = "doc_id") -> Column:
     """0 marks the held-out rows."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
