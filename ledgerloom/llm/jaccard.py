@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from ledgerloom.llm.kernels import LOWER, Texts, Words, bounds, mix, pieces, ran
 SHINGLE, PERCENT = 3, 90
 #: n-grams of one block of a cluster; texts in the sample that tells very common n-grams; share that is very common
 BLOCK_GRAMS, SAMPLE, COMMON = 1 << 19, 4000, 0.01
-BUCKETS_PER_SLOT = 8
+BUCKETS_PER_SLOT = 2
 _COMMON_RANK = 1 << 40
 
 
@@ -107,82 +108,92 @@ def ordered_sets(texts: DataFrame, shingle: int, percent: int, common: dict[int,
     known = np.asarray(sorted(common), np.int64)
     times = np.asarray([common[k] for k in sorted(common)], np.int64)
     held = spark.sparkContext.broadcast((known, times))  # bounded by the sample, see common_grams
-    out_schema = "bucket INT, keys ARRAY<BIGINT>, counts ARRAY<INT>, grams ARRAY<BIGINT>, ranks ARRAY<BIGINT>"
+    # texts are addressed by slice and place in it; only a slice's own row names their keys
+    schema = "bucket INT, slice BIGINT, places ARRAY<INT>, grams ARRAY<BIGINT>, ranks ARRAY<BIGINT>, keys ARRAY<BIGINT>"
 
     def lists(offsets: np.ndarray, values: np.ndarray, kind) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
-    def packed(bucket: np.ndarray, key: np.ndarray, gram: np.ndarray, rank: np.ndarray, extra: np.ndarray | None = None):
-        """Rows per bucket of (key, n-gram) entries; keys run-length coded."""
-        order = np.lexsort((gram, key, bucket))
-        bucket, key, gram, rank = bucket[order], key[order], gram[order], rank[order]
-        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        run = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]))))
+    def packed(bucket: np.ndarray, owner: np.ndarray, place: np.ndarray, gram: np.ndarray, rank: np.ndarray, keys=None) -> pa.RecordBatch:
+        """One row per bucket and slice of the entries (place, n-gram, rank)."""
+        order = np.lexsort((gram, place, owner, bucket))
+        bucket, owner = bucket[order], owner[order]
+        edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])))) if len(bucket) \
+            else np.zeros(0, np.int64)
+        at = np.append(edge, len(bucket))
+        named = lists(at if keys is not None else np.zeros(len(at), np.int64), keys[order] if keys is not None else np.zeros(0, np.int64), pa.int64())
         return pa.RecordBatch.from_arrays([
-            pa.array(bucket[edge].astype(np.int32)), lists(np.append(np.searchsorted(run, edge), len(run)), key[run], pa.int64()),
-            lists(np.append(np.searchsorted(run, edge), len(run)), np.diff(np.append(run, len(key))).astype(np.int32), pa.int32()),
-            lists(np.append(edge, len(gram)), gram, pa.int64()), lists(np.append(edge, len(gram)), rank, pa.int64())],
-            ["bucket", "keys", "counts", "grams", "ranks"])
+            pa.array(bucket[edge].astype(np.int32)), pa.array(owner[edge]), lists(at, place[order].astype(np.int32), pa.int32()),
+            lists(at, gram[order], pa.int64()), lists(at, rank[order], pa.int64()), named],
+            ["bucket", "slice", "places", "grams", "ranks", "keys"])
 
     spread = lambda values: (mix(values.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = held.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch.column(1)):
                 _, _, keys, doc = gram_sets(part, shingle)
                 if not len(keys):
                     continue
-                own = np.asarray(batch.column(0))[part.rows]
+                number += 1
                 gram = signed(keys)
                 at = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
                 usual = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-                key = own[doc]
-                # rank 0: to be counted; the text's own row (rank -1) carries its set size as the n-gram
-                size = np.bincount(doc, minlength=len(own))
+                home = lambda n: np.full(n, number, np.int64)  # noqa: B023, E731
+                yield packed(spread(gram[~usual]), home((~usual).sum()), doc[~usual], gram[~usual], np.zeros((~usual).sum(), np.int64))
+                if usual.any():
+                    n = int(usual.sum())
+                    yield packed(spread(home(n)), home(n), doc[usual], gram[usual], _COMMON_RANK + times[at[usual]])
+                size = np.bincount(doc, minlength=len(part))
                 some = np.flatnonzero(size)
-                bucket = np.concatenate((spread(gram[~usual]), spread(key[usual]), spread(own[some])))
-                yield packed(bucket, np.concatenate((key[~usual], key[usual], own[some])),
-                             np.concatenate((gram[~usual], gram[usual], size[some])),
-                             np.concatenate((np.zeros((~usual).sum(), np.int64), _COMMON_RANK + times[at[usual]],
-                                             np.full(len(some), -1))))
+                yield packed(spread(home(len(some))), home(len(some)), some, size[some], np.full(len(some), -1),
+                             np.asarray(batch.column(0))[part.rows][some])
 
-    def flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate([np.asarray(c.flatten()) for c in table.column(name).chunks]) for name in ("keys", "counts"))
-        grams, ranks = (np.concatenate([np.asarray(c.flatten()) for c in table.column(name).chunks]) for name in ("grams", "ranks"))
-        return np.repeat(keys, counts), grams, ranks
+    def flat(table: pa.Table, name: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[np.asarray(c.flatten()) for c in table.column(name).chunks]]).astype(np.int64)
+
+    def entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+        sizes = np.concatenate([np.asarray(pa.compute.list_value_length(c)) for c in table.column("places").chunks])
+        return np.repeat(table.column("slice").to_numpy(), sizes), flat(table, "places"), flat(table, "grams"), flat(table, "ranks")
 
     def count(table: pa.Table) -> pa.Table:
-        key, gram, rank = flat(table)
+        """Ranks of new n-grams become their counts; those found once are left out."""
+        named = pa.compute.greater(pa.compute.list_value_length(table.column("keys")), 0)
+        owner, place, gram, rank = entries(table.filter(pa.compute.invert(named))) if not pa.compute.all(named).as_py() else [np.zeros(0, np.int64)] * 4
         new = np.flatnonzero(rank == 0)
         _, inverse, times = np.unique(gram[new], return_inverse=True, return_counts=True)
+        rank = rank.copy()
         rank[new] = times[inverse]
-        keep = (rank < 0) | (rank > 1)
-        return pa.Table.from_batches([packed(spread(key[keep]), key[keep], gram[keep], rank[keep])]) if keep.any() else empty()
-
-    def empty() -> pa.Table:
-        z = np.zeros(0, np.int64)
-        return pa.table({"bucket": pa.array(z, pa.int32()), "keys": pa.array([], pa.list_(pa.int64())), "counts": pa.array([], pa.list_(pa.int32())),
-                         "grams": pa.array([], pa.list_(pa.int64())), "ranks": pa.array([], pa.list_(pa.int64()))})
+        keep = rank > 1
+        out = pa.Table.from_batches([packed(spread(owner[keep]), owner[keep], place[keep], gram[keep], rank[keep])])
+        return pa.concat_tables([out, table.filter(named).cast(out.schema)])
 
     def choose(table: pa.Table) -> pa.Table:
-        key, gram, rank = flat(table)
+        owner, place, gram, rank = entries(table)
+        slices, code = np.unique(owner, return_inverse=True)
+        text = code.astype(np.int64) << 32 | place
         own = rank < 0
-        size = dict(zip(key[own].tolist(), gram[own].tolist(), strict=True))
-        key, gram, rank = key[~own], gram[~own], rank[~own]
-        order = np.lexsort((gram, rank, key))
-        key, gram = key[order], gram[order]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        keys, have = key[edge], np.diff(np.append(edge, len(key)))
-        n = np.asarray([size[k] for k in keys.tolist()], np.int64)
+        order = np.argsort(text[own])
+        texts_, size = text[own][order], gram[own][order]
+        named = table.filter(pa.compute.greater(pa.compute.list_value_length(table.column("keys")), 0))
+        key_of = flat(named, "keys")[order]  # rows with keys hold exactly the entries of rank -1, in the same order
+        text, gram, rank = text[~own], gram[~own], rank[~own]
+        order = np.lexsort((gram, rank, text))
+        text, gram = text[order], gram[order]
+        edge = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
+        have = np.diff(np.append(edge, len(text)))
+        at = np.searchsorted(texts_, text[edge])
+        n = size[at]
         front = prefix(n, percent) - (n - have)  # n-grams found nowhere else come first and match nothing
         keep = np.flatnonzero(front > 0)
         posted = [gram[edge[i]:edge[i] + front[i]] for i in keep]
         sets = [gram[edge[i]:edge[i] + have[i]] for i in keep]
-        return pa.table({"key": pa.array(keys[keep], pa.int64()), "n": pa.array(n[keep], pa.int64()),
+        return pa.table({"key": pa.array(key_of[at[keep]], pa.int64()), "n": pa.array(n[keep], pa.int64()),
                          "posted": pa.array(posted, pa.list_(pa.int64())), "grams": pa.array(sets, pa.list_(pa.int64()))})
 
-    counted = texts.select("key", "text").mapInArrow(send, out_schema).groupBy("bucket").applyInArrow(count, out_schema)
+    counted = texts.select("key", "text").mapInArrow(send, schema).groupBy("bucket").applyInArrow(count, schema)
     sets = counted.groupBy("bucket").applyInArrow(choose, "key BIGINT, n BIGINT, posted ARRAY<BIGINT>, grams ARRAY<BIGINT>")
     return shared.stored(sets, "gram-sets")
 

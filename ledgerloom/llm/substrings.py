@@ -25,7 +25,7 @@ from ledgerloom.llm import shared
 from ledgerloom.llm.kernels import Words, bounds, gather, mix, pieces, range_hashes, signed, windows, words
 
 WINDOW = 20
-BUCKETS_PER_SLOT = 8
+BUCKETS_PER_SLOT = 2
 #: entries of a packed row: text (rank, variant), mark with a second hash, place; done: nothing left to compare
 _PACKED = "bucket INT, done BOOLEAN, ranks ARRAY<BIGINT>, variants ARRAY<INT>, marks ARRAY<BIGINT>, checks ARRAY<BIGINT>, places ARRAY<INT>"
 _LISTS = ("ranks", "variants", "marks", "checks", "places")
