@@ -33,6 +33,13 @@ def exact_duplicates(uploads: DataFrame) -> DataFrame:
             .agg(F.min("upload_id").alias("kept_id"), F.count("*").alias("copies")).where(F.col("copies") > 1))
 
 
+def exact_duplicate_members(uploads: DataFrame) -> DataFrame:
+    """Every upload of a group of copies with the one that stays, as long rows."""
+    hashed = uploads.select(COMPANY, "upload_id", F.sha2(F.col("content"), 256).alias("file_hash"))
+    groups = exact_duplicates(uploads).select(COMPANY, "file_hash", "kept_id")
+    return splittable_join(hashed, groups, [COMPANY, "file_hash"])
+
+
 def likely_duplicates(invoices: DataFrame) -> DataFrame:
     """Same vendor (normalised), number, total and date under different ids."""
     keyed = invoices.withColumn("k", duplicate_key("vendor_name", "invoice_number", "total", "invoice_date"))
@@ -80,7 +87,8 @@ def apply_reclassify(invoices: DataFrame, decisions: DataFrame) -> DataFrame:
         .otherwise(F.col("amount_mentioned")),
         "category": F.when(demoted, none).otherwise(F.col("category")),
         "transaction_status": F.coalesce("target", "transaction_status"),
-        "classification_source": F.when(F.col("target").isNotNull(), "user_override").otherwise("rule"),
+        "classification_source": F.when(F.col("target").isNotNull(), "user_override").otherwise(
+            F.col("classification_source")),
     }).drop("target")
 
 
@@ -94,10 +102,14 @@ def apply_send_to_accounting(invoices: DataFrame, decisions: DataFrame) -> DataF
 
 
 def apply_corrections(invoices: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply only supplied fields. ``patches`` carries one ``fields`` map per
-    invoice; an absent key leaves the column alone, a present key with a null
-    value clears it. Status moves only between the two saved states."""
-    joined = invoices.join(patches.select("invoice_id", "fields"), "invoice_id", "left")
+    """Apply only supplied fields. ``patches`` carries ``fields`` maps with the time
+    ``patched_at``; of several patches of an invoice the last that names a field counts
+    for it. An absent key leaves the column alone, a present key with a null value
+    clears it. Status moves only between the two saved states."""
+    fields = patches.select("invoice_id", "patched_at", F.explode("fields").alias("field", "value"))
+    last = fields.groupBy("invoice_id", "field").agg(F.max(F.struct("patched_at", "value")).alias("last"))
+    merged = last.groupBy("invoice_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "last.value"))).alias("fields"))
+    joined = invoices.join(merged, "invoice_id", "left")
     saved = F.col("status").isin("validated", "sent_to_accounting")
 
     def patched(column: str, kind: str, guard: Column | None = None) -> Column:

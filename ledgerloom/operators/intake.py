@@ -88,6 +88,11 @@ def incremental_window(files: DataFrame, conversations: DataFrame, now, window_d
 def fail_stuck_jobs(jobs: DataFrame, now, hours: int = STUCK_HOURS) -> DataFrame:
     cutoff = F.lit(str(now)).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
     stuck = F.col("status").isin("queued", "running") & (F.col("started_at") < cutoff)
+    """Jobs without progress end as failed: the message is added to their ``errors`` and
+    ``completed_at`` is set; other jobs stay as they are."""
+    message = F.lit(f"No progress for over {hours}h")
+    known = F.coalesce("errors", F.array().cast("array<string>"))
     return jobs.withColumns({
-        "error": F.when(stuck, F.concat(F.lit("No progress for over "), F.lit(str(hours)), F.lit("h"))),
+        "errors": F.when(stuck, F.array_append(known, message)).otherwise(F.col("errors")),
+        "completed_at": F.when(stuck, F.lit(str(now)).cast("timestamp_ntz")).otherwise(F.col("completed_at")),
         "status": F.when(stuck, "failed").otherwise(F.col("status"))})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.core import lookup
 from ledgerloom.functions.predicates import PAYMENT_METHOD_MAP, day, error_hint
 from ledgerloom.operators.aggregates import COMPANY
+from ledgerloom.operators.skew import splittable_join
 
 DEFAULT_EXPENSE_CATEGORY = "Raw Material"
 
@@ -112,6 +113,16 @@ def new_scans_only(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.join(known, [COMPANY, "file_hash"], "left_anti")
 
 
+def scan_outcomes(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Every upload with the stored row of the same content (``existing_id``, null when
+    it is new) and the upload of the batch that stands for its copies (``kept_id``)."""
+    hashed = lambda df: df.select(COMPANY, "upload_id", F.sha2(F.col("content"), 256).alias("file_hash"))
+    fresh, known = hashed(batch), hashed(stored).groupBy(COMPANY, "file_hash").agg(F.min("upload_id").alias("existing_id"))
+    kept = fresh.groupBy(COMPANY, "file_hash").agg(F.min("upload_id").alias("kept_id"))
+    outcome = kept.join(known, [COMPANY, "file_hash"], "left")
+    return splittable_join(fresh, outcome, [COMPANY, "file_hash"]).select(COMPANY, "upload_id", "existing_id", "kept_id")
+
+
 def bulk_link_vendor(invoices: DataFrame, links: DataFrame) -> DataFrame:
     """Set the vendor on listed purchases of the same company; other ids are ignored."""
     mapping = links.select(COMPANY, "invoice_id", F.col("vendor_id").alias("new_vendor_id"))
@@ -131,11 +142,14 @@ def conversation_counts(conversations: DataFrame, files: DataFrame, include_dele
 
 def sender_verdicts(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """Winning rule action per message. A rule names a full address or a bare
-    domain and is unique per account and pattern, so two left equi-joins find
-    both without exploding messages or grouping them again; deny beats allow.
+    domain. Spellings of one pattern are first reduced to one rule, so two left
+    equi-joins find both without exploding messages or grouping them again; deny
+    beats allow, among spellings and between address and domain.
     A sender with a third of all mail is a hot left key, which AQE splits."""
     cleaned = rules.select("account_id", F.lower(F.trim("pattern")).alias("pattern"), "action") \
-                   .where(F.col("pattern") != "")
+                   .where(F.col("pattern") != "").groupBy("account_id", "pattern") \
+                   .agg(F.max("action").alias("most"), F.bool_or(F.col("action") == "deny").alias("denied")) \
+                   .select("account_id", "pattern", F.when(F.col("denied"), "deny").otherwise(F.col("most")).alias("action"))
     address = F.lower(F.trim("from_address"))
     domain = F.when(address.contains("@"), F.substring_index(address, "@", -1))
     keyed = messages.withColumn("address_key", F.when(address.contains("@"), address)).withColumn("domain_key", domain)

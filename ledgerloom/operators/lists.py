@@ -4,10 +4,10 @@ sort of everything before them: prefer a filter on the ordering column."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.predicates import CASHBOOK_STATUSES, INVOICE_STATUSES, date_between, is_delayed
+from ledgerloom.functions.predicates import CASHBOOK_STATUSES, INVOICE_STATUSES, date_between, is_delayed, is_scanned_sale
 
 TRANSACTION_STATUSES = ("transactional", "non_transactional")
 
@@ -121,8 +121,22 @@ def category_entries(invoices: DataFrame, **scope) -> DataFrame:
 
 
 def quote_ranking(quotes: DataFrame, request_id=None) -> DataFrame:
-    df = _equals(quotes, request_id=request_id)
-    return df.orderBy(F.desc_nulls_last("score"), F.asc("price"), F.asc("quote_id"))
+    """Every quote with its place within its request, best score first."""
+    order = [F.desc_nulls_last("score"), F.asc("price"), F.asc("quote_id")]
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+    return _equals(quotes, request_id=request_id).withColumn("position", place).orderBy(*order)
+
+
+def sales_list(invoices: DataFrame, generated: bool = False, status: str | None = None) -> DataFrame:
+    """Scanned (or generated) sales, newest first."""
+    made = F.col("extraction_source") == "generated"
+    df = invoices.where((F.col("type") == "sale") & (made if generated else is_scanned_sale()))
+    return _equals(df, status=status).orderBy(F.desc("created_at"), F.asc("invoice_id"))
+
+
+def list_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows a listing has per key, whatever page of it is shown."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("total_count"))
 
 
 def conversation_order(counts: DataFrame) -> DataFrame:

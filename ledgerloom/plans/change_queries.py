@@ -17,7 +17,12 @@ def exact_duplicates(t):
     return changes.exact_duplicates(t.v_upload)
 
 
-_KEYED = f"SELECT company_id, {_normalize_sql('vendor_name')} AS vendor, lower(trim(invoice_number)) AS number, round(total, 0) AS total, CAST(invoice_date AS VARCHAR) AS day, invoice_id FROM {{0}} WHERE vendor_name IS NOT NULL AND invoice_number IS NOT NULL AND total IS NOT NULL AND invoice_date IS NOT NULL"
+@query("D01_duplicate_members", "SELECT company_id, file_hash, upload_id, kept_id FROM (SELECT company_id, sha256(content) AS file_hash, upload_id, min(upload_id) OVER w AS kept_id, COUNT(*) OVER w AS copies FROM v_upload WINDOW w AS (PARTITION BY company_id, sha256(content))) WHERE copies > 1")
+def exact_duplicate_members(t):
+    return changes.exact_duplicate_members(t.v_upload)
+
+
+_KEYED = f"SELECT company_id, {_normalize_sql('vendor_name')} AS vendor, lower(trim(invoice_number)) AS number, round(total, 2) AS total, CAST(invoice_date AS VARCHAR) AS day, invoice_id FROM {{0}} WHERE vendor_name IS NOT NULL AND invoice_number IS NOT NULL AND total IS NOT NULL AND invoice_date IS NOT NULL"
 
 
 @query("D02_likely_duplicates", f"""
@@ -26,7 +31,7 @@ SELECT company_id, vendor, number, total, day, COUNT(*) AS copies, min(invoice_i
 GROUP BY company_id, vendor, number, total, day HAVING COUNT(*) > 1""")
 def likely_duplicates(t):
     """A second scan of every cash purchase under another id and spelling."""
-    whole = t.v_purchase.withColumn("total", F.round("total", 0))
+    whole = t.v_purchase
     rescan = whole.where(F.col("payment_method") == "cash").withColumns({
         "invoice_id": F.concat(F.lit("rescan-"), "invoice_id"),
         "vendor_name": F.concat(F.coalesce("vendor_name", F.lit("")), F.lit(" LLC"))})
@@ -56,7 +61,7 @@ _LAST_TARGET = "SELECT invoice_id, arg_max(target, decided_at) AS target FROM v_
 SELECT invoice_id, COALESCE(target, transaction_status) AS transaction_status,
   CASE WHEN target = 'transactional' AND transaction_status <> target AND total IS NULL AND amount_mentioned IS NOT NULL THEN amount_mentioned WHEN target = 'non_transactional' AND transaction_status <> target AND amount_mentioned IS NULL THEN NULL ELSE total END AS total,
   CASE WHEN target = 'transactional' AND transaction_status <> target AND total IS NULL AND amount_mentioned IS NOT NULL THEN NULL WHEN target = 'non_transactional' AND transaction_status <> target AND amount_mentioned IS NULL THEN total ELSE amount_mentioned END AS amount_mentioned,
-  CASE WHEN target = 'non_transactional' AND transaction_status <> target THEN NULL ELSE category END AS category, CASE WHEN target IS NULL THEN 'rule' ELSE 'user_override' END AS classification_source
+  CASE WHEN target = 'non_transactional' AND transaction_status <> target THEN NULL ELSE category END AS category, CASE WHEN target IS NULL THEN classification_source ELSE 'user_override' END AS classification_source
 FROM v_purchase LEFT JOIN ({_LAST_TARGET}) USING (invoice_id)""")
 def apply_reclassify(t):
     return changes.apply_reclassify(t.v_purchase, t.v_decision).select(
@@ -65,24 +70,27 @@ def apply_reclassify(t):
 
 @query("M03_apply_send_to_accounting", """
 SELECT invoice_id, CASE WHEN status IN ('processed', 'validated') THEN 'sent_to_accounting' ELSE status END AS status, CASE WHEN status IN ('processed', 'validated') THEN 'sent' ELSE 'needs review or validation first' END AS outcome
-FROM v_purchase i WHERE EXISTS (SELECT 1 FROM v_decision d WHERE d.invoice_id = i.invoice_id AND (d.action = 'send' OR d.action = 'reject'))""")
+FROM v_purchase i WHERE EXISTS (SELECT 1 FROM v_decision d WHERE d.invoice_id = i.invoice_id AND d.action = 'send')""")
 def apply_send_to_accounting(t):
-    wanted = t.v_decision.withColumn("action", F.when(F.col("action").isin("send", "reject"), "send"))
-    return changes.apply_send_to_accounting(t.v_purchase, wanted).select("invoice_id", "status", "outcome")
+    return changes.apply_send_to_accounting(t.v_purchase, t.v_decision).select("invoice_id", "status", "outcome")
 
 
 _PATCHED = "p.payment_method = 'bank'"
 
 
 @query("M04_apply_corrections", f"""
-SELECT invoice_id, CASE WHEN {_PATCHED} THEN 'Corrected' ELSE vendor_name END AS vendor_name, CASE WHEN {_PATCHED} THEN NULL ELSE category END AS category, CASE WHEN {_PATCHED} THEN 12.5e0 ELSE total END AS total,
+SELECT invoice_id, CASE WHEN {_PATCHED} THEN CASE WHEN status = 'validated' THEN 'Corrected twice' ELSE 'Corrected' END ELSE vendor_name END AS vendor_name, CASE WHEN {_PATCHED} THEN NULL ELSE category END AS category, CASE WHEN {_PATCHED} THEN 12.5e0 ELSE total END AS total,
   CASE WHEN {_PATCHED} AND status IN ('validated', 'sent_to_accounting') THEN 'validated' ELSE status END AS status, COALESCE({_PATCHED} AND status NOT IN ('validated', 'sent_to_accounting'), FALSE) AS status_refused FROM v_purchase p""")
 def apply_corrections(t):
     patch = F.create_map(*[F.lit(x) for x in ("vendor_name", "Corrected", "total", "12.5", "status", "validated")])
     cleared = F.map_from_entries(F.array(F.struct(F.lit("category").alias("key"), F.lit(None).cast("string")
                                                   .alias("value"))))
     patches = t.v_purchase.where(F.col("payment_method") == "bank").select(
-        "invoice_id", F.map_concat(patch, cleared).alias("fields"))
+        "invoice_id", F.lit("2001-07-01").cast("date").alias("patched_at"), F.map_concat(patch, cleared).alias("fields"))
+    again = t.v_purchase.where((F.col("payment_method") == "bank") & (F.col("status") == "validated")).select(
+        "invoice_id", F.lit("2001-07-02").cast("date").alias("patched_at"),
+        F.create_map(F.lit("vendor_name"), F.lit("Corrected twice")).alias("fields"))
+    patches = patches.unionByName(again)
     return changes.apply_corrections(t.v_purchase, patches).select("invoice_id", "vendor_name", "category", "total",
                                                                    "status", "status_refused")
 

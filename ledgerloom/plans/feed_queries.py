@@ -125,13 +125,17 @@ def incremental_window(t):
 _STUCK = f"status IN ('queued', 'running') AND started_at < TIMESTAMP '{FEED_NOW}' - INTERVAL 1 HOUR"
 
 
-@query("K06_stuck_jobs", f"SELECT job_id, CASE WHEN {_STUCK} THEN 'failed' ELSE status END AS status, CASE WHEN {_STUCK} THEN 'No progress for over 1h' END AS error FROM v_job")
+_ENDED = f"CASE WHEN {_STUCK} THEN TIMESTAMP '{FEED_NOW}' ELSE completed_at END"
+
+
+@query("K06_stuck_jobs", f"""
+SELECT job_id, CASE WHEN {_STUCK} THEN 'failed' ELSE status END AS status,
+  concat_ws('|', array_to_string(errors, '|'), CASE WHEN {_STUCK} THEN 'No progress for over 1h' END) AS errors, {seconds(_ENDED)} AS completed_at FROM v_job""")
 def stuck_jobs(t):
-    return intake.fail_stuck_jobs(t.v_job, FEED_NOW).select("job_id", "status", "error")
+    return intake.fail_stuck_jobs(t.v_job, FEED_NOW).select("job_id", "status", "errors", "completed_at")
 
 
 @query("K09_due_accounts", """
-SELECT account_id FROM v_account a WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM v_job j WHERE j.account_id = a.account_id AND j.status IN ('queued', 'running') AND j.started_at >= TIMESTAMP '2024-01-29 12:00:00')""")
+SELECT account_id FROM v_account a WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM v_job j WHERE j.account_id = a.account_id AND j.status IN ('queued', 'running'))""")
 def due_accounts(t):
-    recent = t.v_job.where("started_at >= TIMESTAMP_NTZ '2024-01-29 12:00:00'")
-    return joins.due_accounts(t.v_account, recent).select("account_id")
+    return joins.due_accounts(t.v_account, t.v_job).select("account_id")

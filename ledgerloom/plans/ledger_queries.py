@@ -57,6 +57,21 @@ def invoice_list(t):
         "invoice_id", "company_id", "status", "transaction_status", "invoice_date", "created_at", "total")
 
 
+@query("P01_invoice_total", "SELECT company_id, COUNT(*) AS total_count FROM v_purchase WHERE status = 'needs_review' GROUP BY company_id")
+def invoice_total(t):
+    return lists.list_totals(t.v_purchase.where(F.col("status") == "needs_review"), ["company_id"])
+
+
+@query("P11_scanned_sales_list", f"SELECT invoice_id, company_id, status FROM v_sales WHERE {SCANNED} AND status = 'needs_review'")
+def scanned_sales_list(t):
+    return lists.sales_list(t.v_sales, status="needs_review").select("invoice_id", "company_id", "status")
+
+
+@query("P11_generated_sales_list", "SELECT invoice_id, company_id, status FROM v_sales WHERE type = 'sale' AND extraction_source = 'generated'")
+def generated_sales_list(t):
+    return lists.sales_list(t.v_sales, generated=True).select("invoice_id", "company_id", "status")
+
+
 @query("P02_expense_list", """
 SELECT expense_id, company_id, category, vendor_name, CAST(expense_date AS VARCHAR) AS expense_date, amount
 FROM v_expense WHERE status = 'approved' AND expense_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND vendor_name ILIKE '%SUPPLIER%1%'""")
@@ -298,6 +313,15 @@ def file_audit(t):
     return joins.file_audit(t.v_files_listing, t.v_files_stored)
 
 
+@query("J11_scan_outcomes", """
+SELECT b.company_id, b.upload_id, s.existing_id, b.kept_id FROM (
+  SELECT company_id, upload_id, sha256(content) AS h, min(upload_id) OVER (PARTITION BY company_id, sha256(content)) AS kept_id FROM v_upload WHERE source NOT LIKE 'src1%') b
+LEFT JOIN (SELECT company_id, sha256(content) AS h, min(upload_id) AS existing_id FROM v_upload WHERE source LIKE 'src1%' GROUP BY ALL) s ON s.company_id = b.company_id AND s.h = b.h""")
+def scan_outcomes(t):
+    stored = F.col("source").startswith("src1")
+    return joins.scan_outcomes(t.v_upload.where(~stored), t.v_upload.where(stored))
+
+
 @query("J11_new_scans_only", """
 SELECT company_id, sha256(content) AS file_hash, min(upload_id) AS upload_id, COUNT(*) AS copies FROM v_upload b WHERE source NOT LIKE 'src1%'
   AND NOT EXISTS (SELECT 1 FROM v_upload s WHERE s.source LIKE 'src1%' AND s.company_id = b.company_id AND sha256(s.content) = sha256(b.content)) GROUP BY ALL""")
@@ -608,11 +632,9 @@ def conversation_cursor(t):
 
 
 @query("T01_quote_ranking", """
-SELECT request_id, quote_id, vendor_name, score, price, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, price, quote_id) AS INT) AS position FROM v_quote QUALIFY position <= 3""")
+SELECT request_id, quote_id, vendor_name, score, price, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, price, quote_id) AS INT) AS position FROM v_quote""")
 def quote_ranking(t):
-    order = [F.desc_nulls_last("score"), F.asc("price"), F.asc("quote_id")]
-    return agg.top_per_group(t.v_quote, ["request_id"], order, 3).select("request_id", "quote_id", "vendor_name",
-                                                                         "score", "price", "position")
+    return lists.quote_ranking(t.v_quote).select("request_id", "quote_id", "vendor_name", "score", "price", "position")
 
 
 @query("T02_conversation_order", f"SELECT conversation_id, file_count, last_error FROM ({CONVERSATIONS_SQL})")
@@ -700,7 +722,8 @@ def report_cash_flow(t):
 @query("R03_report_tax_summary", f"""
 SELECT company_id, CASE WHEN filer_status = 'filer' THEN 'Filer' ELSE 'Non-Filer' END AS filer_label, revenue AS gross_revenue, revenue * (default_gst_rate / 100) AS output_gst, approved * (withholding_tax_rate / 100) AS withholding_tax,
   revenue * (default_gst_rate / 100) - approved * (withholding_tax_rate / 100) AS net_tax, {label('revenue * (default_gst_rate / 100) - approved * (withholding_tax_rate / 100)')} AS display
-FROM ({BOTH_SQL.format(start=START, end=END)}) JOIN v_tax_settings USING (company_id)""")
+FROM (SELECT b.*, COALESCE(default_gst_rate, 18e0) AS default_gst_rate, COALESCE(withholding_tax_rate, 0e0) AS withholding_tax_rate, COALESCE(filer_status, 'filer') AS filer_status
+  FROM ({BOTH_SQL.format(start=START, end=END)}) b LEFT JOIN v_tax_settings USING (company_id))""")
 def report_tax_summary(t):
     return reports.tax_summary(t.v_sales, t.v_expense, t.v_tax_settings, START, END)
 
@@ -712,7 +735,7 @@ SALES_PERIOD = f"AND {BUCKET} BETWEEN DATE '2001-01-01' AND DATE '{END}'"
 @query("R04_report_sales", _report_sql(
     f"SELECT company_id, {cents('total')} AS revenue, COUNT(*) AS documents, {count_if(PENDING)} AS pending FROM v_sales WHERE {SCANNED} {SALES_PERIOD} GROUP BY company_id",
     {"Total Revenue": "revenue", "Documents Scanned": "documents", "Pending Review": "pending"},
-    f"SELECT company_id, customer_name AS label, total AS value FROM ({CUSTOMERS_SQL.format(period=SALES_PERIOD)}) QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY total DESC, customer_name) <= 1000"))
+    f"SELECT company_id, customer_name AS label, total AS value FROM ({CUSTOMERS_SQL.format(period=SALES_PERIOD)})"))
 def report_sales(t):
     return reports.sales(t.v_sales, "2001-01-01", END)
 

@@ -19,7 +19,8 @@ from ledgerloom.operators import lists, trends
 from ledgerloom.operators.aggregates import COMPANY
 
 ALL_TIME_START = "2000-01-01"
-REPORT_CUSTOMER_LIMIT = 1000
+#: what a company without a settings row is taxed by
+TAX_DEFAULTS = {"default_gst_rate": 18.0, "withholding_tax_rate": 0.0, "filer_status": "filer"}
 
 
 def _round(value: Column) -> Column:
@@ -81,17 +82,19 @@ def cash_flow(invoices: DataFrame, expenses: DataFrame, start, end) -> DataFrame
 
 def tax_summary(invoices: DataFrame, expenses: DataFrame, settings: DataFrame, start, end,
                 end_inclusive: bool = False) -> DataFrame:
+    """A company without a settings row is taxed by ``TAX_DEFAULTS``."""
     both = _revenue_and_spend(invoices, _approved(expenses, start, end, end_inclusive), start, end)
     gst = F.col("revenue") * (F.col("default_gst_rate") / 100)
     withheld = F.col("approved") * (F.col("withholding_tax_rate") / 100)
-    return both.join(settings, COMPANY).select(
+    return both.join(settings, COMPANY, "left").na.fill(TAX_DEFAULTS).select(
         COMPANY, F.when(F.col("filer_status") == "filer", "Filer").otherwise("Non-Filer").alias("filer_label"),
         F.col("revenue").alias("gross_revenue"), gst.alias("output_gst"), withheld.alias("withholding_tax"),
         (gst - withheld).alias("net_tax"), money_label(gst - withheld).alias("display"))
 
 
-def sales(invoices: DataFrame, start, end) -> DataFrame:
-    """Totals roll up the customer aggregate, so the sales are scanned once."""
+def sales(invoices: DataFrame, start, end, customer_limit: int | None = None) -> DataFrame:
+    """Totals roll up the customer aggregate, so the sales are scanned once. All
+    customers are listed unless ``customer_limit`` asks for the largest only."""
     customers = agg.scanned_sales(invoices, start, end).groupBy(COMPANY, customer_label().alias("customer_name")).agg(
         money_sum("total").alias("total"), F.count("*").alias("documents"),
         count_if(F.col("status").isin(*PENDING_STATUSES)).alias("pending"))
@@ -100,8 +103,9 @@ def sales(invoices: DataFrame, start, end) -> DataFrame:
     lines = {"Total Revenue": F.col("revenue"), "Documents Scanned": F.col("documents").cast("double"),
              "Pending Review": F.col("pending").cast("double")}
     # Same columns as the totals branch, so the customer exchange is reused.
-    ranked = agg.top_per_group(customers.where((F.col("documents") >= 0) & (F.col("pending") >= 0)), [COMPANY],
-                               [F.desc("total"), F.asc("customer_name")], REPORT_CUSTOMER_LIMIT)
+    ranked = customers.where((F.col("documents") >= 0) & (F.col("pending") >= 0))
+    if customer_limit is not None:
+        ranked = agg.top_per_group(ranked, [COMPANY], [F.desc("total"), F.asc("customer_name")], customer_limit)
     return _report(summary_lines(totals, lines), _table(ranked, "customer_name", "total"))
 
 

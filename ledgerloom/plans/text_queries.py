@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import checks, classify, text
 from ledgerloom.plans.catalog import query
-from ledgerloom.session import spread
 from ledgerloom.sources.fixtures import AS_OF
 
 # ----------------------------------------------------- shared checking SQL pieces
@@ -62,17 +61,17 @@ def _ladder_sql(x: str, rules, flags: str = "(?i)") -> str:
 
 @query("X01_parse_money", f"SELECT snippet_id, {_parse_money_sql('money_text')} AS amount FROM v_snippet")
 def parse_money(t):
-    return spread(t.v_snippet).select("snippet_id", text.parse_money("money_text").alias("amount"))
+    return t.v_snippet.select("snippet_id", text.parse_money("money_text").alias("amount"))
 
 
 @query("X02_parse_date", f"SELECT snippet_id, CAST({_parse_date_sql('date_text')} AS VARCHAR) AS parsed FROM v_snippet")
 def parse_date(t):
-    return spread(t.v_snippet).select("snippet_id", text.parse_date("date_text").alias("parsed"))
+    return t.v_snippet.select("snippet_id", text.parse_date("date_text").alias("parsed"))
 
 
 @query("X03_find_date_in_text", f"SELECT snippet_id, CAST({_find_date_sql('date_text')} AS VARCHAR) AS found FROM v_snippet")
 def find_date(t):
-    return spread(t.v_snippet).select("snippet_id", text.find_date_in_text("date_text").alias("found"))
+    return t.v_snippet.select("snippet_id", text.find_date_in_text("date_text").alias("found"))
 
 
 _AMB = "(?:^|[^A-Za-z0-9_])([0-9]{1,2})[/-]([0-9]{1,2})[/-](?:[0-9]{4}|[0-9]{2}(?:[^0-9]|$))"
@@ -81,14 +80,14 @@ _AMB = "(?:^|[^A-Za-z0-9_])([0-9]{1,2})[/-]([0-9]{1,2})[/-](?:[0-9]{4}|[0-9]{2}(
 @query("X04_day_month_ambiguous", f"""
 SELECT snippet_id, COALESCE(TRY_CAST(NULLIF(regexp_extract(date_text, '{_AMB}', 1), '') AS INT) BETWEEN 1 AND 12 AND TRY_CAST(NULLIF(regexp_extract(date_text, '{_AMB}', 2), '') AS INT) BETWEEN 1 AND 12, FALSE) AS ambiguous FROM v_snippet""")
 def day_month_ambiguous(t):
-    return spread(t.v_snippet).select("snippet_id", text.day_month_ambiguous("date_text").alias("ambiguous"))
+    return t.v_snippet.select("snippet_id", text.day_month_ambiguous("date_text").alias("ambiguous"))
 
 
 @query("X05_number_shapes", """
 SELECT snippet_id, regexp_matches(trim(number_text), '^[A-Za-z0-9][A-Za-z0-9/_-]{1,29}$') AND NOT regexp_matches(trim(number_text), '^[0-9]{1,2}$') AS invoice_number_ok,
   regexp_matches(trim(number_text), '^[0-9]{6,7}-?[0-9]?$') AS ntn_ok FROM v_snippet""")
 def number_shapes(t):
-    return spread(t.v_snippet).select("snippet_id", text.invoice_number_ok("number_text").alias("invoice_number_ok"),
+    return t.v_snippet.select("snippet_id", text.invoice_number_ok("number_text").alias("invoice_number_ok"),
                               text.ntn_ok("number_text").alias("ntn_ok"))
 
 
@@ -101,7 +100,7 @@ _SYMBOLS_SQL = list(text.CURRENCY_SYMBOLS)
 SELECT doc_id, COALESCE(w, s) AS currency, CASE WHEN w IS NOT NULL THEN 1e0 WHEN s IS NOT NULL THEN 0.45e0 END AS confidence
 FROM (SELECT doc_id, {_ladder_sql('text', _WORDS_SQL)} AS w, {_ladder_sql('text', _SYMBOLS_SQL, '')} AS s FROM v_invoice_text)""")
 def detect_currency(t):
-    return spread(t.v_invoice_text).select("doc_id", text.detect_currency("text").alias("m")).select(
+    return t.v_invoice_text.select("doc_id", text.detect_currency("text").alias("m")).select(
         "doc_id", F.col("m.value").alias("currency"), "m.confidence")
 
 
@@ -112,7 +111,7 @@ _CITY_COUNTRY_SQL = "CASE city " + " ".join(f"WHEN '{c.title()}' THEN '{v}'" for
 @query("X07_detect_city_country", f"""
 SELECT doc_id, city, COALESCE({_CITY_COUNTRY_SQL}, {_ladder_sql('text', text.PHONE_COUNTRY, '')}) AS country FROM (SELECT doc_id, text, {_CITY_SQL} AS city FROM v_invoice_text)""")
 def detect_city_country(t):
-    return spread(t.v_invoice_text).select("doc_id", text.detect_city("text").alias("city"),
+    return t.v_invoice_text.select("doc_id", text.detect_city("text").alias("city"),
                                            text.detect_country("text").alias("country"))
 
 
@@ -131,7 +130,7 @@ SELECT doc_id, {_TYPE_SQL} AS document_type, CASE WHEN regexp_matches(text, '(?i
 FROM (SELECT *, true_total > 200000 AS has_items FROM v_invoice_text)""")
 def detect_document_type(t):
     kind = text.detect_document_type("text", F.col("true_total") > 200000, F.lit(True))
-    return spread(t.v_invoice_text).select("doc_id", kind.alias("k")).select(
+    return t.v_invoice_text.select("doc_id", kind.alias("k")).select(
         "doc_id", F.col("k.type").alias("document_type"), "k.confidence", "k.reason")
 
 
@@ -143,12 +142,12 @@ def is_transactional(t):
 @query("X10_approval_amount", f"""
 SELECT doc_id, {_parse_money_sql("regexp_extract(text, '(?i)\\b(?:for\\s+approval\\s+of|submitted\\s+for\\s+approval\\s+of|kindly\\s+approve)\\s*(?:rs\\.?|pkr|/-)?\\s*(-?[0-9,]+(?:\\.[0-9]{1,2})?)', 1)")} AS amount FROM v_invoice_text""")
 def approval_amount(t):
-    return spread(t.v_invoice_text).select("doc_id", text.approval_amount("text").alias("amount"))
+    return t.v_invoice_text.select("doc_id", text.approval_amount("text").alias("amount"))
 
 
 @query("X11_payment_status", f"SELECT doc_id, {_ladder_sql('text', text.PAYMENT_STATUS_RULES)} AS payment_status FROM v_invoice_text")
 def payment_status(t):
-    return spread(t.v_invoice_text).select("doc_id", text.payment_status("text").alias("payment_status"))
+    return t.v_invoice_text.select("doc_id", text.payment_status("text").alias("payment_status"))
 
 
 def _normalize_sql(x: str) -> str:
@@ -160,7 +159,7 @@ def _normalize_sql(x: str) -> str:
 
 @query("X12_normalize_vendor", f"SELECT snippet_id, {_normalize_sql('line_text')} AS vendor FROM v_snippet")
 def normalize_vendor(t):
-    return spread(t.v_snippet).select("snippet_id", text.normalize_vendor("line_text").alias("vendor"))
+    return t.v_snippet.select("snippet_id", text.normalize_vendor("line_text").alias("vendor"))
 
 
 def _category_sql(x: str) -> str:
@@ -185,7 +184,7 @@ def _clear(ranked: str, column: str) -> str:
 SELECT doc_id, CASE WHEN len(s) > 0 THEN {_clear('s', 'category')} WHEN {_clear('r', 'strong')} THEN {_clear('r', 'category')} END AS category
 FROM (SELECT doc_id, {_category_sql('structured')} AS s, {_category_sql('raw')} AS r FROM (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS structured, lower(text) AS raw FROM v_invoice_text))""")
 def category_classifier(t):
-    return spread(t.v_invoice_text).select(
+    return t.v_invoice_text.select(
         "doc_id", classify.classify_category(F.substring_index("text", "\n", 1), "text").alias("category"))
 
 
@@ -278,14 +277,14 @@ def duplicate_key(t):
 @query("X21_key_for_label", """
 SELECT snippet_id, trim(regexp_replace(regexp_replace(lower(trim(label_text, ' :#-.' || chr(9))), '[&/]', ' ', 'g'), '[^a-z0-9]+', '_', 'g'), '_') AS key FROM v_snippet""")
 def key_for_label(t):
-    return spread(t.v_snippet).select("snippet_id", text.key_for_label("label_text").alias("key"))
+    return t.v_snippet.select("snippet_id", text.key_for_label("label_text").alias("key"))
 
 
 @query("X22_looks_like_amount", """
 SELECT snippet_id, regexp_matches(money_text, '(?i)(?:rs\\.?|pkr|\\$|usd)\\s*-?[0-9][0-9,]*(?:\\.[0-9]{1,2})?|-?[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]{1,2})?|-?[0-9]+\\.[0-9]{1,2}')
   AND NOT regexp_matches(regexp_replace(trim(money_text), '(?i)^\\s*(?:rs\\.?|pkr|usd|\\$)\\s*', ''), '\\pL') AS specific FROM v_snippet""")
 def looks_like_amount(t):
-    return spread(t.v_snippet).select("snippet_id", text.looks_like_amount("money_text").alias("specific"))
+    return t.v_snippet.select("snippet_id", text.looks_like_amount("money_text").alias("specific"))
 
 
 def _starts_sql(x: str, prefixes) -> str:
@@ -305,4 +304,4 @@ _NOISE_SQL = f"""({_DECOR_SQL} OR {_starts_sql(_LOW, text.HOLDER_PREFIXES)} OR r
 
 @query("X23_vendor_line_noise", f"SELECT snippet_id, {_NOISE_SQL} AS noise FROM v_snippet")
 def vendor_line_noise(t):
-    return spread(t.v_snippet).select("snippet_id", text.vendor_line_noise("line_text").alias("noise"))
+    return t.v_snippet.select("snippet_id", text.vendor_line_noise("line_text").alias("noise"))

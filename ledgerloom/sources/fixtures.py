@@ -30,6 +30,7 @@ SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_suppkey AS STRING),
   s_nationkey % 5 AS company_id, 'purchase' AS type,
   CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN 'processed' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'needs_review_high_priority' WHEN 3 THEN 'validated' WHEN 4 THEN 'sent_to_accounting' ELSE 'rejected' END AS status,
   CASE WHEN l_partkey % 10 = 0 THEN 'non_transactional' ELSE 'transactional' END AS transaction_status,
+  CASE WHEN l_partkey % 7 = 0 THEN 'user_override' ELSE 'rule' END AS classification_source,
   CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_suppkey AS STRING) END AS vendor_id,
   CASE l_linenumber WHEN 1 THEN upper(s_name) WHEN 2 THEN concat(s_name, ' Pvt Ltd') WHEN 3 THEN replace(s_name, '#', ' ') WHEN 6 THEN NULL WHEN 7 THEN '' ELSE s_name END AS vendor_name,
   CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_type = 'ECONOMY' THEN 'Office / Misc Supplies' WHEN p_type = 'SMALL' THEN 'Stationary / Others' WHEN p_type = 'MEDIUM' THEN 'Utilities' WHEN p_type = 'PROMO' THEN 'Marketing' WHEN p_type = 'LARGE' THEN 'Rent' ELSE 'Raw Material' END AS category,
@@ -107,7 +108,7 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "v_tax_settings": """
 SELECT n_nationkey % 5 AS company_id, 18.0e0 AS default_gst_rate, CAST(max(n_regionkey) AS DOUBLE) AS withholding_tax_rate,
   CASE WHEN n_nationkey % 5 = 0 THEN 'non_filer' ELSE 'filer' END AS filer_status
-FROM nation GROUP BY n_nationkey % 5""",
+FROM nation WHERE n_nationkey % 5 <> 4 GROUP BY n_nationkey % 5""",
 
     "v_item": """
 SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING))) AS item_id,
@@ -174,7 +175,9 @@ SELECT DISTINCT user_id % 20 AS account_id, concat('User', CAST(user_id AS STRIN
   CASE WHEN user_id % 7 = 0 THEN 'deny' ELSE 'allow' END AS action
 FROM events WHERE value > 200
 UNION ALL
-SELECT DISTINCT user_id % 20 AS account_id, ' Spam.NET ' AS pattern, 'deny' AS action FROM events WHERE value > 330""",
+SELECT DISTINCT user_id % 20 AS account_id, ' Spam.NET ' AS pattern, 'deny' AS action FROM events WHERE value > 330
+UNION ALL
+SELECT DISTINCT user_id % 20 AS account_id, concat(' user', CAST(user_id AS STRING), CASE user_id % 3 WHEN 0 THEN '@VENDOR.com' WHEN 1 THEN '@spam.net' ELSE '@other.org' END) AS pattern, 'deny' AS action FROM events WHERE value > 200 AND user_id % 7 = 1""",
 
     "v_mail": """
 SELECT user_id % 20 AS account_id, event_id AS message_id, ts AS received_at,
@@ -186,11 +189,14 @@ FROM events""",
     "v_job": """
 SELECT event_id AS job_id, user_id AS account_id, user_id % 50 AS run_group,
   CASE event_type WHEN 'click' THEN 'running' WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,
-  ts AS started_at, value AS work
+  ts AS started_at, CASE WHEN event_type IN ('click', 'signup') THEN NULL ELSE ts + INTERVAL '1' HOUR END AS completed_at,
+  CASE WHEN event_type = 'error' THEN split('first,boom', ',') ELSE NULL END AS errors, value AS work
 FROM events""",
 
     "v_account": """
-SELECT user_id AS account_id, CASE WHEN user_id % 6 = 0 THEN 'revoked' ELSE 'active' END AS status FROM events GROUP BY user_id""",
+SELECT user_id AS account_id, CASE WHEN user_id % 6 = 0 THEN 'revoked' ELSE 'active' END AS status FROM events GROUP BY user_id
+UNION ALL
+SELECT user_id + 1000000 AS account_id, CASE WHEN user_id % 6 = 1 THEN 'revoked' ELSE 'active' END AS status FROM events GROUP BY user_id""",
 
     "v_chat_file": """
 SELECT concat('F', CAST(event_id AS STRING)) AS file_id, user_id AS conversation_id, user_id % 5 AS installation_id,
@@ -241,7 +247,10 @@ SELECT invoice_id, created_at + INTERVAL '1' DAY AS decided_at,
 FROM v_purchase WHERE vendor_id IS NOT NULL
 UNION ALL
 SELECT invoice_id, created_at + INTERVAL '2' DAY AS decided_at, 'validate' AS action, 'transactional' AS target
-FROM v_purchase WHERE payment_method = 'cash'""",
+FROM v_purchase WHERE payment_method = 'cash'
+UNION ALL
+SELECT invoice_id, created_at + INTERVAL '3' DAY AS decided_at, 'send' AS action, 'transactional' AS target
+FROM v_purchase WHERE payment_method = 'bank' AND vendor_id IS NOT NULL""",
 
     "v_golden": """
 SELECT concat('doc', CAST(o_orderkey AS STRING), '.pdf') AS filename,

@@ -15,12 +15,13 @@ from tests.helpers import rows_of
 
 INVOICE = ("invoice_id STRING, company_id INT, type STRING, status STRING, transaction_status STRING, category STRING, "
            "payment_method STRING, invoice_date DATE, total DOUBLE, vendor_id STRING, vendor_name STRING, "
-           "invoice_number STRING, amount_mentioned DOUBLE")
+           "invoice_number STRING, amount_mentioned DOUBLE, classification_source STRING")
 EXPENSE = "expense_id STRING, company_id INT, status STRING, category STRING, expense_date DATE, amount DOUBLE"
 
 
 def invoices(spark, rows):
-    base = {"company_id": 1, "type": "purchase", "status": "validated", "transaction_status": "transactional"}
+    base = {"company_id": 1, "type": "purchase", "status": "validated", "transaction_status": "transactional",
+            "classification_source": "rule"}
     full = [{**base, "invoice_id": str(i), **row} for i, row in enumerate(rows)]
     names = [f.split()[0] for f in INVOICE.split(", ")]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in full], INVOICE)
@@ -140,14 +141,54 @@ def test_vendor_spend_quirks_and_options(spark):
 def test_unknown_filter_values_are_errors(tables):
     with pytest.raises(ValueError):
         lists.invoice_list(tables.v_purchase, statuses="validated,bogus")
-    with pytest.raises(ValueError):
-        trends.top_vendors(tables.v_vendor, 0)
 
 
 def test_quotes_without_a_score_come_last(spark):
-    df = spark.createDataFrame([("a", None, 1.0), ("b", 50.0, 9.0), ("c", 50.0, 8.0)],
-                               "quote_id STRING, score DOUBLE, price DOUBLE")
-    assert [r["quote_id"] for r in lists.quote_ranking(df).collect()] == ["c", "b", "a"]
+    df = spark.createDataFrame([("a", None, 1.0, "r"), ("b", 50.0, 9.0, "r"), ("c", 50.0, 8.0, "r")],
+                               "quote_id STRING, score DOUBLE, price DOUBLE, request_id STRING")
+    assert [(r["quote_id"], r["position"]) for r in lists.quote_ranking(df).collect()] == [("c", 1), ("b", 2), ("a", 3)]
+
+
+def test_a_company_without_tax_settings_gets_the_defaults(spark):
+    sales = spark.createDataFrame([(1, "sale", "ocr", date(2026, 7, 3), datetime(2026, 7, 4), 1000.0, "validated")],
+                                  "company_id INT, type STRING, extraction_source STRING, invoice_date DATE, "
+                                  "created_at TIMESTAMP_NTZ, total DOUBLE, status STRING")
+    spend = spark.createDataFrame([("a", 1, "approved", "Rent", date(2026, 7, 3), 100.0)], EXPENSE)
+    none = spark.createDataFrame([], "company_id INT, default_gst_rate DOUBLE, withholding_tax_rate DOUBLE, filer_status STRING")
+    tax = reports.tax_summary(sales, spend, none, "2026-07-01", "2026-07-31").first()
+    assert (tax["filer_label"], tax["output_gst"], tax["withholding_tax"]) == ("Filer", 180.0, 0.0)
+
+
+def test_spellings_of_one_sender_rule_are_one_rule(spark):
+    mail = spark.createDataFrame([(1, 1, "a@x.com"), (2, 1, "b@y.org")], "message_id INT, account_id INT, from_address STRING")
+    rules = spark.createDataFrame([(1, "a@x.com", "allow"), (1, "A@x.com ", "deny"), (1, "Y.org", "allow"), (1, " y.ORG", "allow")],
+                                  "account_id INT, pattern STRING, action STRING")
+    got = joins.sender_verdicts(mail, rules).select("message_id", "verdict")
+    assert rows_of(got, "message_id") == [(1, "deny"), (2, "allow")]
+
+
+def test_an_override_of_an_earlier_batch_stays(spark):
+    df = invoices(spark, [{"classification_source": "user_override"}, {}])
+    log = spark.createDataFrame([], "invoice_id STRING, decided_at TIMESTAMP, target STRING")
+    got = changes.apply_reclassify(df, log).select("invoice_id", "classification_source")
+    assert rows_of(got, "invoice_id") == [("0", "user_override"), ("1", "rule")]
+
+
+def test_patches_of_one_invoice_are_merged_by_time(spark):
+    df = invoices(spark, [{"vendor_name": "Old", "category": "Rent", "total": 1.0, "status": "validated"}])
+    patches = spark.createDataFrame([("0", 2, {"vendor_name": "New"}), ("0", 1, {"vendor_name": "Mid", "total": "7"}), ("0", 3, {"category": None})],
+                                    "invoice_id STRING, patched_at INT, fields MAP<STRING, STRING>")
+    got = changes.apply_corrections(df, patches).select("vendor_name", "category", "total", "status")
+    assert rows_of(got, "status") == [("New", None, 7.0, "validated")]
+
+
+def test_only_stuck_jobs_get_an_error(spark):
+    jobs = spark.createDataFrame([(1, "failed", datetime(2026, 1, 1), datetime(2026, 1, 2), ["boom"]),
+                                  (2, "running", datetime(2026, 1, 1), None, ["slow"]), (3, "queued", datetime(2026, 1, 1), None, None)],
+                                 "job_id INT, status STRING, started_at TIMESTAMP_NTZ, completed_at TIMESTAMP_NTZ, errors ARRAY<STRING>")
+    got = intake.fail_stuck_jobs(jobs, "2026-01-05 00:00:00").select("job_id", "status", "completed_at", "errors")
+    told, now = "No progress for over 1h", datetime(2026, 1, 5)
+    assert rows_of(got, "job_id") == [(1, "failed", datetime(2026, 1, 2), ["boom"]), (2, "failed", now, ["slow", told]), (3, "failed", now, [told])]
 
 
 def test_growth_and_margin(spark):

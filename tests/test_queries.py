@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_queries import compare, connect
+from ledgerloom.plans import catalog
 from tests.conftest import SMALL
 
-PLANS, SQL = queries(), oracle_sql()
+PLANS, SQL = {key: catalog.runnable(plan) for key, plan in catalog.PLANS.items()}, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
