@@ -17,12 +17,12 @@ PENDING_STATUSES = ("needs_review", "needs_review_high_priority")
 SCANNER_CATEGORIES = ("Invoices", "Receipts", "Spreadsheets & Financial")
 PAYMENT_METHOD_MAP = {"bank": "bank_transfer", "cash": "cash"}
 SYNC_ERROR_HINTS = {
-    "not_in_channel": "The connector is not in this channel. Invite it to sync files from here.",
-    "channel_not_found": "This conversation is no longer reachable — it may have been deleted or archived.",
-    "missing_scope": "A permission needed to read this conversation is missing.",
-    "is_archived": "This channel is archived, so no new files will appear.",
-    "account_inactive": "The account that made the connection is no longer active.",
-    "ratelimited": "The last sync was rate-limited. The next run will pick up where it stopped.",
+    "not_in_channel": "Add the connector as a member so that its files can be read.",
+    "channel_not_found": "Nothing was found under this name any more.",
+    "missing_scope": "Grant reading rights for it and try again.",
+    "is_archived": "Archived: only files that were there before are kept.",
+    "account_inactive": "Sign in again with an account that is in use.",
+    "ratelimited": "Too many requests at once. The walk goes on at the next run.",
 }
 
 
@@ -89,6 +89,24 @@ def is_delayed(as_of) -> Column:
     return F.coalesce((F.col("status") == "in_transit") & (F.col("expected_delivery") < day(as_of)), F.lit(False))
 
 
+# Least and greatest allowed, and whether the least itself is allowed.
+ROW_LIMITS = {
+    "expense": {"amount": (0, None, False)},
+    "employee": {"salary": (0, None, False), "bonus": (0, None, True), "deductions": (0, None, True)},
+    "quote": {"score": (0, 100, True)},
+    "item": {"qty": (0, None, False), "rate": (0, None, True), "tax_rate": (0, 1, True)},
+}
+
+
+def row_violations(entity: str) -> Column:
+    """Names of the columns of a row that are outside their limits."""
+    def inside(name: str, least: int, most: int | None, closed: bool) -> Column:
+        low = F.col(name) >= least if closed else F.col(name) > least
+        return low if most is None else low & (F.col(name) <= most)
+
+    return violations(**{name: inside(name, *limit) for name, limit in ROW_LIMITS[entity].items()})
+
+
 def violations(**rules: Column) -> Column:
     """Names of the rules a row breaks. A null operand breaks nothing."""
     return F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules.items()]))

@@ -15,9 +15,8 @@ from ledgerloom.functions.core import (ColumnLike, any_of, c, collapse_spaces, f
 
 # ---------------------------------------------------------------- fixed values
 
-_CURRENCY_MARK = r"(?:rs\.?|pkr|\$|usd|sgd|gbp|eur)?"
 MONEY_PATTERN = r"(-?[\d,]+(?:\.\d{1,2})?)"
-PARENTHESISED_PATTERN = rf"(?i)\(\s*{_CURRENCY_MARK}\s*[\d,]+(?:\.\d{{1,2}})?\s*\)"
+PARENTHESISED_PATTERN = r"(?i)\(\s*(?:rs\.?|pkr|\$|usd|sgd|gbp|eur)?\s*[\d,]+(?:\.\d{1,2})?\s*\)"
 
 TRAILING_TIME_PATTERN = r",?\s*\d{1,2}:\d{2}(?::\d{2})?\s*(?:[AaPp]\.?[Mm]\.?)?\.?$"
 ORDINAL_NOISE_PATTERN = r"^(\d{1,2})[stndrhSTNDRH\"'′″]{1,2}(?=\s|[A-Za-z])"

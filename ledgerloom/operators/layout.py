@@ -29,6 +29,7 @@ from ledgerloom.operators.skew import splittable_join
 from ledgerloom.operators.trends import select_candidate
 from ledgerloom.session import checkpointed
 
+# Share of overlap and distance in points that make one row.
 MIN_OVERLAP, FLAT_TOLERANCE = 0.6, 4.0
 WORD_FIELDS = ("text", "x0", "y0", "x1", "y1", "confidence", "font_size")
 _WORD_TYPE = T.StructType([T.StructField("text", T.StringType())]

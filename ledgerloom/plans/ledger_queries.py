@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import checks, predicates
@@ -232,12 +235,24 @@ def scanner_eligible(t):
 
 
 @query("P19_row_checks", """
-SELECT item_id, concat_ws('|', CASE WHEN NOT qty > 10 THEN 'qty' END, CASE WHEN NOT rate >= 1000 THEN 'rate' END, CASE WHEN NOT amount > 0 THEN 'amount' END, CASE WHEN NOT (tax_rate >= 0 AND tax_rate <= 0.05) THEN 'tax_rate' END) AS reasons
-FROM v_item""")
+SELECT 'item' AS entity, item_id AS id, concat_ws('|', CASE WHEN NOT qty > 0 THEN 'qty' END, CASE WHEN NOT rate >= 0 THEN 'rate' END, CASE WHEN NOT (tax_rate >= 0 AND tax_rate <= 1) THEN 'tax_rate' END) AS reasons
+FROM (SELECT item_id, qty - 10 AS qty, rate - 1000 AS rate, tax_rate * 20 AS tax_rate FROM v_item)
+UNION ALL SELECT 'expense', expense_id, CASE WHEN NOT amount > 0 THEN 'amount' ELSE '' END FROM (SELECT expense_id, amount - 20000 AS amount FROM v_expense)
+UNION ALL SELECT 'quote', quote_id, CASE WHEN NOT (score >= 0 AND score <= 100) THEN 'score' ELSE '' END FROM (SELECT quote_id, score * 2 - 20 AS score FROM v_quote)
+UNION ALL SELECT 'employee', CAST(employee_id AS VARCHAR), concat_ws('|', CASE WHEN NOT salary > 0 THEN 'salary' END, CASE WHEN NOT bonus >= 0 THEN 'bonus' END, CASE WHEN NOT deductions >= 0 THEN 'deductions' END)
+FROM (SELECT employee_id, salary - 5000 AS salary, bonus - 100 AS bonus, deductions - 50 AS deductions FROM v_employee)""")
 def row_checks(t):
-    reasons = predicates.violations(qty=F.col("qty") > 10, rate=F.col("rate") >= 1000, amount=F.col("amount") > 0,
-                                    tax_rate=F.col("tax_rate").between(0, 0.05))
-    return t.v_item.select("item_id", reasons.alias("reasons"))
+    """The ledger's rows with values moved so that some break each limit."""
+    rows = {
+        "item": t.v_item.select(F.col("item_id").alias("id"), (F.col("qty") - 10).alias("qty"), (F.col("rate") - 1000).alias("rate"),
+                                (F.col("tax_rate") * 20).alias("tax_rate")),
+        "expense": t.v_expense.select(F.col("expense_id").alias("id"), (F.col("amount") - 20000).alias("amount")),
+        "quote": t.v_quote.select(F.col("quote_id").alias("id"), (F.col("score") * 2 - 20).alias("score")),
+        "employee": t.v_employee.select(F.col("employee_id").cast("string").alias("id"), (F.col("salary") - 5000).alias("salary"),
+                                        (F.col("bonus") - 100).alias("bonus"), (F.col("deductions") - 50).alias("deductions")),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(entity).alias("entity"), "id", predicates.row_violations(entity).alias("reasons"))
+                                          for entity, df in rows.items()])
 
 
 # ------------------------------------------------------------------------- joins
