@@ -21,6 +21,8 @@ from ledgerloom.llm.scripts import NAMES, code_points, letter_table, lower_table
 BUCKETS, MAX_LANGUAGES = 1 << 16, 1024
 PENALTY, CLIP, SMOOTH, SCRIPT_SHARE = 20.0, 10.0, 0.5, 0.001
 TRIGRAM, WORD, SCRIPT = 0, 1, 2
+#: bytes of text worked on at once; a character takes some 60 bytes meanwhile
+SLICE = 1 << 20
 
 
 @dataclass
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
 
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for texts in pieces(batch.column(0)):
+            for texts in pieces(batch.column(0), SLICE):
                 own, found = langs[texts.rows], spell(texts)
                 names = sorted(set(own))
                 owner = np.fromiter((names.index(x) for x in own), np.int64, len(own))
@@ -197,7 +199,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared_model.value
         for batch in batches:
-            for texts in pieces(batch.column(1)):
+            for texts in pieces(batch.column(1), SLICE):
                 n, found = len(texts), spell(texts)
                 paths: list[np.ndarray | None] = [None] * n
                 if m.names and len(found.starts):
