@@ -92,7 +92,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 kinds, buckets = np.nonzero(counts)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(kinds), "kind": kinds, "bucket": buckets, "n": counts[kinds, buckets]})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(kinds), pa.string()), "kind": kinds, "bucket": buckets,
+                                                  "n": counts[kinds, buckets]})
             held.clear()
 
         for batch in batches:
