@@ -85,10 +85,12 @@ def request_timeline(requests: DataFrame, orders: DataFrame) -> DataFrame:
 
 def file_audit(listing: DataFrame, stored: DataFrame) -> DataFrame:
     """Remote listing against stored files: rows on one side only and fields
-    that differ. A remote size or type counts only when it says something."""
-    remote = listing.select("file_id", F.struct("size", "mimetype", "is_external").alias("r"))
-    local = stored.select("file_id", F.struct("size", "mimetype", "is_external").alias("l"))
-    both = remote.join(local, "file_id", "full_outer")
+    that differ. A file is known by its installation and id. A remote size or type
+    counts only when it says something."""
+    keys = ["installation_id", "file_id"]
+    remote = listing.select(*keys, F.struct("size", "mimetype", "is_external").alias("r"))
+    local = stored.select(*keys, F.struct("size", "mimetype", "is_external").alias("l"))
+    both = remote.join(local, keys, "full_outer")
     stale = F.array_compact(F.array(
         F.when((F.col("r.size") != 0) & ~F.col("r.size").eqNullSafe(F.col("l.size")), "size"),
         F.when((F.col("r.mimetype") != "") & ~F.col("r.mimetype").eqNullSafe(F.col("l.mimetype")), "mimetype"),
@@ -96,7 +98,7 @@ def file_audit(listing: DataFrame, stored: DataFrame) -> DataFrame:
     finding = (F.when(F.col("l").isNull(), "list_only").when(F.col("r").isNull(), "store_only")
                .when(F.size(stale) > 0, "stale_metadata"))
     return (both.withColumn("finding", finding).where(F.col("finding").isNotNull())
-            .select("file_id", "finding",
+            .select(*keys, "finding",
                     F.when(F.col("finding") == "stale_metadata", stale).otherwise(F.array().cast("array<string>"))
                     .alias("fields"),
                     F.col("r.size").alias("listed_size"), F.col("l.size").alias("stored_size")))

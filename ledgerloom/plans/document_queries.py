@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ledgerloom.operators import layout, matching
-from ledgerloom.operators.build import build_invoices
+from ledgerloom.operators.build import build_invoices, build_items
 from ledgerloom.plans.catalog import query
 from ledgerloom.sources.fixtures import AS_OF
 from ledgerloom.sources.page_words import page_documents, page_words
@@ -153,6 +153,15 @@ def confidence_and_routing(t):
         "payment_status", "document_confidence", "review_flags", "review_status")
 
 
+@query("L14_build_items", """
+SELECT doc_id AS invoice_id, position, description, qty, rate, amount, CASE WHEN abs(qty * rate - amount) <= 0.02e0 * greatest(abs(amount), 1e0) THEN 'pass' ELSE 'fail' END AS arithmetic_check, '' AS review_flags FROM (
+  SELECT l_orderkey AS doc_id, CAST(p AS INT) AS position, concat('Part SKU-', CAST(l_partkey AS VARCHAR), CASE WHEN p % 3 = 1 THEN ' with steel handle' ELSE '' END) AS description,
+    l_quantity AS qty, floor(l_extendedprice * 100 / l_quantity) / 100 AS rate, l_extendedprice AS amount
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_extendedprice, l_shipdate) - 1 AS p FROM lineitem))""")
+def built_items(t):
+    return build_items(layout.item_rows(page_words(t)))
+
+
 @query("L14_build_invoice", f"""
 SELECT doc_id, 'purchase' AS type, CASE WHEN transactional THEN 'transactional' ELSE 'non_transactional' END AS transaction_status, vendor_name, concat('scan_', CAST(doc_id AS VARCHAR), '.pdf') AS filename, total, amount_mentioned,
   CASE WHEN NOT transactional THEN NULL WHEN vendor_name LIKE '%Hardware Store' THEN 'Office Repair & Maintenance' WHEN doc_id % 5 = 0 THEN 'Employee Care' WHEN doc_id % 5 = 1 THEN 'Vehicle Running & Maintenance' END AS category FROM ({FIELDS_SQL})""")

@@ -319,11 +319,11 @@ def revenue_vs_expenses_months(t):
 
 
 @query("J10_file_audit", """
-SELECT file_id, finding, CASE WHEN finding = 'stale_metadata' THEN fields ELSE '' END AS fields, listed_size, stored_size FROM (
-  SELECT COALESCE(r.file_id, l.file_id) AS file_id, r.size AS listed_size, l.size AS stored_size,
+SELECT installation_id, file_id, finding, CASE WHEN finding = 'stale_metadata' THEN fields ELSE '' END AS fields, listed_size, stored_size FROM (
+  SELECT COALESCE(r.installation_id, l.installation_id) AS installation_id, COALESCE(r.file_id, l.file_id) AS file_id, r.size AS listed_size, l.size AS stored_size,
     concat_ws('|', CASE WHEN r.size <> 0 AND r.size IS DISTINCT FROM l.size THEN 'size' END, CASE WHEN r.mimetype <> '' AND r.mimetype IS DISTINCT FROM l.mimetype THEN 'mimetype' END, CASE WHEN COALESCE(r.is_external, FALSE) IS DISTINCT FROM l.is_external THEN 'is_external' END) AS fields,
     CASE WHEN l.file_id IS NULL THEN 'list_only' WHEN r.file_id IS NULL THEN 'store_only' WHEN fields <> '' THEN 'stale_metadata' END AS finding
-  FROM v_files_listing r FULL OUTER JOIN v_files_stored l ON r.file_id = l.file_id) WHERE finding IS NOT NULL""")
+  FROM v_files_listing r FULL OUTER JOIN v_files_stored l ON r.file_id = l.file_id AND r.installation_id = l.installation_id) WHERE finding IS NOT NULL""")
 def file_audit(t):
     return joins.file_audit(t.v_files_listing, t.v_files_stored)
 

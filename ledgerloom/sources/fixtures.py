@@ -218,10 +218,10 @@ FROM events GROUP BY user_id""",
 
     # One listing of remote files and one of stored files; neither side is complete.
     "v_files_listing": """
-SELECT file_id, filename, CASE WHEN file_type = 'png' THEN size + 1 ELSE size END AS size, CASE WHEN file_type = 'text' THEN NULL ELSE mimetype END AS mimetype, is_external
+SELECT installation_id, file_id, filename, CASE WHEN file_type = 'png' THEN size + 1 ELSE size END AS size, CASE WHEN file_type = 'text' THEN NULL ELSE mimetype END AS mimetype, is_external
 FROM v_chat_file WHERE category <> 'Receipts' OR is_external""",
     "v_files_stored": """
-SELECT file_id, filename, size, mimetype, CASE WHEN size < 3000 THEN NOT is_external ELSE is_external END AS is_external
+SELECT CASE WHEN size % 17 = 0 THEN installation_id + 1 ELSE installation_id END AS installation_id, file_id, filename, size, mimetype, CASE WHEN size < 3000 THEN NOT is_external ELSE is_external END AS is_external
 FROM v_chat_file WHERE category <> 'Spreadsheets & Financial' OR size > 20000""",
 
     "v_upload": """

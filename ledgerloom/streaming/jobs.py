@@ -9,7 +9,6 @@ checkpoint is the cursor: it moves only after a batch has been written.
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.functions.predicates import bucket_date, is_scanned_sale
 from ledgerloom.operators.changes import latest
 from ledgerloom.operators.intake import ATTACHMENT_KEYS, MANUAL, decide
+from ledgerloom.session import shared_folder
 from ledgerloom.sources import schemas
 from ledgerloom.sources.documents import feed_attachments
 
@@ -31,14 +31,8 @@ REVENUE_LOG = "company_id INT, bucket_day DATE, cents BIGINT, documents BIGINT,
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder the session names; a temporary
-    folder only where none is named and the session is local."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix=f"ledgerloom-{name}-")
+    """A fresh folder under the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
 def read_feed(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
