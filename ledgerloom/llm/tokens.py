@@ -15,7 +15,7 @@ import numpy as np
 from ledgerloom.llm.kernels import SPACE, Texts, bounds, gather, range_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE_CHUNKS = 3_000_000
+CACHE_CHUNKS = 1_500_000
 _JOIN = 64
 #: first bytes of the characters outside ASCII that include white space
 _UNSURE = np.zeros(256, bool)
