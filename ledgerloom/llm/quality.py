@@ -3,7 +3,9 @@
 Base rules look at words, symbols, repeated lines and repeated word windows. The
 method's own verdict compares how a public vocabulary splits a text with how it
 splits the other texts of its language (or script): characters per token, share of
-byte-fallback tokens and entropy of the token distribution must lie inside bands."""
+byte-fallback tokens and entropy of the token distribution must lie inside bands. The
+entropy is that of windows of equally many tokens, so none of the three depends on how
+long a text is."""
 
 from __future__ import annotations
 
@@ -16,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import shared, tokens
-from ledgerloom.llm.kernels import Texts, bounds, pieces, range_hashes, signed, windows, words
+from ledgerloom.llm.kernels import Texts, bounds, gather, pieces, range_hashes, signed, windows, words
 from ledgerloom.llm.scripts import text_scripts
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 MIN_WORDS, REPEAT_WIDTH = 50, 3
+#: tokens of an entropy window: a text that passes the base rules has as many words at least
+ENTROPY_WINDOW = MIN_WORDS
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 #: half-width of a band in spreads (half the distance of the outer quantiles), least
 #: half-width as a share of the median, absolute least half-width
@@ -83,21 +87,35 @@ def base_measures(texts: Texts) -> dict[str, np.ndarray]:
             "n_dup_lines": np.bincount(line_doc[dup_lines], minlength=n), "n_repeat_words": np.diff(bounds(repeated)[found.first])}
 
 
+def window_entropy(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Entropy of a text's windows of ENTROPY_WINDOW tokens less the greatest it can be,
+    averaged so that every token counts once: whole windows one after the other, what is
+    left over as part of a last window that ends with the text. A shorter text is one
+    window."""
+    counts = np.diff(at)
+    width = np.minimum(np.maximum(counts, 1), ENTROPY_WINDOW)
+    left = counts % width
+    parts = counts // width + (left > 0)
+    doc = np.repeat(np.arange(len(counts)), parts)
+    nth = np.arange(len(doc)) - bounds(parts)[:-1][doc]
+    starts = at[:-1][doc] + np.minimum(nth * width[doc], (counts - width)[doc])
+    weight = np.where((nth == parts[doc] - 1) & (left[doc] > 0), left[doc], width[doc])
+    pairs = np.sort(np.repeat(np.arange(len(doc), dtype=np.int64), width[doc]) << 32 | ids[gather(starts, width[doc])].astype(np.int64))
+    edge = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+    owner = pairs[edge] >> 32
+    share = np.diff(np.append(edge, len(pairs))) / width[doc][owner]
+    entropy = np.bincount(owner, -share * np.log2(share), len(doc)) - np.log2(width[doc])
+    return np.bincount(doc, entropy * weight, len(counts)) / np.maximum(counts, 1)
+
+
 def fertility(texts: Texts, encoder: tokens.Pieces, word_chars: np.ndarray) -> dict[str, np.ndarray]:
     ids, at = encoder.encode(texts)
     counts = np.diff(at)
     some = np.maximum(counts, 1)
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), counts)
-    pairs = np.sort(doc << 32 | ids.astype(np.int64))
-    edge = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
-    times = np.diff(np.append(edge, len(pairs)))
-    owner = pairs[edge] >> 32
-    share = times / some[owner]
-    entropy = np.bincount(owner, -share * np.log2(share), len(texts))
     fallback = np.bincount(doc, encoder.is_byte[ids], len(texts))
     return {"n_tokens": counts, "chars_per_token": word_chars / some, "byte_share": fallback / some,
-            # a short text cannot have a high entropy: measured against its own length
-            "entropy": entropy - np.log2(some)}
+            "entropy": window_entropy(ids, at)}
 
 
 def measure(docs: DataFrame, vocabularies: list[str], id_col: str = "doc_id", text_col: str = "text",

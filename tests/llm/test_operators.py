@@ -106,6 +106,36 @@ def test_fertility_rejects_text_of_another_kind(spark):
     assert not kept[900] and sum(kept[i] for i in range(80)) >= 78
 
 
+def test_length_alone_rejects_nothing(spark):
+    r = random.Random(6)
+    texts = [(i, prose(r, 60 + i), "en") for i in range(100)]
+    schema, vocabulary = "doc_id BIGINT, text STRING, lang STRING", [tokens.default_path("piece_bpe_32k.model")]
+    first = quality.quality(spark.createDataFrame(texts, schema), vocabulary)
+    accepted = [x["doc_id"] for x in first.where("kept").collect()]
+    joined = [(1000 + n, " ".join(texts[i][1] for i in accepted[:n]), "en") for n in (2, 10, 90)]
+    found = {x["doc_id"]: x["reason"] for x in quality.quality(spark.createDataFrame(texts + joined, schema), vocabulary).collect()}
+    assert len(accepted) >= 98 and all(found[d] is None for d, _, _ in joined), [found[d] for d, _, _ in joined]
+
+
+def test_window_entropy_counts_every_token_once():
+    r = np.random.default_rng(8)
+    runs = [r.integers(0, 20, n) for n in (0, 1, 30, 50, 75, 100, 517)]
+    found = quality.window_entropy(np.concatenate(runs).astype(np.uint16), np.cumsum([0] + [len(x) for x in runs]))
+
+    def lacks(window):
+        share = np.unique(window, return_counts=True)[1] / len(window)
+        return -(share * np.log2(share)).sum() - np.log2(len(window))
+
+    expected = []
+    for x in runs:
+        width = min(len(x), quality.ENTROPY_WINDOW)
+        whole = [x[i:i + width] for i in range(0, len(x) - width + 1, max(width, 1))] if width else []
+        left = len(x) - len(whole) * width
+        total = sum(lacks(w) * width for w in whole) + (lacks(x[len(x) - width:]) * left if left else 0)
+        expected.append(total / max(len(x), 1))
+    assert np.allclose(found, expected)
+
+
 def test_repeated_passages_equal_brute_force(docs, rows, empty):
     found = substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted_rows(found) == sorted_rows(brute.without_repeats(pairs(rows)))
