@@ -321,6 +321,40 @@ def test_linked_documents_move_together(spark):
     assert cut < 800 * 0.2  # by hash alone about half of them are apart
 
 
+def copies_per_shard(found):
+    out = {}
+    for r in found:
+        shards = out.setdefault(r["text_crc32"], {})
+        shards[r["shard"]] = shards.get(r["shard"], 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("heaviest", [1024, 3])
+def test_groups_of_any_size_stay_together(spark, monkeypatch, heaviest):
+    monkeypatch.setattr(sharding, "HEAVIEST", heaviest)
+    sizes = {"a": 4, "b": 50, "c": 200, "d": 1000, "e": 1000, "f": 3000, "g": 2, "h": 77}
+    texts = [k for k, n in sizes.items() for _ in range(n)] + [f"alone {i}" for i in range(24_003)] + [None] * 20
+    found = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    by_text, counts = copies_per_shard(found), {}
+    for r in found:
+        counts[r["shard"]] = counts.get(r["shard"], 0) + 1
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(found) == len(texts)
+    report = {k: by_text[zlib.crc32(k.encode())] for k in sizes}
+    assert all(list(report[k].values()) == [n] for k, n in sizes.items()), report
+
+
+def test_only_groups_without_room_are_split(spark):
+    texts = ["half the table"] * 4000 + ["fits"] * 900 + [f"pair {i // 2}" for i in range(3000)] + [f"alone {i}" for i in range(101)]
+    found = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    counts, by_text = [0] * 8, copies_per_shard(found)
+    for r in found:
+        counts[r["shard"]] += 1
+    assert len(found) == len({r["doc_id"] for r in found}) == len(texts) and max(counts) - min(counts) <= 1
+    assert len(by_text[zlib.crc32(b"half the table")]) == 4
+    assert list(by_text[zlib.crc32(b"fits")].values()) == [900]
+    assert sum(len(by_text[zlib.crc32(f"pair {i}".encode())]) > 1 for i in range(1500)) <= 8
+
+
 ENGLISH = "the quick brown fox jumps over the lazy dog while seven wizards make toxic brew for the quiet judge in this old house".split()
 FRENCH = "le renard brun saute par dessus le chien paresseux tandis que sept sorciers font une potion pour le juge dans cette vieille maison".split()
 GREEK = "η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί".split()
