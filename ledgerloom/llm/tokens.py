@@ -105,13 +105,23 @@ class Bpe(ChunkEncoder):
 
         super().__init__(limit)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: first two bytes of the markers that the library finds in a text before it splits it into words
+        self.markers = {t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token.removesuffix("</w>")) if len(token) > 4 else len(token)
         self.word_ends = any(t.endswith("</w>") and len(t) > 4 for t in list(vocabulary)[:2000])
 
+    def _starts(self, texts: Texts) -> np.ndarray:
+        """No chunk begins before a marker: white space in front of one ends a piece."""
+        starts, data = super()._starts(texts), texts.data
+        inner = starts[(starts + 2 < len(data)) & ~np.isin(starts, texts.offsets)]
+        marked = np.zeros(len(inner), bool)
+        for marker in self.markers:
+            marked |= (data[inner + 1] == marker[0]) & (data[inner + 2] == marker[-1])
+        return np.setdiff1d(starts, inner[marked], assume_unique=True) if marked.any() else starts
+
     def encode_strings(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 

@@ -198,6 +198,22 @@ def test_chunked_encoding_is_the_encoding(name, rows):
         assert out == tokenised(tokens.default_path(name), texts)
 
 
+MARKED = ["a <|endoftext|> b", "a  <|endoftext|>  b", "x<|startoftext|>y <|endoftext|><|endoftext|>", "<|endoftext|>", " \n<|endoftext|>\n ",
+          "one <| two <|ENDOFTEXT|> three", "end <|endoftext|"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_markers_in_a_text_get_the_library_s_ids(name):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path(name)
+    texts = MARKED + [f"{m} {m}" for m in MARKED] + ODD
+    expected = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for part in pieces(pa.array(texts)):
+        ids, at = tokens.Bpe(path).encode(part)
+        assert [ids[at[i]:at[i + 1]].tolist() for i in range(len(part))] == expected
+
+
 def test_token_files_round_trip(spark, docs, rows, empty):
     path = tokens.default_path("byte_bpe_50k.json")
     manifest = token_files.write_tokens(docs, shared.fresh_folder(spark, "tokens"), path)
