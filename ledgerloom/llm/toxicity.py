@@ -112,9 +112,14 @@ class Likeness(ChunkEncoder):
         self.masks = np.asarray([_mask(x) for x in landmarks], np.uint64)
         self.may_lack = (np.bitwise_count(self.masks) * MAY_LACK).astype(np.uint8)
 
+    def _starts(self, texts: Texts) -> np.ndarray:
+        """Every word is a chunk, whatever its first character."""
+        begins = texts.offsets[:-1]
+        return np.union1d(words(texts).starts, begins[begins < len(texts.data)])
+
     def encode_strings(self, strings: list[str]) -> list[list[int]]:
         parts, owner = [], []
-        for i, word in enumerate(map(plain, strings)):
+        for i, word in ((i, plain(word)) for i, chunk in enumerate(strings) for word in chunk.split()):  # as fit() splits
             for at in range(0, max(len(word) - WIDTH // 2, 1), WIDTH // 2):  # a very long word in overlapping parts
                 parts.append(word[at:at + WIDTH])
                 owner.append(i)

@@ -428,6 +428,16 @@ def test_string_kernel_counts_gapped_subsequences():
     assert np.allclose(found, [slow(a, b) for a, b in pairs_], atol=1e-4)
 
 
+@pytest.mark.parametrize("before", ["eres", "completamente", " ", ""])
+@pytest.mark.parametrize("insult", ["¡idiota!", "“idiota”", "«idiota»", "\u3000idiota", "\u00a0idiota", "idiota"])
+def test_insults_behind_any_mark_are_found_whole(before, insult):
+    like = toxicity.Likeness(["idiota", "wretchling"])
+    text = f"{before} {insult}"
+    features = [like.features(part) for part in pieces(pa.array(["", text, None, "  \n", text + " fin"]))]
+    most = np.vstack(features)[:, 0]
+    assert np.allclose(most, [0, 1, 0, 0, 1], atol=1e-3)
+
+
 def test_toxic_texts_are_told_apart(spark):
     r = random.Random(9)
     insults = ["blorgface", "snivelrat", "wretchling"]
