@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: bytes of text worked on at once; the hash powers kept for it take 48 times as much
+#: bytes of text worked on at once
 SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
@@ -26,18 +27,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BLOCK = 1 << 16
+#: of longer byte ranges that follow each other, so many bytes are hashed at once
+_STRETCH = 1 << 22
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n-1 and their inverses modulo 2**64; kept for the next call."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        up, down = np.full(n, base, U64), np.full(n, pow(base, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        have = _POWERS[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+@lru_cache(maxsize=len(_BASES))
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**0.._BLOCK-1 and their inverses modulo 2**64."""
+    up, down = np.full(_BLOCK, base, U64), np.full(_BLOCK, pow(base, -1, 1 << 64), U64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,13 +46,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+class Hasher:
+    """Hashes of ranges of ``values`` from one array of prefix sums; powers are kept for
+    one block and one step per block, so they do not grow with the values."""
+
+    def __init__(self, values: np.ndarray, kind: int = 0):
+        self.base, n = _BASES[kind], len(values)
+        up, self.down = powers(self.base)
+        jumps = [pow(self.base, _BLOCK * i, 1 << 64) for i in range(n // _BLOCK + 1)]
+        self.back = np.asarray([pow(j, -1, 1 << 64) for j in jumps], U64)
+        self.total = np.zeros(n + 1, U64)
+        for i, jump in enumerate(jumps):
+            part = values[i * _BLOCK:(i + 1) * _BLOCK]
+            if len(part):
+                out = self.total[i * _BLOCK + 1:i * _BLOCK + 1 + len(part)]
+                np.cumsum((part.astype(U64) + U64(1)) * up[:len(part)] * U64(jump), out=out)
+                out += self.total[i * _BLOCK]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        shift = self.down[starts & (_BLOCK - 1)] * self.back[starts >> 16]
+        return mix((self.total[ends] - self.total[starts]) * shift + (ends - starts).astype(U64) * U64(self.base))
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
     """Hash of values[start:end] for every range; ``kind`` picks one of three
     independent hashes."""
-    up, down = powers(_BASES[kind], len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(_BASES[kind]))
+    if len(values) <= _STRETCH or not len(starts) or (starts[1:] < ends[:-1]).any():
+        return Hasher(values, kind).of(starts, ends)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(values) + _STRETCH, _STRETCH)))
+    return np.concatenate([Hasher(values[starts[a]:ends[b - 1]], kind).of(starts[a:b] - starts[a], ends[a:b] - starts[a])
+                           for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
 
 
 @dataclass

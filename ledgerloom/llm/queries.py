@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, langid, packing, quality, sharding, shared, substrings, token_files, tokens, toxicity, warc
+from ledgerloom.llm import collocations, decontaminate, jaccard, langid, packing, quality, sharding, shared, substrings, token_files, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,32 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold() != 0))
     return langid.label(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score",
                                             F.size("spans").alias("n_spans"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM d),
+g AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM (
+    SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size)),
+f AS (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+k AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r,
+        CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+    FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c) c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 :], ' ')),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[b : e], ' ') AS phrase, max(a) AS a
+    FROM (SELECT lang, w, a, b, unnest(generate_series(b + 1, least(size, b + size - 2))) AS e
+          FROM (SELECT *, unnest(generate_series(1, size - 1)) AS b FROM c WHERE size > 2)) GROUP BY ALL),
+t AS (SELECT s.* FROM s LEFT JOIN i USING (lang, phrase) WHERE i.a IS NULL OR CAST(i.a AS HUGEINT) * 100 < CAST(s.a AS HUGEINT) * 80),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
