@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import collocations, decontaminate, jaccard, langid, packing, quality, sharding, shared, substrings, token_files, tokens, toxicity, warc
+from ledgerloom.llm import collocations, decontaminate, jaccard, langid, packing, quality, runs, sharding, shared, substrings, token_files, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,6 +156,75 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             F.size("spans").alias("n_spans"))
 
 
+def repeated_tail(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h the crc32 of the id and g = h div 10, texts whose h ends in
+    0 repeat the words from word g mod n on with a period of 1 + (n - a) div (3 + g mod 8)."""
+    blanks = r"concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    chosen = rows.where(f"h % 10 = 0 AND trim(BOTH {blanks} FROM text) <> ''")
+    chosen = chosen.withColumn("w", F.expr(rf"split(trim(BOTH {blanks} FROM text), '[\\x20\\x09-\\x0D]+')")).withColumn("g", F.expr("h div 10"))
+    chosen = chosen.withColumn("n", F.size("w")).withColumn("a", F.expr("CAST(g % n AS INT)"))
+    chosen = chosen.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)"
+    chosen = chosen.select("doc_id", F.expr(f"array_join(concat(slice(w, 1, a), {tail}), ' ')").alias("text"))
+    return rows.where(f"h IS NULL OR text IS NULL OR h % 10 <> 0 OR trim(BOTH {blanks} FROM text) = ''").select("doc_id", "text").unionByName(chosen)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(repeated_tail(table(spark, sf_dir, "documents")))
+    # the greatest exact length / period first, then the smallest start and period
+    best = F.expr("""reduce(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (b, r) -> CASE
+        WHEN b IS NULL THEN r WHEN CAST(r.length AS DECIMAL(19, 0)) * b.period > CAST(b.length AS DECIMAL(19, 0)) * r.period THEN r ELSE b END)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    return found.withColumn("b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("b.start").alias("start"), F.col("b.length").alias("length"),
+        F.col("b.period").alias("period"), F.expr("CAST(1000 * CAST(b.length AS DECIMAL(20, 0)) div b.period AS BIGINT)").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _runs_sql(largest: int = 8192) -> str:
+    """Periods up to ``largest`` words: a run's first place is followed, among the places of
+    equal 2**k-word windows with 2**k at least the period, by the one a period later."""
+    levels, size = [], 1
+    while size < largest:
+        levels.append(f"h{2 * size} AS (SELECT *, CASE WHEN p + {2 * size} <= n THEN hash(h{size}, lead(h{size}, {size}) OVER "
+                      f"(PARTITION BY doc_id ORDER BY p)) END AS h{2 * size} FROM h{size})")
+        size *= 2
+    sizes = [2 ** k for k in range(4, largest.bit_length())]
+    near = " UNION ".join(f"SELECT doc_id, q FROM (SELECT doc_id, lead(p) OVER (PARTITION BY doc_id, h{z} ORDER BY p) - p AS q FROM h{largest} "
+                          f"WHERE h{z} IS NOT NULL) WHERE q <= {z}" for z in sizes)
+    return rf"""
+WITH d AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b),
+        [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h
+    FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w FROM documents)),
+t AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM d),
+u AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS per FROM t),
+v AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % per END]) AS w FROM u),
+x AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM v),
+h1 AS (SELECT doc_id, n, p, hash(word) AS h1 FROM x),
+{", ".join(levels)},
+c AS ({near}),
+m AS (SELECT doc_id, q, list_concat(list_concat([CAST(-1 AS BIGINT)], list_filter(range(n - q), lambda i: w[i + 1] <> w[i + q + 1])), [n - q]) AS m
+    FROM c JOIN v USING (doc_id)),
+e AS (SELECT doc_id, q, m[k] + 1 AS s, m[k + 1] - m[k] - 1 + q AS l FROM (SELECT *, unnest(generate_series(1, len(m) - 1)) AS k FROM m)),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM e WHERE l >= 24 AND l >= 3 * q GROUP BY doc_id, s, l),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+        first(s ORDER BY l / CAST(q AS DOUBLE) DESC, s, q) AS start, first(l ORDER BY l / CAST(q AS DOUBLE) DESC, s, q) AS length,
+        first(q ORDER BY l / CAST(q AS DOUBLE) DESC, s, q) AS period FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(s + q, s + l - 1)) AS p FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.p = g.p GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(floor(1000 * length // period) AS BIGINT) AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+ORACLES["op12_periodic_runs"] = _runs_sql()
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
