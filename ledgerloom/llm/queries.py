@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import collocations, decontaminate, jaccard, langid, packing, quality, runs, sharding, shared, substrings, token_files, tokens, toxicity, warc
+from ledgerloom.llm import collocations, decontaminate, extract, jaccard, langid, packing, quality, runs, sharding, shared, substrings, token_files, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,6 +156,28 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             F.size("spans").alias("n_spans"))
 
 
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.main_text(pages, extract.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+#: the tables' pages mark their article; the operator also reads pages that do not
+ORACLES["op11_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<article>(.*?)(</article>|$)', 1, 's')
+    AS body FROM pages),
+b AS (SELECT page_id, url, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(body, '\s+', ' ', 'g'),
+    '</?(h[1-6]|p|div|ul|ol|li|blockquote)>', chr(10), 'g'), '<br>', ' ', 'g'), chr(10))) AS line,
+    generate_subscripts(string_split(regexp_replace(regexp_replace(regexp_replace(body, '\s+', ' ', 'g'),
+    '</?(h[1-6]|p|div|ul|ol|li|blockquote)>', chr(10), 'g'), '<br>', ' ', 'g'), chr(10)), 1) AS i FROM a),
+c AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    line, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(39|x27);', chr(39), 'g'), '&amp;?', '&', 'g'),
+    '\s+', ' ', 'g')) AS line FROM b),
+d AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM c WHERE line <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM a LEFT JOIN d USING (page_id)
+"""
+
+
 def repeated_tail(docs: DataFrame) -> DataFrame:
     """doc_id and text; with h the crc32 of the id and g = h div 10, texts whose h ends in
     0 repeat the words from word g mod n on with a period of 1 + (n - a) div (3 + g mod 8)."""
@@ -199,7 +221,8 @@ def _runs_sql(largest: int = 8192) -> str:
 WITH d AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
         string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b),
         [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h
-    FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w FROM documents)),
+    FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents)),
 t AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM d),
 u AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS per FROM t),
 v AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % per END]) AS w FROM u),
