@@ -12,7 +12,7 @@ arrays of a slice of texts."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.kernels import Hasher, Texts, mix, pieces, range_hashes, windows, words
 
 LEAST_WORDS, LEAST_PERIODS = 24, 3
-#: a class this much larger than what joins it takes it place by place
+#: so many places or fewer are put into a class one by one
 _FEW = 64
 
 
@@ -95,8 +95,7 @@ def seeds(left: np.ndarray, right: np.ndarray, shared: np.ndarray, least: int, p
             a, b = b, a
         large, small = places[a], places.pop(b)
         owner[b] = a
-        many = len(small) > _FEW
-        for x in small:
+        for x in small:  # places of one class before are no new neighbours
             k = bisect_left(large, x)
             if k < len(large):
                 d = large[k] - x
@@ -106,11 +105,12 @@ def seeds(left: np.ndarray, right: np.ndarray, shared: np.ndarray, least: int, p
                 d = x - large[k - 1]
                 if d * (periods - 1) <= level >= least - d:
                     out.append((large[k - 1], d, level))
-            if not many:
-                large.insert(k, x)
-        if many:  # places of the smaller class that are neighbours of each other were so before
+        if len(small) > _FEW:
             large += small
             large.sort()
+        else:
+            for x in small:
+                insort(large, x)
     return np.asarray(out, np.int64).reshape(-1, 3)
 
 
