@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.kernels import Texts, pieces, words
+from ledgerloom.llm.kernels import Texts, held, pieces, words
 from ledgerloom.llm.tokens import ChunkEncoder
 
 DECAY, ORDERS = 0.6, (2, 3)
@@ -151,26 +151,19 @@ class Likeness(ChunkEncoder):
         """Words written letter by letter, with blanks between."""
         single = np.flatnonzero(found.ends - found.starts == 1)
         cells, values = [], []
-        for run in np.split(single, np.flatnonzero(np.diff(single) != 1) + 1) if len(single) >= 3 else []:
-            d = int(np.searchsorted(found.first, run[0], "right")) - 1 if len(run) else 0
-            run = run[run < found.first[d + 1]]
+        doc = np.searchsorted(found.first, single, "right") - 1
+        for run in np.split(single, np.flatnonzero((np.diff(single) != 1) | (np.diff(doc) != 0)) + 1):
             if len(run) >= 3:
+                d = int(np.searchsorted(found.first, run[0], "right")) - 1
                 pairs = self.encode_strings([texts.data[found.starts[run]].tobytes().decode("ascii", "replace")])[0]
                 cells += [d * len(self.landmarks) + j for j in pairs[0::2]]
                 values += [(v / 65535) ** SHARPEN for v in pairs[1::2]]
         return cells, values
 
 
-_LIKENESS: dict[tuple, Likeness] = {}
-
-
 def likeness(landmarks: list[str]) -> Likeness:
     """One per worker, so that words are compared once."""
-    key = tuple(landmarks)
-    if key not in _LIKENESS:
-        _LIKENESS.clear()
-        _LIKENESS[key] = Likeness(landmarks)
-    return _LIKENESS[key]
+    return held((Likeness, *landmarks), lambda: Likeness(landmarks))
 
 
 @dataclass
