@@ -6,7 +6,7 @@ or word range is a difference of prefix sums."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -157,3 +157,20 @@ def gather(positions: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """``make()``, kept in this worker for the next task that asks for the same ``key``.
+    Only the last one is kept, so a reused worker does not gather what earlier stages needed."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drops what ``held`` keeps, before a task that needs the memory itself."""
+    _HELD.clear()

@@ -96,9 +96,10 @@ class Phase:
 
 
 def phases(totals: list[int], shares: list[float] | None, length: int = LENGTH) -> list[Phase]:
-    """Windows at the target shares while every queue can pay; then the others go on
-    at their shares to each other; what is left of short queues is drained in turn.
-    Without shares the corpus' own proportions are the target and all end together."""
+    """Windows at the target shares while every queue can pay; a queue that cannot pay for
+    one window more leaves, and the others go on at their shares to each other; what the
+    queues that left still hold is drained in turn at the end. Without shares the corpus'
+    own proportions are the target and all end together."""
     out, left, done, window = [], list(totals), [0] * len(totals), 0
 
     def add(counts: list[int], drain: bool = False) -> None:
@@ -109,24 +110,25 @@ def phases(totals: list[int], shares: list[float] | None, length: int = LENGTH)
             left[i] -= c
         window += sum(counts) // length
 
-    if shares is not None:
-        while True:
-            live = [i for i, n in enumerate(left) if shares[i] > 0 and n > 0 and n * length >= 2]
-            weight = sum(shares[i] for i in live)
-            live = [i for i in live if shares[i] / weight * length >= 2] if live else []
-            weight = sum(shares[i] for i in live)
-            windows = min((int(left[i] * weight / shares[i]) // length for i in live), default=0)
-            if windows < 1:
-                break
-            counts, up, given = [0] * len(totals), 0.0, 0
-            for i in live:
-                up += shares[i] / weight
-                counts[i] = min(round(windows * length * up) - given, left[i])
-                given += counts[i]
-            counts[live[-1]] += windows * length - given
-            if counts[live[-1]] > left[live[-1]]:
-                break
-            add(counts)
+    def served(windows: int, live: list[int], weight: float) -> list[int]:
+        counts, up, given = [0] * len(totals), 0.0, 0
+        for i in live:
+            up += shares[i] / weight
+            counts[i] = (windows * length if i == live[-1] else round(windows * length * up)) - given
+            given += counts[i]
+        return counts
+
+    live = [i for i, n in enumerate(left) if shares is not None and shares[i] > 0 and n > 0]
+    while live:
+        weight = sum(shares[i] for i in live)
+        windows = {i: int(left[i] * weight / shares[i]) // length if shares[i] / weight * length >= 2 else 0 for i in live}
+        some = min(windows.values())
+        while some and any(c > n for c, n in zip(served(some, live, weight), left, strict=True)):
+            some -= 1  # whole ids: the shares of the last window may not divide
+        if some:
+            add(served(some, live, weight))
+        first = min(live, key=lambda i: (windows[i], i))
+        live = [i for i in live if windows[i] > some] if some else [i for i in live if i != first]
     rest = sum(left)
     if rest:
         add(list(left), drain=any(0 < n * length < 2 * rest for n in left))
@@ -144,7 +146,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: st
             sources = batch.column(2).to_pylist()
             for texts in pieces(batch.column(1)):
                 ids, counts = with_end(*encoder.encode(texts), end_id)
-                body, at, starts = ids.astype("<u2").tobytes(), np.concatenate(([0], np.cumsum(counts))).tolist(), []
+                body, at, starts = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(counts))).tolist(), []
                 for s, n in zip(sources[texts.rows], counts.tolist(), strict=True):
                     starts.append(seen.get(s, 0))
                     seen[s] = starts[-1] + n
@@ -152,7 +154,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: st
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(np.full(n, part, np.int64)), "doc_id": batch.column(0).slice(texts.rows.start, n),
                     "source": pa.array(sources[texts.rows], pa.string()), "source_start": pa.array(starts, pa.int64()),
-                    "n_tokens": pa.array(counts), "ids": pa.array([body[2 * a:2 * b] for a, b in zip(at, at[1:])], pa.binary())})
+                    "n_tokens": pa.array(counts), "ids": pa.array([body[4 * a:4 * b] for a, b in zip(at, at[1:])], pa.binary())})
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"),
                        F.coalesce(F.col(source_col).cast("string"), F.lit("")))
@@ -197,7 +199,7 @@ def pack(docs: DataFrame, vocabulary: str, shares: dict[str, float] | None = Non
             doc, start, n, body, source, q = (batch.column(i) for i in range(6))
             for d, a, count, blob, s, k in zip(doc.to_pylist(), start.to_pylist(), n.to_pylist(), body, source.to_pylist(),
                                                q.to_pylist(), strict=True):
-                view = memoryview(np.frombuffer(blob.as_buffer(), "<u2").astype("<u4")).cast("B")
+                view = memoryview(blob.as_buffer())
                 for phase in plan:
                     lo = phase.before[k]
                     first, stop = max(a, lo), min(a + count, lo + phase.counts[k])

@@ -212,7 +212,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
 
     Returns the manifest (part, uri, n_docs, n_tokens, first_token), stored. Null and
     empty texts are the end id alone; a null id is stored as the smallest integer and
-    comes first; repeated rows are kept, each with its own ids. One file per range of
+    comes first; repeated rows are kept, each with its own ids; rows of one id are
+    ordered by a hash of their text. One file per range of
     ids, made by a range partitioning; a task holds one segment and one batch."""
     spark = docs.sparkSession
 
@@ -230,7 +231,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
             yield pa.RecordBatch.from_pydict({"part": [part], "uri": [out.close()], "n_docs": [n], "n_tokens": [out.total]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(shared.slots(spark), "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text"), F.hash("text")]  # rows of one id follow each other alike in every run
+    rows = rows.repartitionByRange(shared.slots(spark), *order).sortWithinPartitions(*order)
     manifest = shared.stored(rows.mapInArrow(write, "part BIGINT, uri STRING, n_docs BIGINT, n_tokens BIGINT"), "tokens-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -8,14 +8,14 @@ of a text are the ids of its chunks one after the other. Chunks are looked up by
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
-from ledgerloom.llm.kernels import SPACE, Texts, bounds, gather, range_hashes
+from ledgerloom.llm.kernels import SPACE, Texts, bounds, gather, held, range_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE_CHUNKS = 1_500_000
+#: chunks a worker keeps; one takes 28 bytes and its ids 4 each
+CACHE_CHUNKS = 800_000
 _JOIN = 64
 #: first bytes of the characters outside ASCII that include white space
 _UNSURE = np.zeros(256, bool)
@@ -32,7 +32,7 @@ class ChunkEncoder:
     """``encode(Texts)`` gives all ids and where each text's ids begin."""
 
     def __init__(self, limit: int = CACHE_CHUNKS):
-        self.limit, self.tiers, self.ids, self.used = limit, [], np.zeros(1 << 20, np.uint16), 0
+        self.limit, self.tiers, self.ids, self.used = limit, [], np.zeros(1 << 20, np.uint32), 0
 
     def encode_strings(self, strings: list[str]) -> list[list[int]]:
         raise NotImplementedError
@@ -57,7 +57,7 @@ class ChunkEncoder:
     def _add(self, key: np.ndarray, check: np.ndarray, ids: list[np.ndarray] | tuple[np.ndarray, np.ndarray]) -> None:
         flat, counts = ids
         while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint16)))
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
         self.ids[self.used:self.used + len(flat)] = flat
         tier = (key, check, self.used + bounds(counts)[:-1], counts.astype(np.int32))
         self.used += len(flat)
@@ -70,12 +70,12 @@ class ChunkEncoder:
     def _encode_chunks(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = self.encode_strings(strings)
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for x in lists for i in x), np.uint16, counts.sum()), counts
+        return np.fromiter((i for x in lists for i in x), np.uint32, counts.sum()), counts
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         starts = self._starts(texts)
         if not len(starts):
-            return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(texts.data))
         key, check = range_hashes(texts.data, starts, ends, 0), range_hashes(texts.data, starts, ends, 1)
         unique, index, inverse = np.unique(key, return_index=True, return_inverse=True)
@@ -167,7 +167,7 @@ class Bpe(ChunkEncoder):
         order = np.concatenate(order) if order else np.zeros(0, np.int64)
         at = np.zeros(len(strings), np.int64)
         at[order] = bounds(counts[order])[:-1]
-        return flat[gather(at, counts)].astype(np.uint16), counts
+        return flat[gather(at, counts)].astype(np.uint32), counts
 
 
 class Pieces(ChunkEncoder):
@@ -185,11 +185,9 @@ class Pieces(ChunkEncoder):
         return self.model.encode([s.strip("\t\n\v\f\r ") for s in strings], num_threads=1)
 
 
-@lru_cache(maxsize=4)
 def bpe(path: str) -> Bpe:
-    return Bpe(path)
+    return held((Bpe, path), lambda: Bpe(path))
 
 
-@lru_cache(maxsize=2)
 def sentence_pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return held((Pieces, path), lambda: Pieces(path))
