@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import shared
-from ledgerloom.llm.kernels import LOWER, Texts, Words, bounds, mix, pieces, range_hashes, signed, windows, words
+from ledgerloom.llm.kernels import LOWER, Texts, Words, bounds, let_go, mix, pieces, range_hashes, signed, windows, words
 
 SHINGLE, PERCENT = 3, 90
 #: n-grams of one block of a cluster; texts in the sample that tells very common n-grams; share that is very common
 BLOCK_GRAMS, SAMPLE, COMMON = 1 << 19, 4000, 0.01
-BUCKETS_PER_SLOT = 2
+BUCKETS_PER_SLOT, BUCKET_GRAMS = 2, 1 << 22
 _COMMON_RANK = 1 << 40
 
 
@@ -97,14 +97,15 @@ def common_grams(texts: DataFrame, shingle: int, total: int) -> dict[int, int]:
     return {r["gram"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}
 
 
-def ordered_sets(texts: DataFrame, shingle: int, percent: int, common: dict[int, int]) -> DataFrame:
+def ordered_sets(texts: DataFrame, shingle: int, percent: int, common: dict[int, int], total: int = 0) -> DataFrame:
     """Stored (key, n, posted, grams) of the texts that can have a partner: their n-grams
     that occur elsewhere in global order, and those at the front of the whole set.
 
     n-grams travel packed: one row per slice of texts and bucket, and back in one row per
-    bucket and group of texts. Very common ones do not travel: their place is known."""
+    bucket and group of texts. Very common ones do not travel: their place is known.
+    ``total`` n-grams are dealt to enough buckets for one to fit a task."""
     spark = texts.sparkSession
-    buckets = BUCKETS_PER_SLOT * shared.slots(spark)
+    buckets = max(BUCKETS_PER_SLOT * shared.slots(spark), total // BUCKET_GRAMS)
     known = np.asarray(sorted(common), np.int64)
     times = np.asarray([common[k] for k in sorted(common)], np.int64)
     held = spark.sparkContext.broadcast((known, times))  # bounded by the sample, see common_grams
@@ -171,6 +172,7 @@ def ordered_sets(texts: DataFrame, shingle: int, percent: int, common: dict[int,
         return pa.concat_tables([out, table.filter(named).cast(out.schema)])
 
     def choose(table: pa.Table) -> pa.Table:
+        let_go()
         owner, place, gram, rank = entries(table)
         slices, code = np.unique(owner, return_inverse=True)
         text = code.astype(np.int64) << 32 | place
@@ -198,14 +200,14 @@ def ordered_sets(texts: DataFrame, shingle: int, percent: int, common: dict[int,
     return shared.stored(sets, "gram-sets")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node each node of ``edges`` (a, b) is connected to.
 
     Large and small stars in turn until nothing changes; each round is written, so a lost
     executor repeats at most one round."""
     edges = shared.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = split_join(both.where("b > a"), low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -227,7 +229,7 @@ def trie_links(keys: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np
     whatever is linked: a pair already connected by others is left out.
 
     Sets are walked in lexicographic order. What a set shares with the one before it is a
-    path of the trie already walked, and its overlaps with all probes lie on the stack."""
+    path of the trie already walked, with its overlaps with all probes."""
     flat, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     at = bounds([len(s) for s in sets])
     order_of = np.argsort(inverse, kind="stable")
@@ -243,29 +245,27 @@ def trie_links(keys: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np
             i = parent[i]
         return i
 
-    links, stack, before, depth = [], [np.zeros(len(sets), np.int32)], np.zeros(0, ">u4"), 0
+    # overlaps of all sets with the path walked so far; a step back takes its n-gram out again
+    links, now, before, depth = [], np.zeros(len(sets), np.int32), np.zeros(0, ">u4"), 0
     for i in trie:
         path = local[i]
         m = min(len(path), len(before), depth)
         same = path[:m] == before[:m]
         at_depth = m if same.all() else int(same.argmin())
-        del stack[at_depth + 1:]
+        for gram in before[at_depth:depth]:
+            now[owner[start[gram]:start[gram + 1]]] -= 1
         want = need(n, n[i], percent)
         want[(100 * np.minimum(n, n[i]) < percent * np.maximum(n, n[i]))] = 1 << 30
         want[i] = 1 << 30
         depth = at_depth
         for d in range(at_depth, len(path)):
-            now = stack[-1]
             if d % 8 == 0 and not (now + (len(path) - d) >= want).any():
                 break  # no set can be reached below here with what is left of this one
             gram = path[d]
-            if times[gram] > 1:
-                now = now.copy()
-                now[owner[start[gram]:start[gram + 1]]] += 1
-            stack.append(now)
+            now[owner[start[gram]:start[gram + 1]]] += 1
             depth = d + 1
         else:
-            for j in np.flatnonzero(stack[-1] >= want).tolist():
+            for j in np.flatnonzero(now >= want).tolist():
                 a, b = root(i), root(j)
                 if a != b:
                     parent[a] = b
@@ -293,6 +293,7 @@ def cluster_links(sets: DataFrame, percent: int) -> DataFrame:
                        (F.col("block") > F.least("block", "other")).cast("int").alias("side"))
 
     def join(table: pa.Table) -> pa.Table:
+        let_go()
         sets = [np.asarray(x) for c in table.column("grams").chunks for x in np.split(
             np.asarray(c.flatten()), np.cumsum(np.asarray(pa.compute.list_value_length(c)))[:-1])]
         links = trie_links(table.column("key").to_numpy(), table.column("n").to_numpy(), sets, table.column("side").to_numpy(), percent)
@@ -313,14 +314,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     where a component has no other; other columns are ignored; an empty table gives no rows."""
     rows = shared.keyed(docs, id_col, text_col)
     scanned = scan(rows, shingle)
-    total = scanned.count()
+    total, grams = scanned.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     with_words = scanned.where("n > 0").select("key", "doc_id", "digest", "digest2").distinct()
     nodes = with_words.groupBy("digest", "digest2").agg(F.min("key").alias("node"), F.count("*").alias("copies"))
     member = shared.stored(split_join(with_words, nodes.where("copies > 1").select("digest", "digest2", "node"), ["digest", "digest2"])
                            .select("key", "doc_id", "node"), "members")
     copies = shared.stored(member.where("key <> node").select("key").distinct(), "copies")
     texts = rows.select("key", "text").join(copies, "key", "left_anti")
-    sets = ordered_sets(texts, shingle, percent, common_grams(texts, shingle, total))
+    sets = ordered_sets(texts, shingle, percent, common_grams(texts, shingle, total), grams)
     sets = sets.dropDuplicates(["key"])  # rows that repeat id and text
     linked = components(cluster_links(sets, percent)).withColumnRenamed("node", "node_key")
     # every text in a group of copies or of linked nodes, with its component

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import shared
-from ledgerloom.llm.kernels import Words, bounds, gather, mix, pieces, range_hashes, signed, windows, words
+from ledgerloom.llm.kernels import Words, bounds, gather, let_go, mix, pieces, range_hashes, signed, windows, words
 
 WINDOW = 20
-BUCKETS_PER_SLOT = 2
+BUCKETS_PER_SLOT, BUCKET_MARKS = 2, 1 << 22
 #: entries of a packed row: text (rank, variant), mark with a second hash, place; done: nothing left to compare
 _PACKED = "bucket INT, done BOOLEAN, ranks ARRAY<BIGINT>, variants ARRAY<INT>, marks ARRAY<BIGINT>, checks ARRAY<BIGINT>, places ARRAY<INT>"
 _LISTS = ("ranks", "variants", "marks", "checks", "places")
@@ -98,11 +98,12 @@ def groups_of(mark: np.ndarray, check: np.ndarray, rank: np.ndarray, place: np.n
     return order, edge, np.diff(np.append(edge, len(mark)))
 
 
-def exchange(texts: DataFrame, entries, first_stays: bool, columns: list[str]) -> DataFrame:
+def exchange(texts: DataFrame, entries, first_stays: bool, columns: list[str], total: int = 0) -> DataFrame:
     """(rank, variant, marks, places) of the entries whose mark occurs more than once; with
     ``first_stays`` without the earliest of each mark. ``entries(batch, slice, found)``
-    gives text index, mark, check and place arrays. ``columns`` starts with rank, variant, text."""
-    buckets = BUCKETS_PER_SLOT * shared.slots(texts.sparkSession)
+    gives text index, mark, check and place arrays. ``columns`` starts with rank, variant, text;
+    ``total`` marks at most are dealt to enough buckets for one to fit a task."""
+    buckets = max(BUCKETS_PER_SLOT * shared.slots(texts.sparkSession), total // BUCKET_MARKS)
 
     def split(rank: np.ndarray, mark: np.ndarray, check: np.ndarray, place: np.ndarray, known: np.ndarray | None = None):
         """Indices to send on, whether the mark is known to repeat, and those decided."""
@@ -134,6 +135,7 @@ def exchange(texts: DataFrame, entries, first_stays: bool, columns: list[str]) -
                     yield packed(spread(rank[later], buckets), True, rank[later], variant[later], mark[later], check[later], place[later])
 
     def judge(table: pa.Table) -> pa.Table:
+        let_go()
         rank, variant, mark, check, place, done = unpacked(table)
         kept = np.flatnonzero(done)
         fresh = np.flatnonzero(~done)
@@ -208,10 +210,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         return (doc, signed(range_hashes(hashes, starts, starts + window, 1)), signed(range_hashes(hashes, starts, starts + window, 2)),
                 starts - found.first[doc])
 
-    half = exchange(live, runs, False, ["rank", "variant", "text"])
+    total = scanned.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    half = exchange(live, runs, False, ["rank", "variant", "text"], total)
     held = live.join(half, ["rank", "variant"]).dropDuplicates(["rank", "variant"]).select("rank", "variant", "text", "places", "key")
     held = shared.stored(held, "substring-texts")
-    later = exchange(held, full, True, ["rank", "variant", "text", "places"])
+    later = exchange(held, full, True, ["rank", "variant", "text", "places"], total)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
