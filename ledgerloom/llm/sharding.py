@@ -1,22 +1,30 @@
 """Balanced label propagation into shards (operator 7).
 
-Equal texts are one node that weighs as much as it has copies: such a group is placed
-whole, the heaviest first, and only what fits no shard whole is split. Links given by
-the caller are propagated: every document starts in a shard by hash. In each round a
-document asks for the shard that most of its neighbours are in; per pair of shards as
-many requests are granted as go the other way, plus the free room of the target. Rounds
-are joins and aggregates on (document, shard) rows; only the table of shard pairs and
-the HEAVIEST groups reach the driver. At the end counts are made exact: what exceeds a
-shard's quota, unlinked documents first, goes to the free slots of other shards."""
+Equal texts are one node that weighs as much as it has copies; nodes are first laid into
+the shards evenly, the heaviest first, and only what fits no shard whole is split. Nodes
+that share a value of a link column (by default: the least hashes of their five-word
+windows, which near copies share) are neighbours. In each round a node asks for
+the shard where its neighbours weigh most; per pair of shards as much is granted as goes
+the other way, plus the free room of the target. Rounds are joins and aggregates on (node,
+shard) rows until nothing more is gained; only the table of shard pairs and the HEAVIEST
+groups reach the driver. At the end counts are made exact: what exceeds a shard's quota,
+unlinked documents first, goes to the free slots of other shards."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import shared
+from ledgerloom.llm.kernels import LOWER, Texts, mix, pieces, range_hashes, signed, windows, words
 
-SHARDS, ROUNDS, SLACK = 8, 6, 1.03
+SHARDS, ROUNDS, SLACK = 8, 24, 1.03
+#: words of a window, and how many least hashes of a text link it to others
+LINK_WORDS, LINKS = 5, 2
 #: groups of equal texts placed one by one on the driver; any other group has fewer copies
 #: than a table's rows divided by this
 HEAVIEST = 1024
@@ -89,43 +97,78 @@ def gather_equal(docs: DataFrame, shards: int) -> DataFrame:
     return shared.stored(state.withColumnRenamed("to", "shard"), "shards")
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
-              slack: float = SLACK) -> DataFrame:
-    """(node, shard, linked) after the rounds; counts stay near ``slack`` times even.
+def near_links(docs: DataFrame, text_col: str, links: int = LINKS) -> DataFrame:
+    """``docs`` with columns link_0..: the least of all hashes of the text's windows of
+    LINK_WORDS words, A-Z lower-cased, by different orders of the hashes. Two texts share one
+    with the probability of their sets' Jaccard similarity. Null for fewer words."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(text_col))
+            for part in pieces(text):
+                low = Texts(part.rows, LOWER[part.data], part.offsets)
+                found = words(low)
+                keys, at = windows(range_hashes(low.data, found.starts, found.ends), found.first, LINK_WORDS)
+                counts = np.maximum(found.counts() - LINK_WORDS + 1, 0)
+                some = np.flatnonzero(counts)
+                edge = (np.cumsum(counts) - counts)[some]
+                columns = []
+                for i in range(links):
+                    value = np.zeros(len(part), np.uint64)
+                    value[some] = np.minimum.reduceat(mix(keys + np.uint64(i)), edge) if len(some) else 0
+                    columns.append(pa.array(signed(value), pa.int64(), mask=counts == 0))
+                rows = batch.slice(part.rows.start, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], schema=pa.schema(
+                    [*batch.schema, *[pa.field(f"link_{i}", pa.int64()) for i in range(links)]]))
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"link_{i} BIGINT" for i in range(links)])
+    return docs.mapInArrow(least, schema)
 
-    ``nodes``: distinct ``node`` ids; ``edges``: pairs (a, b), each once. Documents move
-    in alternate halves, so two neighbours never swap places."""
-    both = shared.stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    linked = both.select(F.col("a").alias("node")).distinct().withColumn("linked", F.lit(True))
-    start = F.pmod(F.xxhash64(F.lit(17), "node"), F.lit(shards)).cast("int").alias("shard")
-    state = shared.stored(nodes.join(linked, "node", "left").select("node", start, F.coalesce("linked", F.lit(False)).alias("linked")),
-                          "shards")
-    sizes = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+
+def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+    """(unit, shard) of the ``units`` (unit, weight, shard) that moved; sizes stay below
+    ``slack`` times even.
+
+    ``links``: (unit, link); units of one link are neighbours. Units move in alternate
+    halves, so two neighbours never swap places; the rounds end when neither half gains."""
+    sizes = {r["shard"]: r["n"] for r in units.groupBy("shard").agg(F.sum("weight").alias("n")).collect()}
     limit = slack * sum(sizes.values()) / shards
-    for turn in range(rounds):
-        moving = state.where("linked")  # documents without neighbours never ask
-        votes = both.join(moving.select(F.col("node").alias("b"), F.col("shard").alias("to")), "b") \
-            .groupBy("a", "to").agg(F.count("*").alias("votes"))
-        wish = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("to")).alias("low"))).alias("best"), F.sum("votes").alias("all"))
-        half = F.pmod(F.xxhash64(F.lit(turn // 2), "node"), F.lit(2)) == turn % 2
-        asks = moving.join(wish, moving.node == wish.a).where(half).select(
-            "node", "shard", (-F.col("best.low")).alias("to"), F.col("best.votes").alias("gain")).where("shard <> to")
+    state = units.join(links.select("unit").distinct(), "unit", "left_semi").withColumn("start", F.col("shard"))
+    state = shared.stored(state, "units")
+    idle = turn = 0
+    while idle < 2 and turn < rounds:
+        seen = links.join(state, "unit")
+        per = seen.groupBy("link", F.col("shard").alias("to")).agg(F.sum("weight").alias("w"))
+        again = F.xxhash64(F.lit(11), "link")  # both sides are shuffled, so a hot link can be split
+        votes = links.withColumn("again", again).join(per.withColumn("again", again), ["again", "link"]).groupBy("unit", "to").agg(
+            F.sum("w").alias("votes"), F.count("*").alias("times"))
+        votes = votes.join(state, "unit")
+        # its own weight, once per link that it is counted in, is no neighbour
+        votes = votes.withColumn("votes", F.col("votes") - F.when(F.col("to") == F.col("shard"), F.col("weight") * F.col("times")).otherwise(0))
+        wish = votes.groupBy("unit", "weight", "shard").agg(
+            F.max(F.struct("votes", (F.col("to") == F.col("shard")).alias("stays"), (-F.col("to")).alias("low"))).alias("best"))
+        half = F.pmod(F.xxhash64(F.lit(3), "unit"), F.lit(2)) == turn % 2
+        asks = wish.where(half & ~F.col("best.stays") & (F.col("best.votes") > 0)).select("unit", "weight", "shard", (-F.col("best.low")).alias("to"))
         asks = shared.stored(asks, "asks")
-        wanted = {(r["shard"], r["to"]): r["n"] for r in asks.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
-        if not wanted:
-            break
-        grants = {}
-        for (i, j), n in wanted.items():
-            into = sum(m for (_, k), m in wanted.items() if k == j)
-            room = max(limit - sizes.get(j, 0), 0) * n / into
-            grants[i, j] = min(1.0, (min(n, wanted.get((j, i), 0)) + room) / n)
-        grant = F.create_map(*[x for (i, j), share in grants.items() for x in (F.lit(i * shards + j), F.lit(share))])
-        lot = F.pmod(F.xxhash64(F.lit(1000 + turn), "node"), F.lit(1 << 20)) / float(1 << 20)
-        moves = asks.where(lot < grant[F.col("shard") * shards + F.col("to")]).select("node", F.col("to").alias("new"))
-        state = shared.stored(state.join(moves, "node", "left").select("node", F.coalesce("new", "shard").cast("int").alias("shard"),
-                                                                       "linked"), "shards")
-        sizes = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    return state
+        wanted = {(r["shard"], r["to"]): r["n"] for r in asks.groupBy("shard", "to").agg(F.sum("weight").alias("n")).collect()}
+        into = {j: sum(n for (_, k), n in wanted.items() if k == j) for _, j in wanted}
+        share = {(i, j): min(1.0, (min(n, wanted.get((j, i), 0)) + max(limit - sizes.get(j, 0), 0) * n / into[j]) / n)
+                 for (i, j), n in wanted.items()}
+        if any(share.values()):
+            grant = F.create_map(*[x for (i, j), part in share.items() for x in (F.lit(i * shards + j), F.lit(part))])
+            lot = F.pmod(F.xxhash64(F.lit(1000 + turn), "unit"), F.lit(1 << 20)) / float(1 << 20)
+            fits = F.col("weight") <= limit - sum(sizes.values()) / shards  # heavier ones would overrun a shard at once
+            moves = asks.where((lot < grant[F.col("shard") * shards + F.col("to")]) & fits)
+            moves = shared.stored(moves.select("unit", F.col("to").alias("new"), "weight", F.col("shard").alias("old")), "moves")
+            flow = moves.groupBy("old", "new").agg(F.sum("weight").alias("n")).collect()
+            for r in flow:
+                sizes[r["old"]] -= r["n"]
+                sizes[r["new"]] = sizes.get(r["new"], 0) + r["n"]
+            state = shared.stored(state.join(moves.select("unit", "new"), "unit", "left").select(
+                "unit", "weight", F.coalesce("new", "shard").cast("int").alias("shard"), "start"), "units")
+        idle = 0 if any(share.values()) and flow else idle + 1
+        turn += 1
+    return state.where("shard <> start").select("unit", "shard")
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str, ahead=None) -> DataFrame:
@@ -146,25 +189,45 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str, ahead=Non
         .withColumn(name, (F.col("base") + F.col("inside")).cast("long")).drop("bucket", "base", "inside")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", edges: DataFrame | None = None,
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", link_cols: list[str] | None = None,
           rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
-    Law ``rows``: shard counts differ by one at most; ``edges`` over the stored ``node``
-    ids default to equal texts. Of equal texts only a group that fits no shard beside the
-    larger ones is split over several, and where shards have no room for a light group's
-    last copies (hardly a document is unlinked) these go to another. Null
-    texts have size 1 and link to nothing, empty ones are equal texts; repeated rows are
-    separate documents (they get numbers of their own); a null id stays null; other
-    columns are ignored; an empty table gives no rows."""
+    Law ``rows``: shard counts differ by one at most. Documents with equal values in a
+    column of ``link_cols`` are neighbours; None links near copies (``near_links``). Equal
+    texts move as one; only a group that fits no shard beside the larger ones is split, and
+    where shards have no room for a light group's last copies (hardly a document is
+    unlinked) these go to another. Null texts have size 1 and link to nothing, empty ones
+    are equal texts; null links link to nothing; repeated rows are separate documents (they
+    get numbers of their own); a null id stays null; other columns are ignored; an empty
+    table gives no rows."""
     body = F.col(text_col).cast("string")
+    if link_cols is None:
+        docs = near_links(docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text")), "text")
+        id_col, body, link_cols = "doc_id", F.col("text"), [f"link_{i}" for i in range(LINKS)]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(body.cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.when(body.isNotNull(), F.concat(F.xxhash64(body).cast("string"), F.lit("-"), F.octet_length(body), F.lit("-"),
-                                          F.hash(body))).alias("text_hash"))
+                                          F.hash(body))).alias("text_hash"),
+        F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(i), F.col(c))) for i, c in enumerate(link_cols)]).alias("links"))
     rows = shared.stored(rows.withColumn("node", F.monotonically_increasing_id()), "documents")
-    state = gather_equal(rows, shards) if edges is None else propagate(rows.select("node"), edges, shards, rounds)
+    state = gather_equal(rows.select("node", "text_hash"), shards)
+
+    # values that different texts share
+    named = rows.where("text_hash IS NOT NULL").select(F.col("text_hash").alias("unit"), F.explode("links").alias("link")).where("link IS NOT NULL").distinct()
+    common = named.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
+    again = F.xxhash64(F.lit(7), "link")
+    links = shared.stored(named.withColumn("again", again).join(common.withColumn("again", again), ["again", "link"]).select("unit", "link"), "links")
+    if links.head(1):
+        units = rows.where("text_hash IS NOT NULL").join(state, "node").groupBy(F.col("text_hash").alias("unit")).agg(
+            F.count("*").alias("weight"), F.min("shard").alias("shard"), F.max("shard").alias("last"))
+        units = shared.stored(units.where("shard = last").select("unit", "weight", "shard"), "units")
+        moved = shared.stored(propagate(units, links, shards, rounds).withColumnsRenamed({"unit": "text_hash", "shard": "new"}), "moved")
+        linked = links.select(F.col("unit").alias("text_hash"), F.lit(True).alias("near")).distinct()
+        to = rows.where("text_hash IS NOT NULL").select("node", "text_hash").join(linked, "text_hash").join(moved, "text_hash", "left")
+        state = state.join(to.select("node", "near", "new"), "node", "left").select(
+            "node", F.coalesce("new", "shard").cast("int").alias("shard"), (F.col("linked") | F.coalesce("near", F.lit(False))).alias("linked"))
     state = shared.stored(numbered(state, "shard", ["node"], "place", F.col("linked")), "places")
 
     counted = state.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("linked").alias("linked")).collect()

@@ -63,4 +63,4 @@ def test_query_equals_sql(spark, key):
 
 def test_all_operators_are_registered():
     numbers = {int(k[2:].split("_")[0]) for k in corpus.QUERIES}
-    assert numbers == set(range(1, 11)) and "pipeline" in queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in queries()
