@@ -1,13 +1,16 @@
 """Positioned words to document fields.
 
-    words --shuffle(doc)--> line fold --shuffle(doc)--> line columns, document
-    windows, candidate choice --> one row per document
-
-The fold is the only Python: rows arrive sorted, it keeps one open line, and its
-memory does not depend on how large a document is. Everything after it is Column
-work on lines; document-level facts are window aggregates over the same hash
-partitioning, so no stage joins lines back to documents and none shuffles again.
-Window groups spill to disk, they are never gathered in Python.
+    words --shuffle(doc, page)--> line fold --> stored lines
+    lines --aggregate(doc, page)--> facts per page --> facts of the document, again a
+    narrow row per page --join(doc, page)--> lines
+
+The fold is the only Python: the words of a page arrive sorted, it keeps one open line.
+Pages are folded by themselves, so a document of many pages is spread over tasks; lines
+are numbered through the document by adding up the pages before. What a line must know
+of its document (header row, table end, amounts found elsewhere) is aggregated inside
+pages first and combined over one narrow row per page, and comes back to the lines by
+(document, page). Those small tables are stored, so each step's plan stays short and a
+lost executor repeats one step at most; wide lines never meet in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from ledgerloom.operators.aggregates import COMPANY
 from ledgerloom.operators.matching import known_vendor_resolution
 from ledgerloom.operators.skew import splittable_join
 from ledgerloom.operators.trends import select_candidate
-from ledgerloom.session import checkpointed
+from ledgerloom.session import checkpointed, stored
 
 # Share of overlap and distance in points that make one row.
 MIN_OVERLAP, FLAT_TOLERANCE = 0.6, 4.0
@@ -64,123 +67,122 @@ def _changes(column: pa.Array) -> np.ndarray:
     return np.concatenate([[True], codes[1:] != codes[:-1]])
 
 
-def _fold(batch: pa.RecordBatch, first_index: int, last: bool):
+def _fold(batch: pa.RecordBatch, first_row: int, last: bool):
     """Lines of the sorted rows, except that the final two wait for more rows:
     the last may still grow and the one before needs it as its next line."""
-    new_doc = _changes(batch.column("doc_id"))
-    new_page = new_doc | _changes(batch.column("page"))
+    new_page = _changes(batch.column("doc_id")) | _changes(batch.column("page"))
     starts = np.array(_line_starts(new_page, batch.column("y0").to_numpy(), batch.column("y1").to_numpy()))
     total, emitted = len(starts), len(starts) if last else max(0, len(starts) - 2)
-    starts_doc = new_doc[starts]
-    starts_doc[0] = False
-    index = np.arange(total) + first_index
-    for k in np.flatnonzero(starts_doc):
-        index[k:] = np.arange(total - k)
+    opens = new_page[starts]  # lines that open a page
+    opens[0] = first_row == 0
+    index = np.arange(total)
+    row = index - np.maximum.accumulate(np.where(opens, index, -first_row))
     line_of = np.cumsum(np.bincount(starts, minlength=batch.num_rows)) - 1
     order = np.lexsort((batch.column("x0").to_numpy(), line_of))
     words = pa.StructArray.from_arrays([batch.column(n).take(pa.array(order)) for n in WORD_FIELDS],
                                        fields=list(_ARROW_WORD))
     bounds = np.concatenate([starts, [batch.num_rows]]).astype(np.int32)
-    follows = np.array([k + 1 < total and not starts_doc[k + 1] for k in range(emitted)], dtype=bool)
+    follows = np.concatenate([~opens[1:], [False]])[:emitted]
     next_bounds = bounds[np.minimum(np.arange(1, emitted + 2), total)]
     head = pa.array(starts[:emitted])
-    pages = batch.column("page").take(pa.array(starts)).to_numpy(zero_copy_only=False)
-    next_page = np.concatenate([pages[1:], [0]])[:emitted]
     lines = pa.RecordBatch.from_arrays([
-        batch.column("doc_id").take(head), pa.array(index[:emitted].astype(np.int32)),
-        pa.array(pages[:emitted].astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds[:emitted + 1]), words),
-        pa.array(next_page.astype(np.int32), mask=~follows),
+        batch.column("doc_id").take(head), batch.column("page").take(head).cast(pa.int32()), pa.array(row[:emitted].astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(bounds[:emitted + 1]), words),
         pa.ListArray.from_arrays(pa.array(next_bounds), words, mask=pa.array(~follows))],
-        names=["doc_id", "line_idx", "page", "words", "next_page", "next_words"])
+        names=["doc_id", "page", "row", "words", "next_words"])
     if last:
         return lines, None, 0
-    keep = int(starts[emitted]) if total else 0
-    return lines, batch.slice(keep), int(index[emitted]) if total else 0
+    return lines, batch.slice(int(starts[emitted]) if total else 0), int(row[emitted]) if total else 0
 
 
 def fold_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    waiting, index = None, 0
+    """Words sorted by document, page and place to the lines of each page."""
+    waiting, row = None, 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
         rows = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-        lines, waiting, index = _fold(rows, index, last=False)
+        lines, waiting, row = _fold(rows, row, last=False)
         if lines.num_rows:
             yield lines
     if waiting is not None and waiting.num_rows:
-        yield _fold(waiting, index, last=True)[0]
+        yield _fold(waiting, row, last=True)[0]
+
+
+PAGE = ["doc_id", "page"]
 
 
 def group_lines(words: DataFrame) -> DataFrame:
-    """Words to printed lines: ``doc_id, line_idx, page, words, next_page,
-    next_words``, numbered through the document, words left to right."""
-    columns = ["doc_id", "page", "word_idx", *WORD_FIELDS]
+    """Words to printed lines: ``doc_id, page, line_idx, words, next_page, next_words``,
+    numbered through the document, words left to right. Lines and one row per page
+    (lines before it, first line of the next page) are stored."""
+    columns = [*PAGE, "word_idx", *WORD_FIELDS]
     for optional in {"font_size"} - set(words.columns):
         words = words.withColumn(optional, F.lit(None).cast("double"))
-    ordered = (words.select(*columns).repartition("doc_id")
-               .sortWithinPartitions("doc_id", "page", "y0", "x0", "word_idx"))
-    schema = T.StructType([T.StructField("doc_id", words.schema["doc_id"].dataType),
-                           T.StructField("line_idx", T.IntegerType()), T.StructField("page", T.IntegerType()),
-                           T.StructField("words", T.ArrayType(_WORD_TYPE)),
-                           T.StructField("next_page", T.IntegerType()),
+    ordered = words.select(*columns).repartition(*PAGE).sortWithinPartitions(*PAGE, "y0", "x0", "word_idx")
+    schema = T.StructType([T.StructField("doc_id", words.schema["doc_id"].dataType), T.StructField("page", T.IntegerType()),
+                           T.StructField("row", T.IntegerType()), T.StructField("words", T.ArrayType(_WORD_TYPE)),
                            T.StructField("next_words", T.ArrayType(_WORD_TYPE))])
-    return ordered.mapInArrow(fold_lines, schema)
+    lines = stored(ordered.mapInArrow(fold_lines, schema), "lines")
+    pages = lines.groupBy(*PAGE).agg((F.max("row") + 1).alias("n"), F.max(F.when(F.col("row") == 0, F.col("words"))).alias("first"))
+    after = Window.partitionBy("doc_id").orderBy("page")
+    numbered = stored(pages.select(
+        *PAGE, F.coalesce(F.sum("n").over(after.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("base"),
+        F.lead("page").over(after).alias("page_after"), F.lead("first").over(after).alias("first_after")), "pages")
+    inside = F.col("next_words").isNotNull()
+    return lines.join(numbered, PAGE).select(
+        *PAGE, (F.col("base") + F.col("row")).alias("line_idx"), "words",
+        F.when(inside, F.col("page")).otherwise(F.col("page_after")).alias("next_page"),
+        F.when(inside, F.col("next_words")).otherwise(F.col("first_after")).alias("next_words"))
 
 
-# --------------------------------------------------------------- document windows
+# ----------------------------------------------------------------- document facts
 
 
-def _in_doc(aggregate: Column) -> Column:
-    return aggregate.over(Window.partitionBy("doc_id"))
+def with_facts(lines: DataFrame, name: str, **facts: tuple) -> DataFrame:
+    """Lines with facts of their whole document. A fact is ``(aggregate, combine)``: what a
+    page contributes and how the pages' values become the document's."""
+    pages = lines.groupBy(*PAGE).agg(*[value.alias(k) for k, (value, _) in facts.items()])
+    document = Window.partitionBy("doc_id")
+    combined = pages.select(*PAGE, *[combine(k).over(document).alias(k) for k, (_, combine) in facts.items()])
+    return lines.join(stored(combined, name), PAGE)
 
 
 def with_table_region(lines: DataFrame) -> DataFrame:
     """Line basics plus where the item table is: header row, column bands and the
     first totals row after it."""
-    out = lines.withColumns({
-        "key": rules.key_string(F.col("words")), "text": rules.line_text(F.col("words")),
-        "right": F.array_max(F.transform("words", lambda w: w["x1"])),
-        "bottom": F.array_max(F.transform("words", lambda w: w["y1"]))})
-    out = out.withColumn("header_matches", F.when(rules.is_item_header(F.col("text")),
-                                                  rules.header_matches(F.col("words"))))
-    first_header = F.min(F.when(F.col("header_matches").isNotNull(), F.struct("line_idx", "header_matches")))
-    out = out.withColumns({
-        "header": _in_doc(first_header), "right_edge": _in_doc(F.max("right")),
-        "line_count": _in_doc(F.max("line_idx")) + 1,
-        "page0_bottom": _in_doc(F.max(F.when(F.col("page") == 0, F.col("bottom"))))})
+    out = lines.withColumns({"key": rules.key_string(F.col("words")), "text": rules.line_text(F.col("words"))})
+    header = F.when(rules.is_item_header(F.col("text")), F.struct("line_idx", rules.header_matches(F.col("words")).alias("header_matches")))
+    side = lambda name: F.array_max(F.transform("words", lambda w: w[name]))
+    out = with_facts(out, "headers", header=(F.min(header), F.min), right_edge=(F.max(side("x1")), F.max),
+                     line_count=(F.max("line_idx") + 1, F.max), page0_bottom=(F.max(F.when(F.col("page") == 0, side("y1"))), F.max))
     out = out.withColumns({"header_row": F.col("header.line_idx"),
                            "bands": rules.column_bands(F.col("header.header_matches"), F.col("right_edge"))})
     after = F.col("line_idx") > F.col("header_row")
     totals = F.when(after, F.when(rules.names_totals(F.col("words"), F.col("bands")), F.col("line_idx")))
-    out = out.withColumn("boundary", F.coalesce(_in_doc(F.min(totals)), F.col("line_count")))
+    out = with_facts(out, "boundaries", totals_row=(F.min(totals), F.min))
+    out = out.withColumn("boundary", F.coalesce("totals_row", "line_count"))
     inside = F.coalesce((F.col("line_idx") >= F.col("header_row")) & (F.col("line_idx") < F.col("boundary")),
                         F.lit(False))
     return out.withColumns({
         "is_header_row": F.coalesce(F.col("line_idx") == F.col("header_row"), F.lit(False)), "in_body": inside,
         "cells": F.when(inside & (F.col("line_idx") > F.col("header_row")) & (F.size("bands") > 0),
                         rules.item_cells(F.col("words"), F.col("bands")))}
-    ).drop("header", "header_matches", "right")
+    ).drop("header", "totals_row")
 
 
 def _has_numeric() -> Column:
     return (F.col("cells.qty") != "") | (F.col("cells.rate") != "") | (F.col("cells.amount") != "")
 
 
-def _first_value(field: str, allowed: Column | None = None) -> Column:
-    """The field's value on the first line that yields one."""
-    value = F.col(f"v_{field}")
-    keep = value.isNotNull() if allowed is None else value.isNotNull() & allowed
-    return _in_doc(F.min(F.when(keep, F.struct("line_idx", value.alias("v")))))["v"]
+FOUND_LABELS = ("vendor_label", "customer_label", "invoice_number", "ntn", "subtotal", "tax", "discount")
+MONEY_LABELS = ("subtotal", "tax", "discount")
 
 
 def with_label_values(lines: DataFrame) -> DataFrame:
-    """Label-anchored values per line and, through windows, per document."""
-    fields = ("vendor_label", "customer_label", "invoice_number", "ntn", "subtotal", "tax", "discount")
-    out = lines.withColumn("labelled", rules.label_values(fields))
-    out = out.withColumns({f"v_{f}": F.get("labelled", F.lit(i)) for i, f in enumerate(fields)}).drop("labelled")
-    not_header = ~F.col("is_header_row")
-    money = {f: _first_value(f, not_header) for f in ("subtotal", "tax", "discount")}
-    plain = {f: _first_value(f) for f in ("vendor_label", "customer_label", "invoice_number", "ntn")}
+    """Label-anchored values per line and, from the first line that yields one, per document."""
+    out = lines.withColumn("labelled", rules.label_values(FOUND_LABELS))
+    out = out.withColumns({f"v_{f}": F.get("labelled", F.lit(i)) for i, f in enumerate(FOUND_LABELS)}).drop("labelled")
     numbers = {f: F.when(present(f"cells.{f}").isNotNull(), text.parse_money(f"cells.{f}"))
                for f in ("qty", "rate", "amount")}
     out = out.withColumns({"item_amount": numbers["amount"], "item_check": F.when(_has_numeric(), checks.line_item_check(
@@ -200,18 +202,24 @@ def with_label_values(lines: DataFrame) -> DataFrame:
                         & text.looks_like_amount(w["text"]) & text.parse_money(w["text"]).isNotNull())
     out = out.withColumns({"total_keys_min": F.array_min(keys), "total_keys_max": F.array_max(keys),
                            "specific": specific})
-    out = out.withColumns({
-        **{f"d_{f}": v for f, v in {**money, **plain}.items()},
-        "items_sum": _in_doc(F.sum("item_amount")), "pass_rate": _in_doc(F.avg(checked)),
-        "item_count": F.coalesce(_in_doc(F.count("item_check")), F.lit(0)),
-        "described": _in_doc(F.max(F.col("cells.description") != "")),
-        "first_total_like": _in_doc(F.min(F.array_min("total_like"))),
-        "one_total_key": _in_doc(F.min("total_keys_min")) == _in_doc(F.max("total_keys_max")),
-        "specific_count": _in_doc(F.sum(F.size("specific"))),
-        "specific_first": _in_doc(F.min(F.when(F.size("specific") > 0, F.struct(
-            "line_idx", "page", F.get("specific", F.lit(0)).alias("w")))))})
-    for field in ("subtotal", "tax", "discount"):
-        out = out.withColumn(f"n_{field}", text.parse_money(F.col(f"d_{field}.text")))
+
+    def first_value(field: str) -> tuple:
+        value = F.col(f"v_{field}")
+        keep = value.isNotNull() & ~F.col("is_header_row") if field in MONEY_LABELS else value.isNotNull()
+        return F.min(F.when(keep, F.struct("line_idx", value.alias("v")))), F.min
+
+    facts = with_facts(
+        out, "labels", **{f"f_{f}": first_value(f) for f in FOUND_LABELS},
+        items_sum=(F.sum("item_amount"), F.sum), passed=(F.sum(checked), F.sum), checked=(F.count(checked), F.sum),
+        item_count=(F.count("item_check"), F.sum), described=(F.max(F.col("cells.description") != ""), F.max),
+        first_total_like=(F.min(F.array_min("total_like")), F.min), least_total_key=(F.min("total_keys_min"), F.min),
+        last_total_key=(F.max("total_keys_max"), F.max), specific_count=(F.sum(F.size("specific")), F.sum),
+        specific_first=(F.min(F.when(F.size("specific") > 0, F.struct(
+            "line_idx", "page", F.get("specific", F.lit(0)).alias("w")))), F.min))
+    out = facts.withColumns({
+        **{f"d_{f}": F.col(f"f_{f}.v") for f in FOUND_LABELS}, "pass_rate": F.col("passed") / F.nullif("checked", F.lit(0)),
+        "one_total_key": F.col("least_total_key") == F.col("last_total_key")})
+    out = out.withColumns({f"n_{f}": text.parse_money(F.col(f"d_{f}.text")) for f in MONEY_LABELS})
     return out.withColumn("reference", checks.reference_amount("n_subtotal", "n_tax", "n_discount", "items_sum"))
 
 
@@ -276,22 +284,25 @@ def reconciles(amount: Column, reference: Column) -> Column:
 
 def line_candidates(words: DataFrame, known_lines: DataFrame | None = None) -> DataFrame:
     """Every line with its label values and candidates."""
-    return candidates_of(group_lines(words), known_lines)
+    return candidates_of(with_table_region(group_lines(words)), known_lines)
+
 
+def candidates_of(region: DataFrame, known_lines: DataFrame | None = None) -> DataFrame:
+    """``line_candidates`` over lines whose table region is known already."""
+    return with_candidates(with_known(with_label_values(region), known_lines))
 
-def candidates_of(lines: DataFrame, known_lines: DataFrame | None = None) -> DataFrame:
-    """``line_candidates`` over lines that are grouped already."""
+
+def with_known(lines: DataFrame, known_lines: DataFrame | None) -> DataFrame:
+    """Marks the lines ``(doc_id, line_idx)`` that name a known vendor."""
     if known_lines is None:
-        lines = lines.withColumn("known", F.lit(False))
-    else:
-        marks = known_lines.select("doc_id", "line_idx", F.lit(True).alias("known"))
-        lines = lines.join(marks, ["doc_id", "line_idx"], "left").na.fill(False, ["known"])
-    return with_candidates(with_label_values(with_table_region(lines)))
+        return lines.withColumn("known", F.lit(False))
+    marks = known_lines.select("doc_id", "line_idx", F.lit(True).alias("known"))
+    return lines.join(marks, ["doc_id", "line_idx"], "left").na.fill(False, ["known"])
 
 
-def vendor_lines(lines: DataFrame) -> DataFrame:
+def vendor_lines(candidates: DataFrame) -> DataFrame:
     """Candidate vendor names near the top of each document."""
-    return candidates_of(lines).where(F.col("c_vendor").isNotNull()).select(
+    return candidates.where(F.col("c_vendor").isNotNull()).select(
         "doc_id", "line_idx", F.col("c_vendor.name").alias("vendor_name"))
 
 
@@ -309,13 +320,22 @@ def _doubt(gap: Column) -> Column:
     return F.coalesce(gap < rules.AMBIGUITY_MARGIN, F.lit(False))
 
 
+DOCUMENT_FACTS = ("reference", "specific_first", "specific_count", "first_total_like", "one_total_key", "line_count", "n_subtotal", "n_tax",
+                  "n_discount", "items_sum", "pass_rate", "item_count", "described", *[f"d_{f}" for f in FOUND_LABELS], "header_row", "boundary",
+                  "bands")
+
+
 def document_fields(candidates: DataFrame) -> DataFrame:
     """One row per document with every chosen value, before confidences."""
-    best = {f"b_{f}": _in_doc(F.max(f"c_{f}")) for f in ("vendor", "date", "total")}
-    out = candidates.withColumns(best)
-    rest = {f"s_{f}": _in_doc(F.max(F.when(F.col(f"c_{f}.order") != F.col(f"b_{f}.order"), F.col(f"c_{f}.score"))))
-            for f in ("vendor", "date", "total")}
-    out = out.withColumns(rest).where(F.col("line_idx") == 0)
+    fields, document = ("vendor", "date", "total"), Window.partitionBy("doc_id")
+    # per page the best candidate and the two best scores; then over the pages
+    scores = lambda f: F.sort_array(F.collect_list(F.when(F.col(f"c_{f}").isNotNull(), F.col(f"c_{f}.score"))), asc=False)
+    pages = candidates.groupBy(*PAGE).agg(
+        F.min("line_idx").alias("first_line"), *[F.first(c).alias(c) for c in DOCUMENT_FACTS], *[F.max(f"c_{f}").alias(f"p_{f}") for f in fields],
+        *[F.get(scores(f), F.lit(1)).alias(f"r_{f}") for f in fields])
+    best = pages.withColumns({f"b_{f}": F.max(f"p_{f}").over(document) for f in fields})
+    rival = lambda f: F.when(F.col(f"p_{f}.order") == F.col(f"b_{f}.order"), F.col(f"r_{f}")).otherwise(F.col(f"p_{f}.score"))
+    out = best.withColumns({f"s_{f}": F.max(rival(f)).over(document) for f in fields}).where(F.col("first_line") == 0)
 
     def weak_total(base: float, position: Column, amount: Column, page: Column, box: Column, exists: Column) -> Column:
         fits = reconciles(amount, F.col("reference"))
@@ -372,7 +392,12 @@ def document_fields(candidates: DataFrame) -> DataFrame:
 def item_rows(words: DataFrame) -> DataFrame:
     """Line items. A row without numbers belongs to the nearest numbered row by
     height, found with two ordered windows, so no row meets every other row."""
-    body = (with_table_region(group_lines(words)).where(F.col("cells").isNotNull())
+    return items_of(with_table_region(group_lines(words)))
+
+
+def items_of(region: DataFrame) -> DataFrame:
+    """``item_rows`` of lines whose table region is known already."""
+    body = (region.where(F.col("cells").isNotNull())
             .select("doc_id", "line_idx", F.get("words", F.lit(0))["y0"].alias("y"), "cells", "bands"))
     numbered = body.withColumn("numeric", _has_numeric())
     down = Window.partitionBy("doc_id").orderBy("y", "line_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -453,13 +478,13 @@ def extract_with_known_vendors(documents: DataFrame, words: DataFrame, known: Da
     """Extraction that also uses each company's own vendor names: a line close to
     one scores higher, and the chosen name takes the known spelling. ``documents``
     carries ``company_id``; ``known`` is ``(company_id, vendor_name)``. The grouped
-    lines and the chosen fields are read several times, so both are checkpointed."""
-    lines = checkpointed(group_lines(words))
+    lines are stored once; the chosen fields are read several times and checkpointed."""
+    labelled = with_label_values(with_table_region(group_lines(words)))
     company = documents.select("doc_id", COMPANY)
-    named = vendor_lines(lines).join(company, "doc_id")
+    named = vendor_lines(with_candidates(with_known(labelled, None))).join(company, "doc_id")
     close = known_vendor_resolution(named, known).select(COMPANY, "vendor_name")
     known_lines = splittable_join(named, close, [COMPANY, "vendor_name"]).select("doc_id", "line_idx")
-    fields = checkpointed(document_fields(candidates_of(lines, known_lines)))
+    fields = checkpointed(document_fields(with_candidates(with_known(labelled, known_lines))))
     chosen = fields.where(F.col("vendor.value").isNotNull()).select(
         "doc_id", F.trim("vendor.value").alias("vendor_name")).join(company, "doc_id")
     spelled = known_vendor_resolution(chosen, known).select(COMPANY, "vendor_name", "matched_vendor")

@@ -166,10 +166,10 @@ def built_items(t):
 SELECT doc_id, 'purchase' AS type, CASE WHEN transactional THEN 'transactional' ELSE 'non_transactional' END AS transaction_status, vendor_name, concat('scan_', CAST(doc_id AS VARCHAR), '.pdf') AS filename, total, amount_mentioned,
   CASE WHEN NOT transactional THEN NULL WHEN vendor_name LIKE '%Hardware Store' THEN 'Office Repair & Maintenance' WHEN doc_id % 5 = 0 THEN 'Employee Care' WHEN doc_id % 5 = 1 THEN 'Vehicle Running & Maintenance' END AS category FROM ({FIELDS_SQL})""")
 def build_invoice(t):
-    words = page_words(t)
     pages = page_documents(t)
-    fields = layout.extract_fields(pages, words, AS_OF)
+    region = layout.with_table_region(layout.group_lines(page_words(t)))
+    fields = layout.assemble_documents(pages, layout.document_fields(layout.candidates_of(region)), AS_OF)
     files = pages.select("doc_id", F.concat(F.lit("scan_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
                          .alias("filename"))
-    return build_invoices(fields, layout.item_rows(words), files, "purchase").select(
+    return build_invoices(fields, layout.items_of(region), files, "purchase").select(
         "doc_id", "type", "transaction_status", "vendor_name", "filename", "total", "amount_mentioned", "category")

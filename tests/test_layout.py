@@ -24,7 +24,7 @@ TABLE = [
 
 
 def _fold(boxes: list[tuple], batch_rows: int) -> list[tuple]:
-    """Fold ``(doc, page, text, x0, y0, y1)`` boxes, cut into batches."""
+    """Fold ``(doc, page, text, x0, y0, y1)`` boxes, cut into batches, page by page."""
     rows = sorted((d, p, y0, x0, i, t, y1) for i, (d, p, t, x0, y0, y1) in enumerate(boxes))
     table = pa.table({
         "doc_id": [r[0] for r in rows], "page": pa.array([r[1] for r in rows], pa.int32()),
@@ -32,13 +32,9 @@ def _fold(boxes: list[tuple], batch_rows: int) -> list[tuple]:
         "x0": [float(r[3]) for r in rows], "y0": [float(r[2]) for r in rows],
         "x1": [float(r[3]) + 6 * len(r[5]) for r in rows], "y1": [float(r[6]) for r in rows],
         "confidence": [1.0] * len(rows), "font_size": pa.array([None] * len(rows), pa.float64())})
-    out = []
-    for batch in layout.fold_lines(iter(table.to_batches(max_chunksize=batch_rows))):
-        for row in batch.to_pylist():
-            text = lambda ws: None if ws is None else [w["text"] for w in ws]
-            out.append((row["doc_id"], row["line_idx"], row["page"], text(row["words"]), row["next_page"],
-                        text(row["next_words"])))
-    return out
+    text = lambda ws: None if ws is None else [w["text"] for w in ws]
+    return [(r["doc_id"], r["page"], r["row"], text(r["words"]), text(r["next_words"]))
+            for batch in layout.fold_lines(iter(table.to_batches(max_chunksize=batch_rows))) for r in batch.to_pylist()]
 
 
 BOXES = [
@@ -49,8 +45,16 @@ BOXES = [
 ]
 
 
-def test_fold_rows_and_neighbours():
-    assert _fold(BOXES, 1000) == [
+def _frame(spark, boxes: list[tuple]):
+    return spark.createDataFrame(
+        [(d, p, i, t, float(x0), float(y0), x0 + 6.0 * len(t), float(y1), 1.0) for i, (d, p, t, x0, y0, y1) in enumerate(boxes)],
+        "doc_id STRING, page INT, word_idx INT, text STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, confidence DOUBLE")
+
+
+def test_fold_rows_and_neighbours(spark):
+    text = lambda ws: None if ws is None else [w["text"] for w in ws]
+    lines = layout.group_lines(_frame(spark, BOXES)).orderBy("doc_id", "line_idx").collect()
+    assert [(r["doc_id"], r["line_idx"], r["page"], text(r["words"]), r["next_page"], text(r["next_words"])) for r in lines] == [
         ("a", 0, 0, ["ORDER DATE", "Dec 14, 2020"], 0, ["TAX", "$7.67"]),
         ("a", 1, 0, ["TAX", "$7.67"], 1, ["SKU: 24"]),
         ("a", 2, 1, ["SKU: 24"], 1, ["SUBTOTAL", "$93.00"]),
@@ -59,11 +63,41 @@ def test_fold_rows_and_neighbours():
         ("c", 0, 0, ["only"], None, None)]
 
 
+def test_fold_stays_inside_pages():
+    assert [r[:3] for r in _fold(BOXES, 1000)] == [("a", 0, 0), ("a", 0, 1), ("a", 1, 0), ("a", 1, 1), ("b", 0, 0), ("c", 0, 0)]
+    assert _fold(BOXES, 1000)[1][4] is None
+
+
 @pytest.mark.parametrize("batch_rows", [1, 2, 3, 5])
 def test_fold_does_not_depend_on_batches(batch_rows):
     assert _fold(BOXES, batch_rows) == _fold(BOXES, 1000)
 
 
+def test_a_document_of_a_million_words_is_spread_over_tasks(spark):
+    """1,000 pages of 50 lines of 20 words: no task gets more than a few hundredths of them."""
+    words_ = spark.range(1_000_000).select(
+        F.lit("long").alias("doc_id"), (F.col("id") / 1000).cast("int").alias("page"), (F.col("id") % 1000).cast("int").alias("word_idx"),
+        F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), ((F.col("id") % 20) * 45.0).alias("x0"),
+        (F.floor(F.col("id") % 1000 / 20) * 20.0).alias("y0"), ((F.col("id") % 20) * 45.0 + 40).alias("x1"),
+        (F.floor(F.col("id") % 1000 / 20) * 20.0 + 12).alias("y1"), F.lit(0.9).alias("confidence"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = layout.group_lines(words_)
+        per_file = [r["n"] for r in lines.sparkSession.read.parquet(*sorted({f.rpartition("/")[0] for f in lines.inputFiles() if "/lines-" in f}))
+                    .groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert sum(per_file) == 50_000 and max(per_file) < 0.05 * 50_000
+        region = layout.with_table_region(lines)
+        tasks = region.select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+        assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 0.3 * 50_000  # small files share a task
+        numbered = lines.agg(F.min("line_idx"), F.max("line_idx"), F.count_distinct("line_idx"), F.count("next_words")).first()
+        assert tuple(numbered) == (0, 49_999, 50_000, 49_999)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_table_region_and_items(spark):
     pages = {"t": TABLE}
     region = by_doc(layout.with_table_region(layout.group_lines(words(spark, pages))).where("line_idx = 0"))["t"]
@@ -212,8 +246,19 @@ def test_known_vendors_rename_and_lose_the_method_tier(spark):
     assert (got["s"]["vendor_name"], got["s"]["vendor_method"]) == ("Unheard Of", "positional_fallback")
 
 
-def test_extraction_plan_shuffles_words_and_lines_once(spark, capsys):
-    layout.extract_fields(documents(spark, {"t": TABLE}), words(spark, {"t": TABLE}), AS_OF).explain()
+def test_extraction_folds_once_and_joins_narrow_rows(spark, capsys):
+    region = layout.with_table_region(layout.group_lines(words(spark, {"t": TABLE})))
+    fields = layout.assemble_documents(documents(spark, {"t": TABLE}), layout.document_fields(layout.candidates_of(region)), AS_OF)
+    fields.join(layout.items_of(region), "doc_id").explain()
     plan = capsys.readouterr().out
-    assert plan.count("Exchange hashpartitioning") <= 3 and "CartesianProduct" not in plan
-    assert plan.count("MapInArrow") == 1
+    assert "MapInArrow" not in plan and "CartesianProduct" not in plan  # lines are read from their table
+
+
+def test_fields_spread_over_pages(spark):
+    """Facts and rival candidates of later pages reach the document's row."""
+    pages = {"m": [(20, 50, "Acme Corp"), (50, 50, "Invoice Date: 15/08/2026"), (90, 50, "Total: 3.00")]}
+    first = words(spark, pages)
+    second = first.withColumn("page", F.lit(1)).withColumn("text", F.when(F.col("text") == "3.00", "4.00").otherwise(F.col("text")))
+    row = by_doc(layout.document_fields(layout.line_candidates(first.unionByName(second))))["m"]
+    assert (row["line_count"], row["total"]["value"], row["total"]["doubtful"]) == (6, 3.0, True)
+    assert row["vendor"]["value"] == "Acme Corp" and row["date"]["value"] == date(2026, 8, 15)
