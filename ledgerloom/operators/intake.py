@@ -86,10 +86,13 @@ def incremental_window(files: DataFrame, conversations: DataFrame, now, window_d
 
 
 def fail_stuck_jobs(jobs: DataFrame, now, hours: int = STUCK_HOURS) -> DataFrame:
-    cutoff = F.lit(str(now)).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
-    stuck = F.col("status").isin("queued", "running") & (F.col("started_at") < cutoff)
     """Jobs without progress end as failed: the message is added to their ``errors`` and
     ``completed_at`` is set; other jobs stay as they are."""
+    cutoff = F.lit(str(now)).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
+    return fail_jobs(jobs, F.col("status").isin("queued", "running") & (F.col("started_at") < cutoff), now, hours)
+
+
+def fail_jobs(jobs: DataFrame, stuck: Column, now, hours: int = STUCK_HOURS) -> DataFrame:
     message = F.lit(f"No progress for over {hours}h")
     known = F.coalesce("errors", F.array().cast("array<string>"))
     return jobs.withColumns({

@@ -8,8 +8,9 @@ from ledgerloom.functions.classify import review_decision, file_category
 from ledgerloom.operators import intake, joins
 from ledgerloom.plans.catalog import query, seconds
 from ledgerloom.plans.text_queries import FILTER_SQL, file_category_sql
-from ledgerloom.sources import documents
+from ledgerloom.sources import documents, keyed
 from ledgerloom.sources.fixtures import FEED_NOW
+from ledgerloom.streaming import jobs
 
 _CONF = "CAST(json_extract_string(j, '$.{0}.confidence') AS DOUBLE)"
 _HAS = "json_extract_string(j, '$.{0}.value') IS NOT NULL"
@@ -94,26 +95,34 @@ def intake_batch(t):
         "message_id", "filename", "category", "category_confidence", "review_status", "review_reason")
 
 
-@query("K02_dedupe_in_run", f"""
-SELECT account_id, message_id, attachment_index, filename, {seconds('received_at')} AS received_at FROM v_attachment""")
-def dedupe_in_run(t):
-    """The same messages delivered twice in a run count once."""
-    twice = t.v_attachment.unionByName(t.v_attachment)
-    return twice.dropDuplicates(intake.ATTACHMENT_KEYS).select(*intake.ATTACHMENT_KEYS, "filename", "received_at")
-
-
-@query("K03_upsert_respecting_overrides", f"""
+UPSERT_SQL = f"""
 SELECT account_id, message_id, attachment_index, CASE WHEN n.message_id IS NULL THEN o.filename ELSE n.filename END AS filename, CASE WHEN n.message_id IS NULL THEN o.size ELSE n.size END AS size,
   CASE WHEN n.message_id IS NULL THEN o.provider_attachment_id ELSE n.provider_attachment_id END AS provider_attachment_id,
   CASE WHEN n.message_id IS NULL OR o.category_source = 'manual_override' THEN o.category ELSE n.category END AS category, CASE WHEN n.message_id IS NULL OR o.category_source = 'manual_override' THEN o.category_source ELSE n.category_source END AS category_source,
   CASE WHEN o.message_id IS NULL THEN n.review_status ELSE o.review_status END AS review_status
-FROM v_stored_attachment o FULL OUTER JOIN ({DECIDED_SQL}) n USING (account_id, message_id, attachment_index)""")
+FROM v_stored_attachment o FULL OUTER JOIN ({DECIDED_SQL}) n USING (account_id, message_id, attachment_index)"""
+
+
+@query("K03_upsert_respecting_overrides", UPSERT_SQL)
 def upsert_respecting_overrides(t):
     return intake.upsert_respecting_overrides(t.v_stored_attachment, intake.decide(t.v_attachment, t.v_sender_rule)) \
         .select("account_id", "message_id", "attachment_index", "filename", "size", "provider_attachment_id",
                 "category", "category_source", "review_status")
 
 
+@query("K03_merge_touched_buckets", UPSERT_SQL)
+def merge_touched_buckets(t):
+    """The same upsert into a stored table, in two batches and the first once more."""
+    path = f"{jobs.scratch(t.spark, 'attachments')}/table"
+    keyed.write_keyed(t.v_stored_attachment, path, intake.ATTACHMENT_KEYS)
+    decided = intake.decide(t.v_attachment, t.v_sender_rule)
+    odd = F.col("message_id") % 2 == 1
+    for batch in (decided.where(odd), decided.where(~odd), decided.where(odd)):
+        keyed.merge_keyed(t.spark, path, batch, intake.ATTACHMENT_KEYS, intake.upsert_respecting_overrides)
+    return t.spark.read.parquet(path).select("account_id", "message_id", "attachment_index", "filename", "size", "provider_attachment_id",
+                                             "category", "category_source", "review_status")
+
+
 @query("K04_incremental_window", f"""
 SELECT f.file_id, f.conversation_id, {seconds('f.created_at')} AS created_at FROM v_chat_file f JOIN v_conversation c USING (conversation_id)
 WHERE f.created_at > greatest(TIMESTAMP '{FEED_NOW}' - INTERVAL 14 DAY, COALESCE(c.last_seen, TIMESTAMP '1970-01-01 00:00:00'))""")
@@ -128,9 +137,12 @@ _STUCK = f"status IN ('queued', 'running') AND started_at < TIMESTAMP '{FEED_NOW
 _ENDED = f"CASE WHEN {_STUCK} THEN TIMESTAMP '{FEED_NOW}' ELSE completed_at END"
 
 
-@query("K06_stuck_jobs", f"""
+STUCK_SQL = f"""
 SELECT job_id, CASE WHEN {_STUCK} THEN 'failed' ELSE status END AS status,
-  concat_ws('|', array_to_string(errors, '|'), CASE WHEN {_STUCK} THEN 'No progress for over 1h' END) AS errors, {seconds(_ENDED)} AS completed_at FROM v_job""")
+  concat_ws('|', array_to_string(errors, '|'), CASE WHEN {_STUCK} THEN 'No progress for over 1h' END) AS errors, {seconds(_ENDED)} AS completed_at FROM v_job"""
+
+
+@query("K06_stuck_jobs", STUCK_SQL)
 def stuck_jobs(t):
     return intake.fail_stuck_jobs(t.v_job, FEED_NOW).select("job_id", "status", "errors", "completed_at")
 

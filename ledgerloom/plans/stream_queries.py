@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import evaluation, trends
+from ledgerloom.operators import evaluation, intake
 from ledgerloom.plans import reports
-from ledgerloom.plans.catalog import BUCKET, SCANNED, cents, query
+from ledgerloom.plans.catalog import BUCKET, SCANNED, cents, query, seconds
 from ledgerloom.plans.change_queries import COMPARED_SQL
 from ledgerloom.plans.catalog import ORACLES
-from ledgerloom.plans.feed_queries import DECIDED_SQL
+from ledgerloom.plans.feed_queries import DECIDED_SQL, STUCK_SQL
 from ledgerloom.plans.ledger_queries import END, START
 from ledgerloom.sources import documents, sinks
-from ledgerloom.sources.fixtures import VIEWS
+from ledgerloom.sources.fixtures import FEED_NOW, VIEWS
 from ledgerloom.streaming import jobs
 
 assert ORACLES and VIEWS  # the catalogue modules above are loaded first
@@ -75,6 +75,75 @@ def monthly_revenue_stream(t):
     return jobs.monthly_revenue(jobs.read_log(t.spark, f"{base}/log", jobs.REVENUE_LOG))
 
 
+@query("K07_day_revenue", f"SELECT company_id, {cents('total')} AS total, COUNT(*) AS count FROM v_sales WHERE {SCANNED} AND {BUCKET} = DATE '{END}' GROUP BY company_id")
+def day_revenue(t):
+    """One day, after the log of a first run was compacted and late documents came in a second."""
+    base = jobs.scratch(t.spark, "day-revenue")
+    for step, part in (("first", F.col("invoice_id") % 3 > 0), ("late", F.col("invoice_id") % 3 == 0)):
+        t.v_sales.where(part).repartition(2).write.parquet(f"{base}/in/{step}")
+        stream = t.spark.readStream.schema(t.v_sales.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/{step}")
+        jobs.revenue_stream(stream, f"{base}/{step}", f"{base}/ckpt-{step}").awaitTermination()
+    jobs.compact_revenue(t.spark, f"{base}/first", f"{base}/log")
+    late = jobs.read_log(t.spark, f"{base}/late", jobs.REVENUE_LOG)
+    return jobs.revenue_of_day(jobs.read_log(t.spark, f"{base}/log", jobs.REVENUE_LOG).unionByName(late), END)
+
+
+@query("K02_dedupe_in_run", f"""
+SELECT account_id, message_id, attachment_index, filename, {seconds('received_at')} AS received_at FROM v_attachment""")
+def dedupe_in_run(t):
+    """A feed that delivers every message again in later files, read as one stream."""
+    base = jobs.scratch(t.spark, "redelivery")
+    _write_feed(t, f"{base}/in/first", 3)
+    _write_feed(t, f"{base}/in/second", 2)
+    feed = jobs.read_feed(t.spark, f"{base}/in/*", files_per_batch=2)
+    rows = documents.feed_attachments(jobs.once_per_message(feed, "90 days"))
+    rows.writeStream.format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("account_id", "message_id", "attachment_index", "filename", "received_at")
+
+
+@query("K05_expired_cursor", f"""
+SELECT account_id, message_id, filename, {seconds('received_at')} AS received_at FROM v_attachment
+WHERE received_at > CASE WHEN account_id % 3 = 0 THEN TIMESTAMP '{FEED_NOW}' - INTERVAL 20 DAY ELSE TIMESTAMP '2024-01-15 00:00:00' + account_id * INTERVAL 1 HOUR END""")
+def expired_cursor(t):
+    """Mailboxes resume at their cursors, expired ones a bounded time back; a second run
+    over the same messages finds nothing new."""
+    base = jobs.scratch(t.spark, "cursors")
+    account = F.col("account_id")
+    start = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=account.cast("int"))
+    cursors = t.v_attachment.select("account_id").distinct().select(account, start.alias("cursor"), (account % 3 != 0).alias("valid"))
+    messages = t.v_attachment.withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
+    for run in (1, 2):
+        cursors = jobs.sync_mailboxes(messages, cursors, f"{base}/log", f"{base}/cursors", run, FEED_NOW, days=20)
+    return t.spark.read.parquet(f"{base}/log").select("account_id", "message_id", "filename", "received_at")
+
+
+@query("K06_stuck_jobs_stream", STUCK_SQL)
+def stuck_jobs_stream(t):
+    """Job events as a stream in order of time, then a clock tick; a timer per open job."""
+    base = jobs.scratch(t.spark, "jobs")
+    stamp = lambda c: F.col(c).cast("timestamp")
+    begun = t.v_job.select("job_id", F.when(F.col("completed_at").isNull(), F.col("status")).otherwise("running").alias("status"),
+                           stamp("started_at").alias("started_at"), stamp("started_at").alias("at"))
+    ended = t.v_job.where("completed_at IS NOT NULL").select("job_id", "status", stamp("started_at").alias("started_at"),
+                                                             stamp("completed_at").alias("at"))
+    now = F.lit(FEED_NOW).cast("timestamp")
+    events = begun.unionByName(ended).where(F.col("at") <= now)  # what has happened by now
+    tick = t.spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.lit("tick").alias("status"), now.alias("started_at"),
+                                   (now + F.expr("INTERVAL 10 MINUTES")).alias("at"))
+    edges = ["1970-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "9999-01-01"]
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        events.where((F.col("at") >= a) & (F.col("at") < b)).coalesce(1).write.parquet(f"{base}/in/{i}")
+    for i in (8, 9):
+        tick.coalesce(1).write.parquet(f"{base}/in/{i}")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    jobs.stuck_jobs(stream).writeStream.format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    failed = t.spark.read.parquet(f"{base}/out").select("job_id", F.lit(True).alias("timed_out")).distinct()
+    marked = t.v_job.join(failed, "job_id", "left")
+    return intake.fail_jobs(marked, F.coalesce("timed_out", F.lit(False)), FEED_NOW).select("job_id", "status", "errors", "completed_at")
+
+
 @query("K08_thread_attachments", """
 SELECT conversation_id, message_ts, thread_ts, shared_by, CAST(0 AS INT) AS file_index, filename, size FROM (
   SELECT conversation_id, message_ts, NULL AS thread_ts, concat('u', CAST(installation_id AS VARCHAR)) AS shared_by, filename, size FROM v_chat_file

@@ -9,15 +9,18 @@ checkpoint is the cursor: it moves only after a batch has been written.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.predicates import bucket_date, is_scanned_sale
 from ledgerloom.operators.changes import latest
-from ledgerloom.operators.intake import ATTACHMENT_KEYS, MANUAL, decide
+from ledgerloom.operators.intake import ATTACHMENT_KEYS, MAIL_WINDOW_DAYS, MANUAL, STUCK_HOURS, backfill_start, decide
+from ledgerloom.operators.skew import splittable_join
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import schemas
 from ledgerloom.sources.documents import feed_attachments
@@ -47,6 +50,70 @@ def once_per_message(feed: DataFrame, delay: str = "30 days") -> DataFrame:
             .dropDuplicatesWithinWatermark(["account_id", "message_id"]))
 
 
+JOB_STATE = "seen_ms BIGINT, deadline_ms BIGINT"
+OPEN = ("queued", "running")
+
+
+def stuck_jobs(events: DataFrame, hours: int = STUCK_HOURS, delay: str = "10 minutes") -> DataFrame:
+    """``(job_id, failed_at)`` of jobs that are still queued or running when event time has
+    passed their start by more than ``hours``. ``events``: job_id, status, started_at, at (the
+    event's time). A job holds one timer; its newest event sets or stops it, and what is
+    kept of an ended job goes after the same time, so state is bounded by the jobs of the
+    last hours, not by all jobs ever."""
+    span = hours * 3_600_000
+    millis = lambda stamp: stamp.value // 1_000_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        failed: list[int] = []
+        if state.hasTimedOut:
+            _, deadline = state.get
+            state.remove()
+            failed = [deadline] if deadline >= 0 else []
+        else:
+            seen, deadline = state.get if state.exists else (-1, -1)
+            for batch in batches:
+                for status, started, at in zip(batch["status"], batch["started_at"], batch["at"], strict=True):
+                    if (millis(at), status not in OPEN) >= (seen, deadline < 0 <= seen):
+                        seen, deadline = millis(at), millis(started) + span if status in OPEN else -1
+            now = state.getCurrentWatermarkMs()
+            if 0 <= deadline < now:
+                failed = [deadline]
+                state.remove() if state.exists else None
+            else:
+                state.update((seen, deadline))
+                state.setTimeoutTimestamp(max(deadline if deadline >= 0 else seen + span, now + 1))
+        yield pd.DataFrame({"job_id": [key[0]] * len(failed), "failed_at": pd.to_datetime(failed, unit="ms")})
+
+    return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(
+        step, "job_id BIGINT, failed_at TIMESTAMP", JOB_STATE, "append", "EventTimeTimeout")
+
+
+def sync_mailboxes(messages: DataFrame, cursors: DataFrame, log: str, cursor_log: str, run: int, now,
+                   days: int = MAIL_WINDOW_DAYS) -> DataFrame:
+    """One run over all mailboxes: what is newer than each one's committed cursor, or, where
+    there is none or it has expired, than a bounded time back. The rows are written
+    before the cursors, which move to the newest row written and nowhere if that fails;
+    a rerun of the same ``run`` overwrites both. Returns the cursors now committed.
+
+    ``messages``: account_id, received_at, ...; ``cursors``: account_id, cursor, valid."""
+    spark = messages.sparkSession
+    begin = backfill_start(F.col("cursor"), F.col("valid"), F.lit(str(now)).cast("timestamp_ntz"), days)
+    fresh = splittable_join(messages, cursors.select("account_id", begin.alias("begin")), ["account_id"]).where(
+        F.col("received_at") > F.col("begin")).drop("begin")
+    append_batch(fresh, run, log)
+    written = spark.read.parquet(f"{log}/batch={run}")
+    moved = written.groupBy("account_id").agg(F.max("received_at").alias("cursor"), F.lit(True).alias("valid"))
+    append_batch(moved, run, cursor_log)
+    return committed_cursors(spark, cursor_log, cursors)
+
+
+def committed_cursors(spark: SparkSession, cursor_log: str, initial: DataFrame) -> DataFrame:
+    """The newest committed cursor of every mailbox, else the one it started with."""
+    newest = spark.read.parquet(cursor_log).groupBy("account_id").agg(F.max("cursor").alias("committed"))
+    return initial.join(newest, "account_id", "left").select(
+        "account_id", F.coalesce("committed", "cursor").alias("cursor"), (F.col("committed").isNotNull() | F.col("valid")).alias("valid"))
+
+
 def append_batch(batch: DataFrame, batch_id: int, log: str) -> None:
     batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
@@ -96,21 +163,34 @@ def compact(spark: SparkSession, log: str, into: str) -> None:
 
 
 def revenue_stream(invoices: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    """Scanned-sales revenue kept current per company and day. State is one row
-    per company and day, so no watermark is needed to bound it and a document
-    that arrives years late still counts; today's revenue reads one day."""
+    """Scanned-sales revenue kept current per company and day. A batch writes what it
+    adds to each day, and the fold adds up the batches: the stream keeps no state that
+    could grow, and a document that arrives years late still counts."""
     cents = F.coalesce(F.round(F.col("total") * 100).cast("bigint"), F.lit(0))
-    daily = (invoices.where(is_scanned_sale()).withColumn("bucket_day", bucket_date())
-             .groupBy("company_id", "bucket_day").agg(F.sum(cents).alias("cents"), F.count("*").alias("documents")))
-    return (daily.writeStream.outputMode("update")
-            .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, log))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch.groupBy("company_id", "bucket_day").agg(
+            F.sum(cents).alias("cents"), F.count("*").alias("documents")), batch_id, log)
+
+    scanned = invoices.where(is_scanned_sale()).withColumn("bucket_day", bucket_date())
+    return (scanned.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def daily_revenue(log: DataFrame) -> DataFrame:
-    last = F.max(F.struct("batch", "cents", "documents")).alias("x")
-    return log.groupBy("company_id", "bucket_day").agg(last).select("company_id", "bucket_day", "x.cents",
-                                                                   "x.documents")
+    return log.groupBy("company_id", "bucket_day").agg(F.sum("cents").alias("cents"), F.sum("documents").alias("documents"))
+
+
+def revenue_of_day(log: DataFrame, day: str) -> DataFrame:
+    """Each company's revenue of one day, today's for instance: other days are filtered
+    where the log is read."""
+    return daily_revenue(log.where(F.col("bucket_day") == F.lit(day).cast("date"))).select(
+        "company_id", (F.col("cents") / F.lit(100.0)).alias("total"), F.col("documents").alias("count"))
+
+
+def compact_revenue(spark: SparkSession, log: str, into: str) -> None:
+    """Rewrite a grown revenue log as one batch 0 in a new folder."""
+    append_batch(daily_revenue(read_log(spark, log, REVENUE_LOG)), 0, into)
 
 
 def monthly_revenue(log: DataFrame) -> DataFrame:
