@@ -23,6 +23,8 @@ from ledgerloom.llm import shared
 from ledgerloom.llm.kernels import LOWER, Texts, mix, pieces, range_hashes, signed, windows, words
 
 SHARDS, ROUNDS, SLACK = 8, 24, 1.03
+#: a half that moves a smaller share of the linked weight gains nothing more
+LEAST_GAIN = 0.002
 #: words of a window, and how many least hashes of a text link it to others
 LINK_WORDS, LINKS = 5, 2
 #: groups of equal texts placed one by one on the driver; any other group has fewer copies
@@ -130,11 +132,13 @@ def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     ``slack`` times even.
 
     ``links``: (unit, link); units of one link are neighbours. Units move in alternate
-    halves, so two neighbours never swap places; the rounds end when neither half gains."""
+    halves, so two neighbours never swap places; the rounds end when neither half moves more
+    than LEAST_GAIN of the linked weight."""
     sizes = {r["shard"]: r["n"] for r in units.groupBy("shard").agg(F.sum("weight").alias("n")).collect()}
     limit = slack * sum(sizes.values()) / shards
     state = units.join(links.select("unit").distinct(), "unit", "left_semi").withColumn("start", F.col("shard"))
     state = shared.stored(state, "units")
+    weight = state.agg(F.sum("weight")).first()[0] or 0
     idle = turn = 0
     while idle < 2 and turn < rounds:
         seen = links.join(state, "unit")
@@ -154,19 +158,21 @@ def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         into = {j: sum(n for (_, k), n in wanted.items() if k == j) for _, j in wanted}
         share = {(i, j): min(1.0, (min(n, wanted.get((j, i), 0)) + max(limit - sizes.get(j, 0), 0) * n / into[j]) / n)
                  for (i, j), n in wanted.items()}
+        gained = 0
         if any(share.values()):
             grant = F.create_map(*[x for (i, j), part in share.items() for x in (F.lit(i * shards + j), F.lit(part))])
             lot = F.pmod(F.xxhash64(F.lit(1000 + turn), "unit"), F.lit(1 << 20)) / float(1 << 20)
             fits = F.col("weight") <= limit - sum(sizes.values()) / shards  # heavier ones would overrun a shard at once
             moves = asks.where((lot < grant[F.col("shard") * shards + F.col("to")]) & fits)
-            moves = shared.stored(moves.select("unit", F.col("to").alias("new"), "weight", F.col("shard").alias("old")), "moves")
-            flow = moves.groupBy("old", "new").agg(F.sum("weight").alias("n")).collect()
-            for r in flow:
-                sizes[r["old"]] -= r["n"]
-                sizes[r["new"]] = sizes.get(r["new"], 0) + r["n"]
-            state = shared.stored(state.join(moves.select("unit", "new"), "unit", "left").select(
-                "unit", "weight", F.coalesce("new", "shard").cast("int").alias("shard"), "start"), "units")
-        idle = 0 if any(share.values()) and flow else idle + 1
+            flow = {(r["shard"], r["to"]): r["n"] for r in moves.groupBy("shard", "to").agg(F.sum("weight").alias("n")).collect()}
+            for (i, j), n in flow.items():
+                sizes[i] -= n
+                sizes[j] = sizes.get(j, 0) + n
+            if flow:
+                state = shared.stored(state.join(moves.select("unit", F.col("to").alias("new")), "unit", "left").select(
+                    "unit", "weight", F.coalesce("new", "shard").cast("int").alias("shard"), "start"), "units")
+            gained = sum(flow.values())
+        idle = idle + 1 if gained <= LEAST_GAIN * weight else 0
         turn += 1
     return state.where("shard <> start").select("unit", "shard")
 
