@@ -170,10 +170,14 @@ def create_vendors(wanted: DataFrame, vendors: DataFrame) -> DataFrame:
 
 
 def create_and_link(invoices: DataFrame, wanted: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Create vendors from raw names and link every purchase carrying the name."""
-    created = create_vendors(wanted, vendors)
+    """Create vendors and link every purchase carrying the name they were created from.
+    ``wanted``: company, name, vendor_id and, where a vendor gets a name of its own, the
+    ``raw_name`` printed on the purchases; several raw names may become one vendor. Of a
+    raw name that is wanted under several names the vendor of smallest id gets it."""
+    created = create_vendors(wanted, vendors).withColumnRenamed("vendor_id", "nv")
     rows = invoices.where(F.col("vendor_id").isNull())
-    named = created.select(COMPANY, F.col("name").alias("vendor_name"), F.col("vendor_id").alias("nv"))
+    raw = wanted.select(COMPANY, "name", (F.coalesce("raw_name", "name") if "raw_name" in wanted.columns else F.col("name")).alias("vendor_name"))
+    named = raw.distinct().join(created, [COMPANY, "name"]).groupBy(COMPANY, "vendor_name").agg(F.min("nv").alias("nv"))
     links = splittable_join(rows, named, [COMPANY, "vendor_name"]).select(COMPANY, "invoice_id",
                                                                           F.col("nv").alias("vendor_id"))
     return bulk_link_vendor(invoices, links)

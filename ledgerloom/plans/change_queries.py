@@ -142,6 +142,20 @@ def create_and_link(t):
     return changes.create_and_link(t.v_purchase, wanted, t.v_vendor).select("invoice_id", "vendor_id")
 
 
+@query("M07_vendor_under_its_own_name", """
+SELECT p.invoice_id, COALESCE(p.vendor_id, n.vendor_id) AS vendor_id FROM v_purchase p LEFT JOIN (
+  SELECT company_id, vendor_name, min(concat('new-', vendor_name)) OVER (PARTITION BY company_id, replace(upper(vendor_name), '#', 'NO ')) AS vendor_id
+  FROM (SELECT DISTINCT company_id, vendor_name FROM v_purchase WHERE vendor_id IS NULL AND vendor_name <> '') w
+  WHERE NOT EXISTS (SELECT 1 FROM v_vendor v WHERE v.company_id = w.company_id AND v.name = replace(upper(w.vendor_name), '#', 'NO '))) n
+  ON n.company_id = p.company_id AND n.vendor_name = p.vendor_name AND p.vendor_id IS NULL""")
+def vendor_under_its_own_name(t):
+    """Vendors get a corrected name; purchases are found by the printed one."""
+    own = F.replace(F.upper("vendor_name"), F.lit("#"), F.lit("NO "))
+    wanted = t.v_purchase.where(F.col("vendor_id").isNull() & (F.col("vendor_name") != "")).select(
+        "company_id", own.alias("name"), F.col("vendor_name").alias("raw_name"), F.concat(F.lit("new-"), "vendor_name").alias("vendor_id"))
+    return changes.create_and_link(t.v_purchase, wanted, t.v_vendor).select("invoice_id", "vendor_id")
+
+
 @query("M08_ignore_names", """
 SELECT company_id, vendor_name FROM (SELECT company_id, vendor_name FROM v_ignored UNION SELECT company_id, name FROM v_vendor WHERE rating IS NULL)
 EXCEPT SELECT company_id, name FROM v_vendor WHERE rating IS NULL AND status = 'inactive'""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from ledgerloom.operators import aggregates as agg
 from ledgerloom.operators import joins, lists, trends
 from ledgerloom.plans import reports
 from ledgerloom.plans.catalog import BUCKET, CASHBOOK, SCANNED, cents, count_if, label, query, seconds
+from ledgerloom.session import shared_folder
 from ledgerloom.sources.fixtures import AS_OF
+from ledgerloom.sources.tables import as_entity, read_entity, write_entity
 
 START, END = "2001-07-01", "2001-07-31"
 PERIOD = f"BETWEEN DATE '{START}' AND DATE '{END}'"
@@ -42,6 +45,47 @@ def ledger_tables(t):
             .union(totals(t.v_vendor, "vendor", F.max(F.lit(0.0)), nothing)))
 
 
+#: company-owned entities and the views that fill them
+STORED = {"invoice": "v_purchase", "expense": "v_expense", "vendor": "v_vendor", "ignored_vendor_name": "v_ignored", "employee": "v_employee",
+          "payroll_record": "v_payroll", "purchase_request": "v_request", "purchase_order": "v_order", "vendor_quote": "v_quote",
+          "tax_settings": "v_tax_settings"}
+_MONEY = {"invoice": "total", "expense": "amount", "employee": "salary", "payroll_record": "net_salary", "purchase_request": "amount",
+          "purchase_order": "amount", "vendor_quote": "price", "tax_settings": "default_gst_rate"}
+
+
+def entity_store(t) -> str:
+    """The company-owned entities written as tables partitioned by company."""
+    root = f"{shared_folder(t.spark)}/entities-{uuid4().hex}"
+    for entity, view in STORED.items():
+        write_entity(as_entity(getattr(t, view), entity), root, entity)
+    return root
+
+
+def _entity_rows(t, root: str, company_id: str | None = None):
+    parts = [read_entity(t.spark, root, entity, company_id).groupBy("company_id").agg(
+        F.lit(entity).alias("entity"), F.count("*").alias("row_count"),
+        (money_sum(_MONEY[entity]) if entity in _MONEY else F.max(F.lit(0.0))).alias("amount")) for entity in STORED]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _entity_sql(where: str = "") -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST(company_id AS VARCHAR) AS company_id, '{e}' AS entity, COUNT(*) AS row_count, {cents(_MONEY[e]) if e in _MONEY else '0.0'} AS amount "
+        f"FROM {v} {where} GROUP BY company_id" for e, v in STORED.items())
+
+
+@query("S01_entity_store", _entity_sql())
+def entity_tables(t):
+    """Every company-owned entity, written by company and read back with its declared schema."""
+    return _entity_rows(t, entity_store(t))
+
+
+@query("S02_one_company", _entity_sql("WHERE company_id = 3"))
+def one_company(t):
+    """One company's rows of every entity; the filter prunes to its folder."""
+    return _entity_rows(t, entity_store(t), "3")
+
+
 @query("S02_tenant_scope", f"""
 SELECT company_id, COUNT(*) AS invoices, COUNT(DISTINCT vendor_id) AS vendors, {cents('total')} AS total FROM v_purchase GROUP BY company_id""")
 def tenant_scope(t):

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.sources import schemas
 from ledgerloom.sources.fixtures import VIEWS
@@ -72,6 +73,12 @@ def read_entity(spark: SparkSession, root: str, entity: str, company_id: str | N
     return df if company_id is None else for_company(df, company_id)
 
 
+def as_entity(df: DataFrame, entity: str) -> DataFrame:
+    """Rows with the entity's declared columns; those ``df`` lacks are null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in T._parse_datatype_string(schemas.ENTITIES[entity]).fields])
+
+
 def write_entity(df: DataFrame, root: str, entity: str, mode: str = "append") -> None:
     """Rows of the same company may be a third of the table, so files are split
     by size (AQE's rebalance) and not gathered into one task per company."""
