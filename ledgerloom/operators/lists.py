@@ -1,6 +1,7 @@
 """Filtered, ordered listings. Filters are plain predicates, so they reach the
 scan; a page is ``offset``/``limit`` on an ordered listing. Deep offsets cost a
-sort of everything before them: prefer a filter on the ordering column."""
+sort of everything before them: ``page_after`` goes on from a row, and ``page_by_index``
+finds any page through counts per unit of time."""
 
 from __future__ import annotations
 
@@ -46,6 +47,45 @@ def page(listing: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     return listing.offset(offset).limit(limit)
 
 
+def page_index(rows: DataFrame, unit: str = "day", at: str = "created_at") -> DataFrame:
+    """``(bucket, n, before)``: rows per unit of time, newest first and rows without a time
+    last, with the rows before each. A narrow table, kept for as long as the listing is."""
+    counted = rows.groupBy(F.date_trunc(unit, F.col(at)).cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # one row per unit
+    return counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def rows_of_page(rows: DataFrame, index: DataFrame, offset: int, limit: int, unit: str = "day", at: str = "created_at") -> tuple[DataFrame, int]:
+    """The rows of the units that a page lies in, and how many of them come before it. The
+    bounds are literals, so the scan reads no other unit's row groups."""
+    span = index.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).agg(
+        F.min("bucket").cast("string").alias("low"), (F.max("bucket") + F.expr(f"INTERVAL 1 {unit}")).cast("string").alias("high"),
+        F.max(F.col("bucket").isNull()).alias("untimed"), F.min("before").alias("before")).first()
+    if span["before"] is None:
+        return rows.limit(0), 0
+    stamp = lambda v: F.lit(v).cast("timestamp_ntz")
+    wanted = F.lit(False) if span["low"] is None else (F.col(at) >= stamp(span["low"])) & (F.col(at) < stamp(span["high"]))
+    return rows.where(wanted | F.col(at).isNull() if span["untimed"] else wanted), offset - span["before"]
+
+
+def page_by_index(rows: DataFrame, index: DataFrame, key: str, offset: int, limit: int, unit: str = "day", at: str = "created_at") -> DataFrame:
+    """Any page of the listing by (``at`` descending, ``key``): page 10,000 sorts and reads
+    the units of time it lies in, as page 1 does, not all rows before it."""
+    part, skip = rows_of_page(rows, index, offset, limit, unit, at)
+    return part.orderBy(F.desc(at), key).offset(skip).limit(limit)
+
+
+def page_after(rows: DataFrame, key: str, last_at, last_key, limit: int, at: str = "created_at") -> DataFrame:
+    """The page that follows the row (``last_at``, ``last_key``): rows before it are filtered
+    at the scan, and each task keeps ``limit`` rows."""
+    if last_at is None:
+        later = F.col(at).isNull() & (F.col(key) > F.lit(last_key))
+    else:
+        moment = F.lit(str(last_at)).cast("timestamp_ntz")
+        later = (F.col(at) < moment) | ((F.col(at) == moment) & (F.col(key) > F.lit(last_key))) | F.col(at).isNull()
+    return rows.where(later).orderBy(F.desc(at), key).limit(limit)
+
+
 def expense_list(expenses: DataFrame, category=None, status=None, start=None, end=None, vendor=None) -> DataFrame:
     df = _equals(expenses, category=category, status=status).where(date_between("expense_date", start, end))
     if vendor:

@@ -93,6 +93,18 @@ def total_positional(t):
     return lines.where(F.col("line_idx") == 0).select("doc_id", "specific_count", only.alias("total_text"))
 
 
+@query("L07_lone_amount", f"""
+SELECT doc_id, CAST(CASE WHEN doc_id % 12 = 0 THEN 0 ELSE 1 END AS BIGINT) AS specific_count, CASE WHEN doc_id % 12 <> 0 THEN 10e0 END AS total,
+  CASE WHEN doc_id % 12 <> 0 THEN 'positional_fallback' END AS method FROM ({PAGE_SQL})""")
+def lone_amount(t):
+    """Pages cut down to the one line that holds a single amount and no total's label."""
+    region = layout.with_table_region(layout.group_lines(page_words(t).where("y0 = 140")))
+    candidates = layout.candidates_of(region)
+    counted = candidates.where("line_idx = 0").select("doc_id", "specific_count")
+    chosen = layout.document_fields(candidates).select("doc_id", F.col("total.value").alias("total"), F.col("total.method").alias("method"))
+    return counted.join(chosen, "doc_id")
+
+
 @query("L08_item_header_row", f"SELECT doc_id, CAST(header_row AS INT) AS header_row FROM ({PAGE_SQL})")
 def item_header_row(t):
     lines = layout.with_table_region(layout.group_lines(page_words(t)))
@@ -145,6 +157,19 @@ def extract_fields(t):
         "ntn", "subtotal", "tax_amount", "total", "amount_mentioned")
 
 
+@query("L13_known_vendors", f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR vendor_name IS NULL OR 2e0 * length(vendor) / (length(vendor) + length(vendor_name)) < 0.75 THEN vendor_name ELSE upper(vendor) END AS vendor_name,
+  total, transactional FROM ({FIELDS_SQL})""")
+def known_vendors(t):
+    """Three of four companies know every vendor under a spelling of their own. A printed name
+    takes it where the two are similar enough, counted over the letters they share."""
+    name = F.upper(F.concat(F.lit("Acme "), "c_mktsegment", F.lit(" Traders")))
+    known = t.customer.select("c_mktsegment").distinct().select(
+        F.explode(F.expr("array(0L, 1L, 2L)")).alias("company_id"), name.alias("vendor_name"))
+    pages = page_documents(t).withColumn("company_id", (F.col("doc_id") % 4).cast("long"))
+    return layout.extract_with_known_vendors(pages, page_words(t), known, AS_OF).select("doc_id", "vendor_name", "total", "transactional")
+
+
 @query("L13_confidence_and_routing")
 def confidence_and_routing(t):
     return layout.extract_fields(page_documents(t), page_words(t), AS_OF).select(

@@ -708,6 +708,21 @@ def page(t):
     return lists.page(lists.invoice_list(t.v_purchase), 40, 20).select("invoice_id", "created_at", "total")
 
 
+@query("T03_page_by_index", f"""
+SELECT invoice_id, {seconds('created_at')} AS created_at, total FROM v_purchase ORDER BY v_purchase.created_at DESC, invoice_id LIMIT 20 OFFSET 700""")
+def page_by_index(t):
+    index = lists.page_index(t.v_purchase)
+    return lists.page_by_index(t.v_purchase, index, "invoice_id", 700, 20).select("invoice_id", "created_at", "total")
+
+
+@query("T03_page_after", f"""
+SELECT invoice_id, {seconds('created_at')} AS created_at, total FROM v_purchase ORDER BY v_purchase.created_at DESC, invoice_id LIMIT 20 OFFSET 60""")
+def page_after(t):
+    """The fourth page, from the last row of the third."""
+    last = lists.page(lists.invoice_list(t.v_purchase), 59, 1).first()
+    return lists.page_after(t.v_purchase, "invoice_id", last["created_at"], last["invoice_id"], 20).select("invoice_id", "created_at", "total")
+
+
 ENTRIES = "type = 'purchase' AND status IN ('validated', 'sent_to_accounting')"
 
 

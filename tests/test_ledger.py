@@ -263,3 +263,21 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
     assert "PartitionFilters: [isnotnull(company_id" in plan and "EqualTo(status,validated)" in plan
     assert "ReadSchema: struct<status:string,total:double>" in plan
     assert one.count() == 3
+
+
+def test_a_deep_page_reads_its_own_days_only(spark, tmp_path):
+    rows = spark.range(20_000).select(F.col("id").alias("invoice_id"), F.when(F.col("id") < 19_900, F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        F.floor(F.col("id") / 100).cast("int"), (F.col("id") % 24).cast("int"))).alias("created_at"))
+    rows.repartitionByRange(8, "created_at").write.parquet(f"{tmp_path}/rows")
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    index = lists.page_index(stored)
+    whole = [r["invoice_id"] for r in stored.orderBy(F.desc("created_at"), "invoice_id").collect()]
+    for offset, limit in ((0, 20), (90, 40), (10_000, 20), (19_880, 40), (19_990, 20), (20_000, 20)):
+        page = [r["invoice_id"] for r in lists.page_by_index(stored, index, "invoice_id", offset, limit).collect()]
+        assert page == whole[offset:offset + limit], offset
+        assert lists.rows_of_page(stored, index, offset, limit)[0].count() <= 200
+    first, page = lists.page(stored.orderBy(F.desc("created_at"), "invoice_id"), 0, 7).collect(), []
+    while first:
+        page += [r["invoice_id"] for r in first]
+        first = lists.page_after(stored, "invoice_id", first[-1]["created_at"], first[-1]["invoice_id"], 2500).collect()
+    assert page == whole
