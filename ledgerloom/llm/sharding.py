@@ -174,6 +174,9 @@ def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
             gained = sum(flow.values())
         idle = idle + 1 if gained <= LEAST_GAIN * weight else 0
         turn += 1
+        seen = per = votes = wish = asks = moves = None
+        if turn % 2 == 0:
+            shared.release(state.sparkSession)
     return state.where("shard <> start").select("unit", "shard")
 
 
