@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import pytest
@@ -152,3 +153,13 @@ def test_route(spark):
                                   (0.9, False, True)], "s DOUBLE, c BOOLEAN, a BOOLEAN")
     assert [r[0] for r in rows.select(checks.route("s", "c", "a")).collect()] == [
         "auto_processed", "needs_review", "needs_review", "needs_review_high_priority", "needs_review_high_priority"]
+
+
+def test_phrases_found_are_those_whose_pattern_matches(spark):
+    words = ["rent", "car", "car wash", "wash", "k-electric", "electric & hardware", "hardware store", "papa john's", "7up", "gas"]
+    texts = ["car wash", "carwash", "a car, wash it", "electric & hardware store", "k-electric bill", "papa john's 7up", "7uppers rent", "", "gas gas gas",
+             "rental", "wash car wash car", "\u00e9rent rent\u00e9", "rent_a car-wash"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text STRING").select("text", classify.phrases_found(
+        F.col("text"), [(w, 0, True) for w in words]).alias("found"))
+    assert {r["text"]: {p["phrase"] for p in r["found"]} for r in frame.collect()} == {
+        t: {w for w in words if re.search(classify.word_pattern(w), t)} for t in texts}
