@@ -136,29 +136,27 @@ def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     than LEAST_GAIN of the linked weight."""
     sizes = {r["shard"]: r["n"] for r in units.groupBy("shard").agg(F.sum("weight").alias("n")).collect()}
     limit = slack * sum(sizes.values()) / shards
-    state = units.join(links.select("unit").distinct(), "unit", "left_semi").withColumn("start", F.col("shard"))
-    state = shared.stored(state, "units")
-    weight = state.agg(F.sum("weight")).first()[0] or 0
+    weight = units.join(links.select("unit").distinct(), "unit", "left_semi").agg(F.sum("weight")).first()[0] or 0
+    # one row per unit and link, with where the unit is: a round needs no other table
+    state = shared.stored(links.join(units, "unit").withColumn("start", F.col("shard")), "units")
     idle = turn = 0
     while idle < 2 and turn < rounds:
-        seen = links.join(state, "unit")
-        per = seen.groupBy("link", F.col("shard").alias("to")).agg(F.sum("weight").alias("w"))
+        per = state.groupBy("link").agg(*[F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).alias(f"near_{s}") for s in range(shards)])
+        half = F.pmod(F.xxhash64(F.lit(3), "unit"), F.lit(2)) == turn % 2
         again = F.xxhash64(F.lit(11), "link")  # both sides are shuffled, so a hot link can be split
-        votes = links.withColumn("again", again).join(per.withColumn("again", again), ["again", "link"]).groupBy("unit", "to").agg(
-            F.sum("w").alias("votes"), F.count("*").alias("times"))
-        votes = votes.join(state, "unit")
+        seen = state.where(half).withColumn("again", again).join(per.withColumn("again", again), ["again", "link"])
         # its own weight, once per link that it is counted in, is no neighbour
-        votes = votes.withColumn("votes", F.col("votes") - F.when(F.col("to") == F.col("shard"), F.col("weight") * F.col("times")).otherwise(0))
-        wish = votes.groupBy("unit", "weight", "shard").agg(
-            F.max(F.struct("votes", (F.col("to") == F.col("shard")).alias("stays"), (-F.col("to")).alias("low"))).alias("best"))
-        half = F.pmod(F.xxhash64(F.lit(3), "unit"), F.lit(2)) == turn % 2
-        asks = wish.where(half & ~F.col("best.stays") & (F.col("best.votes") > 0)).select("unit", "weight", "shard", (-F.col("best.low")).alias("to"))
-        asks = shared.stored(asks, "asks")
+        votes = seen.groupBy("unit", "weight", "shard").agg(*[
+            F.sum(F.col(f"near_{s}") - F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).alias(f"near_{s}") for s in range(shards)])
+        best = F.array_max(F.array(*[F.struct(F.col(f"near_{s}").alias("votes"), (F.col("shard") == s).alias("stays"), F.lit(-s).alias("low"))
+                                     for s in range(shards)]))
+        wish = votes.select("unit", "weight", "shard", best.alias("best")).where(~F.col("best.stays") & (F.col("best.votes") > 0))
+        asks = shared.stored(wish.select("unit", "weight", "shard", (-F.col("best.low")).alias("to")), "asks")
         wanted = {(r["shard"], r["to"]): r["n"] for r in asks.groupBy("shard", "to").agg(F.sum("weight").alias("n")).collect()}
         into = {j: sum(n for (_, k), n in wanted.items() if k == j) for _, j in wanted}
         share = {(i, j): min(1.0, (min(n, wanted.get((j, i), 0)) + max(limit - sizes.get(j, 0), 0) * n / into[j]) / n)
                  for (i, j), n in wanted.items()}
-        gained = 0
+        gained, done = 0, [asks]
         if any(share.values()):
             grant = F.create_map(*[x for (i, j), part in share.items() for x in (F.lit(i * shards + j), F.lit(part))])
             lot = F.pmod(F.xxhash64(F.lit(1000 + turn), "unit"), F.lit(1 << 20)) / float(1 << 20)
@@ -169,15 +167,16 @@ def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
                 sizes[i] -= n
                 sizes[j] = sizes.get(j, 0) + n
             if flow:
+                done.append(state)
                 state = shared.stored(state.join(moves.select("unit", F.col("to").alias("new")), "unit", "left").select(
-                    "unit", "weight", F.coalesce("new", "shard").cast("int").alias("shard"), "start"), "units")
+                    "unit", "link", "weight", F.coalesce("new", "shard").cast("int").alias("shard"), "start"), "units")
             gained = sum(flow.values())
         idle = idle + 1 if gained <= LEAST_GAIN * weight else 0
         turn += 1
-        seen = per = votes = wish = asks = moves = None
-        if turn % 2 == 0:
-            shared.release(state.sparkSession)
-    return state.where("shard <> start").select("unit", "shard")
+        shared.removed(done)  # nothing reads an earlier round any more
+        per = seen = votes = wish = asks = moves = done = None
+        shared.release(state.sparkSession)
+    return state.where("shard <> start").select("unit", "shard").distinct()
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str, ahead=None) -> DataFrame:

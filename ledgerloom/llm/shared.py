@@ -27,6 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def removed(tables: list[DataFrame]) -> None:
+    """The files of stored ``tables`` that no later step reads are deleted before the driver ends."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+        if path is not None:
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files of tables that nothing refers to any more are removed when the driver
     collects its garbage; an iterative job asks for that now and then."""
