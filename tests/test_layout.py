@@ -262,3 +262,15 @@ def test_fields_spread_over_pages(spark):
     row = by_doc(layout.document_fields(layout.line_candidates(first.unionByName(second))))["m"]
     assert (row["line_count"], row["total"]["value"], row["total"]["doubtful"]) == (6, 3.0, True)
     assert row["vendor"]["value"] == "Acme Corp" and row["date"]["value"] == date(2026, 8, 15)
+
+
+def test_pages_are_not_broadcast_and_lines_are_not_shuffled_again(spark):
+    """What a line learns of its document comes by page: a row per page must not go through the
+    driver, and the wide lines stay where they were folded."""
+    pages = {f"d{i}": TABLE for i in range(20)}
+    known = spark.createDataFrame([("d1", 0, 1)], "doc_id STRING, page INT, line_idx INT")
+    lines = layout.line_candidates(words(spark, pages), known)
+    assert [r["doc_id"] for r in lines.where("known").collect()] == ["d1"]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") == plan.count("SortMergeJoin")  # the pages' side of each join
