@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,41 +51,57 @@ def once_per_message(feed: DataFrame, delay: str = "30 days") -> DataFrame:
             .dropDuplicatesWithinWatermark(["account_id", "message_id"]))
 
 
-JOB_STATE = "seen_ms BIGINT, deadline_ms BIGINT"
+JOB_STATE = "job_id ARRAY<BIGINT>, seen_ms ARRAY<BIGINT>, deadline_ms ARRAY<BIGINT>"
 OPEN = ("queued", "running")
+#: Groups of jobs that share a state row: what a batch costs besides its rows.
+JOB_GROUPS = 256
 
 
-def stuck_jobs(events: DataFrame, hours: int = STUCK_HOURS, delay: str = "10 minutes") -> DataFrame:
+def stuck_jobs(events: DataFrame, hours: int = STUCK_HOURS, delay: str = "10 minutes", groups: int = JOB_GROUPS) -> DataFrame:
     """``(job_id, failed_at)`` of jobs that are still queued or running when event time has
     passed their start by more than ``hours``. ``events``: job_id, status, started_at, at (the
-    event's time). A job holds one timer; its newest event sets or stops it, and what is
-    kept of an ended job goes after the same time, so state is bounded by the jobs of the
-    last hours, not by all jobs ever."""
+    event's time). A job's newest event sets or stops its timer, and what is kept of an ended
+    job goes after the same time, so state is bounded by the jobs of the last hours, not by
+    all jobs ever. Jobs are dealt by hash to a fixed number of groups, each with one state row
+    and one timer, that of its earliest job: a call serves a group and not a single job."""
     span = hours * 3_600_000
-    millis = lambda stamp: stamp.value // 1_000_000
+
+    def millis(stamps: pd.Series) -> np.ndarray:
+        return stamps.to_numpy("datetime64[ns]").view("int64") // 1_000_000
+
+    def expiry(kept: pd.DataFrame) -> pd.Series:
+        return kept["deadline"].where(kept["deadline"] >= 0, kept["seen"] + span)
+
+    def arrived(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        found = [pd.DataFrame({"job": b["job_id"], "seen": millis(b["at"]), "ended": ~b["status"].isin(OPEN),
+                               "deadline": millis(b["started_at"]) + span}) for b in batches]
+        rows = pd.concat(found)
+        rows["deadline"] = rows["deadline"].where(~rows["ended"], -1)
+        return rows[rows["seen"] >= -1]
+
+    def last_of_job(rows: pd.DataFrame) -> pd.DataFrame:
+        """Each job's newest row; of equally new ones that which ends it, then the last."""
+        return rows.sort_values(["job", "seen", "ended"], kind="stable").drop_duplicates("job", keep="last")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        failed: list[int] = []
-        if state.hasTimedOut:
-            _, deadline = state.get
+        kept = pd.DataFrame(dict(zip(("job", "seen", "deadline"), state.get if state.exists else ([], [], []), strict=True)), dtype="int64")
+        now = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            kept["ended"] = kept["deadline"] < 0
+            kept = last_of_job(pd.concat([kept, arrived(batches)[kept.columns]])).drop(columns="ended")
+        passed = expiry(kept) < now
+        failed = kept[passed & (kept["deadline"] >= 0)]
+        kept = kept[~passed]
+        if len(kept):
+            state.update(tuple(kept[c].tolist() for c in ("job", "seen", "deadline")))
+            state.setTimeoutTimestamp(max(int(expiry(kept).min()), now + 1))
+        elif state.exists:
             state.remove()
-            failed = [deadline] if deadline >= 0 else []
-        else:
-            seen, deadline = state.get if state.exists else (-1, -1)
-            for batch in batches:
-                for status, started, at in zip(batch["status"], batch["started_at"], batch["at"], strict=True):
-                    if (millis(at), status not in OPEN) >= (seen, deadline < 0 <= seen):
-                        seen, deadline = millis(at), millis(started) + span if status in OPEN else -1
-            now = state.getCurrentWatermarkMs()
-            if 0 <= deadline < now:
-                failed = [deadline]
-                state.remove() if state.exists else None
-            else:
-                state.update((seen, deadline))
-                state.setTimeoutTimestamp(max(deadline if deadline >= 0 else seen + span, now + 1))
-        yield pd.DataFrame({"job_id": [key[0]] * len(failed), "failed_at": pd.to_datetime(failed, unit="ms")})
-
-    return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(
+        yield pd.DataFrame({"job_id": [None] * len(failed) if key[1] else failed["job"], "failed_at": pd.to_datetime(failed["deadline"], unit="ms")})
+
+    keys = F.pmod(F.xxhash64("job_id"), F.lit(groups)).alias("job_group"), F.col("job_id").isNull().alias("no_id")
+    dealt = events.select(*keys, F.coalesce("job_id", F.lit(0).cast("bigint")).alias("job_id"), "status", "started_at", "at")
+    return dealt.withWatermark("at", delay).groupBy("job_group", "no_id").applyInPandasWithState(
         step, "job_id BIGINT, failed_at TIMESTAMP", JOB_STATE, "append", "EventTimeTimeout")
 
 

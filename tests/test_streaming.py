@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import intake
@@ -175,6 +177,24 @@ def test_stuck_jobs_keep_bounded_state(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
 
 
+def test_many_jobs_share_a_state_row(spark, tmp_path):
+    """State rows, and so calls into Python, are bounded by the groups, not by the open jobs; ends, ties and missing ids count as before."""
+    schema = "job_id BIGINT, status STRING, started_at TIMESTAMP, at TIMESTAMP"
+    stamp = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    first = [(i, "running", stamp(0), stamp(0)) for i in range(500)] + [(None, "queued", stamp(0), stamp(0))]
+    second = ([(i, "completed", stamp(0), stamp(0, 30)) for i in range(250)] + [(250, "completed", stamp(0), stamp(0)), (251, None, stamp(0), stamp(0, 5))]
+              + [(252, "running", stamp(0, 55), stamp(0, 55)), (900, "running", stamp(1), stamp(1))])
+    for i, rows in enumerate([first, second, [(901, "failed", stamp(9), stamp(9))], [(902, "failed", stamp(20), stamp(20))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = jobs.stuck_jobs(stream, groups=4).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
+    query.awaitTermination()
+    failed = {r["job_id"]: str(r["failed_at"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert failed == {i: "2024-01-01 01:00:00" for i in [*range(253, 500), None]} | {252: "2024-01-01 01:55:00", 900: "2024-01-01 02:00:00"}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 5
+
+
 def test_late_documents_count_and_no_state_is_kept(spark, tables, tmp_path):
     tables.v_sales.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(tables.v_sales.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
