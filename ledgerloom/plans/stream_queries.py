@@ -93,9 +93,11 @@ SELECT account_id, message_id, attachment_index, filename, {seconds('received_at
 def dedupe_in_run(t):
     """A feed that delivers every message again in later files, read as one stream."""
     base = jobs.scratch(t.spark, "redelivery")
-    _write_feed(t, f"{base}/in/first", 3)
-    _write_feed(t, f"{base}/in/second", 2)
-    feed = jobs.read_feed(t.spark, f"{base}/in/*", files_per_batch=2)
+    # A file for every part the table is read in, so that no task writes or reads a fixed share of all messages.
+    parts = t.v_attachment.rdd.getNumPartitions()
+    _write_feed(t, f"{base}/in/first", 3 * parts)
+    _write_feed(t, f"{base}/in/second", 2 * parts)
+    feed = jobs.read_feed(t.spark, f"{base}/in/*", files_per_batch=2 * parts)
     rows = documents.feed_attachments(jobs.once_per_message(feed, "90 days"))
     rows.writeStream.format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
