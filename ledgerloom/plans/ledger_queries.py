@@ -16,7 +16,7 @@ from ledgerloom.plans import reports
 from ledgerloom.plans.catalog import BUCKET, CASHBOOK, SCANNED, cents, count_if, label, query, seconds
 from ledgerloom.session import shared_folder
 from ledgerloom.sources.fixtures import AS_OF
-from ledgerloom.sources.tables import as_entity, read_entity, write_entity
+from ledgerloom.sources.tables import read_entity, write_entity
 
 START, END = "2001-07-01", "2001-07-31"
 PERIOD = f"BETWEEN DATE '{START}' AND DATE '{END}'"
@@ -57,7 +57,7 @@ def entity_store(t) -> str:
     """The company-owned entities written as tables partitioned by company."""
     root = f"{shared_folder(t.spark)}/entities-{uuid4().hex}"
     for entity, view in STORED.items():
-        write_entity(as_entity(getattr(t, view), entity), root, entity)
+        write_entity(getattr(t, view), root, entity, declared=False)
     return root
 
 

@@ -79,11 +79,14 @@ def as_entity(df: DataFrame, entity: str) -> DataFrame:
                        for f in T._parse_datatype_string(schemas.ENTITIES[entity]).fields])
 
 
-def write_entity(df: DataFrame, root: str, entity: str, mode: str = "append") -> None:
+def write_entity(df: DataFrame, root: str, entity: str, mode: str = "append", declared: bool = True) -> None:
     """Rows of the same company may be a third of the table, so files are split
-    by size (AQE's rebalance) and not gathered into one task per company."""
-    (df.hint("rebalance", "company_id").write.mode(mode).partitionBy("company_id")
-       .parquet(f"{root.rstrip('/')}/{entity}"))
+    by size (AQE's rebalance) and not gathered into one task per company. Without
+    ``declared`` columns they get those after they are dealt: what is null in every
+    row does not travel."""
+    rows = df.hint("rebalance", "company_id")
+    ((rows if declared else as_entity(rows, entity)).write.mode(mode).option("compression", "zstd").partitionBy("company_id")
+     .parquet(f"{root.rstrip('/')}/{entity}"))
 
 
 def for_company(df: DataFrame, company_id) -> DataFrame:
