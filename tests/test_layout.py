@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import layout
+from ledgerloom.sources import schemas
+from ledgerloom.sources.page_words import page_words
+from ledgerloom.sources.tables import Tables
 from tests.helpers import by_doc, documents, words
 
 AS_OF = "2026-09-01"
@@ -274,3 +277,18 @@ def test_pages_are_not_broadcast_and_lines_are_not_shuffled_again(spark):
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert plan.count("Exchange hashpartitioning") == plan.count("SortMergeJoin")  # the pages' side of each join
+
+
+def test_pages_are_rendered_without_a_broadcast(spark, tmp_path):
+    """A customer's or an order's row stays off the driver, however small the file it is read from."""
+    rows = {"customer": [(1, "Ann", 0, 0.0, "BUILDING"), (2, "Bob", 0, 0.0, "MACHINERY")],
+            "orders": [(7, 1, "O", 30.0, datetime(2026, 8, 15), "1"), (8, 2, "O", 9.0, datetime(2026, 8, 16), "1"),
+                       (9, None, "O", 9.0, datetime(2026, 8, 16), "1")],
+            "lineitem": [(7, 5, 1, 1, 2.0, 30.0, 0.0, 0.0, "N", "O", datetime(2026, 8, 17))]}
+    for name, values in rows.items():
+        spark.createDataFrame(values, schemas.RAW[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = page_words(Tables(spark, str(tmp_path)))
+    bodies = {(r["doc_id"], r["text"]) for r in got.collect()}
+    assert {(7, "Ann"), (7, "SKU-5"), (7, "31.50"), (8, "Bob"), (8, "9.00")} <= bodies and not {d for d, _ in bodies} - {7, 8}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
