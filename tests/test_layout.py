@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import layout
+from ledgerloom.operators.build import build_invoices
 from ledgerloom.sources import schemas
 from ledgerloom.sources.page_words import page_words
 from ledgerloom.sources.tables import Tables
@@ -292,3 +293,15 @@ def test_pages_are_rendered_without_a_broadcast(spark, tmp_path):
     assert {(7, "Ann"), (7, "SKU-5"), (7, "31.50"), (8, "Bob"), (8, "9.00")} <= bodies and not {d for d, _ in bodies} - {7, 8}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_invoices_are_built_without_a_broadcast(spark):
+    """Documents, file names and item texts have a row per document each: all are merged."""
+    pages = {"t": TABLE, "u": [(50, 50, "Express Mart"), (90, 50, "receipt"), (200, 50, "Total 270.00")]}
+    region = layout.with_table_region(layout.group_lines(words(spark, pages)))
+    fields = layout.assemble_documents(documents(spark, pages), layout.document_fields(layout.candidates_of(region)), AS_OF)
+    files = spark.sql("SELECT * FROM VALUES ('t', 't.pdf'), ('u', 'u.pdf') AS f(doc_id, filename)")
+    built = build_invoices(fields, layout.items_of(region), files).select("filename", "total")
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert {tuple(r) for r in built.collect()} == {("t.pdf", 171454.0), ("u.pdf", 270.0)}
