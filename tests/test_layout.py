@@ -77,6 +77,30 @@ def test_fold_does_not_depend_on_batches(batch_rows):
     assert _fold(BOXES, batch_rows) == _fold(BOXES, 1000)
 
 
+def test_words_travel_packed_and_come_back_sorted():
+    """Parts come back one after the other, each sorted by place with nulls first, at a fraction of the bytes."""
+    n = 6000
+    rows = [(i % 40 // 2 % 2, f"d{i % 40 // 2}" if i % 40 > 1 else None, i % 3, i, f"w{i % 7}", None if i % 50 == 0 else float(-i % 600),
+             float(i * 7 % 800)) for i in range(n)]
+    names = ["part", "doc_id", "page", "word_idx", "text", "x0", "y0"]
+    table = pa.table({k: [r[j] for r in rows] for j, k in enumerate(names)}, pa.schema([
+        ("part", pa.int64()), ("doc_id", pa.string()), ("page", pa.int32()), ("word_idx", pa.int32()), ("text", pa.string()),
+        ("x0", pa.float64()), ("y0", pa.float64())]))
+    sent = [r for b in layout.pack_words(iter(table.to_batches(max_chunksize=700))) for r in b.to_pylist()]
+    assert [r["part"] for r in sent] == [0, 1] and sum(len(r["words"]) for r in sent) < table.nbytes / 3
+    again = [*sent, *(r for b in layout.pack_words(iter(table.to_batches())) for r in b.to_pylist())]
+    packed = pa.RecordBatch.from_pylist(sorted(again, key=lambda r: r["part"]), pa.schema([("part", pa.int64()), ("words", pa.binary())]))
+    unpack = layout.unpack_words(pa.schema([f for f in table.schema if f.name != "part"]))
+    got = [tuple(r.values()) for b in unpack(iter([packed.slice(0, 1), packed.slice(1)])) for r in b.to_pylist()]
+    key = lambda r: (r[0] or "", r[1], r[5], r[4] is not None, r[4] or 0.0, r[2])
+    assert sorted(got, key=key) == sorted([r[1:] for r in rows] * 2, key=key)
+    per_page = {}
+    for r in got:
+        per_page.setdefault(r[:2], []).append(key(r))
+    assert all(v == sorted(v) for v in per_page.values())
+    assert len([1 for a, b in zip(got, got[1:]) if a[:2] != b[:2]]) == len(per_page) - 1  # a page is in one piece
+
+
 def test_a_document_of_a_million_words_is_spread_over_tasks(spark):
     """1,000 pages of 50 lines of 20 words: no task gets more than a few hundredths of them."""
     words_ = spark.range(1_000_000).select(
