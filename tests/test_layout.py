@@ -329,3 +329,53 @@ def test_invoices_are_built_without_a_broadcast(spark):
     plan = built._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
     assert {tuple(r) for r in built.collect()} == {("t.pdf", 171454.0), ("u.pdf", 270.0)}
+
+
+def _stored_plans(monkeypatch, build) -> dict[str, str]:
+    """The plans of what ``build`` stores, by name."""
+    plans, store = {}, layout.stored
+    monkeypatch.setattr(layout, "stored", lambda df, name: (
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), store(df, name))[1])
+    build()
+    return plans
+
+
+def test_vendor_names_are_read_once(spark, monkeypatch):
+    """Candidates are worked out for the names once; the matching reads them from their table."""
+    pages = {"r": [(50, 50, "Expres Mart"), (90, 50, "receipt"), (200, 50, "Total 270.00")]}
+    docs = documents(spark, pages).withColumn("company_id", F.lit(1))
+    known = spark.createDataFrame([(1, "Express Mart")], "company_id INT, vendor_name STRING")
+    plans = _stored_plans(monkeypatch, lambda: layout.extract_with_known_vendors(docs, words(spark, pages), known, AS_OF))
+    assert {"named", "fields"} <= set(plans)
+    assert plans["named"].count("/lines-") + plans["named"].count(".lines_") >= 1
+    reads = [p for p in plans["fields"].split("\n") if "FileScan" in p and ".lines_" in p]
+    assert len(reads) == 1
+
+
+def test_a_line_is_judged_once(spark):
+    """A filter on what was found must not have it found again below a join."""
+    pages = {"d": [(20, 50, "Acme Corp"), (60, 50, "Date: 15/08/2026"), (80, 50, "Phone:"), (80, 200, "555")] + TABLE}
+    candidates = layout.line_candidates(words(spark, pages))
+    text_ = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    shape = layout.text.DATE_SUBSTRING_PATTERNS[0]
+    once, chosen = (text_(df).count(shape) for df in (candidates.select("doc_id", "c_date"), layout.choose(candidates, "date")))
+    assert once and once == chosen
+    region = layout.with_table_region(layout.group_lines(words(spark, pages)))
+    pattern = "^[^\\d]*[A-Za-z][^\\d]*$"
+    assert text_(region.select("cells")).count(pattern) == text_(layout.items_of(region)).count(pattern) > 0
+
+
+def test_bands_and_amounts_of_a_document_are_not_worked_out_on_every_line(spark, monkeypatch):
+    plans = _stored_plans(monkeypatch, lambda: layout.with_label_values(layout.with_table_region(
+        layout.group_lines(words(spark, {"t": TABLE})))))
+    assert "array_distinct" in plans["headers"] and "array_distinct" not in plans["boundaries"] + plans["labels"]
+
+
+def test_labels_and_cells_that_only_look_alike(spark):
+    """A label inside a longer word, one cell with a colon, and values only below the last cell."""
+    pages = {"x": [(20, 50, "Subtotals 5.00"), (40, 50, "Phone:"), (60, 50, "555"), (80, 50, "NAME"), (80, 300, "CODE:"),
+                   (100, 50, "abc"), (100, 302, "77"), (120, 50, "Sub Total: 9.00")]}
+    lines = layout.with_label_values(layout.with_table_region(layout.group_lines(words(spark, pages)))).orderBy("line_idx").collect()
+    assert [None if r["v_subtotal"] is None else r["v_subtotal"]["text"] for r in lines] == [None] * 5 + ["9.00"]
+    assert [[(e["key"], e["value"], e["below"]) for e in r["discovered"]] for r in lines] == [
+        [], [], [], [("code", "77", True)], [], []]
