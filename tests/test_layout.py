@@ -86,10 +86,10 @@ def test_words_travel_packed_and_come_back_sorted():
     table = pa.table({k: [r[j] for r in rows] for j, k in enumerate(names)}, pa.schema([
         ("part", pa.int64()), ("doc_id", pa.string()), ("page", pa.int32()), ("word_idx", pa.int32()), ("text", pa.string()),
         ("x0", pa.float64()), ("y0", pa.float64())]))
-    sent = [r for b in layout.pack_words(iter(table.to_batches(max_chunksize=700))) for r in b.to_pylist()]
-    assert [r["part"] for r in sent] == [0, 1] and sum(len(r["words"]) for r in sent) < table.nbytes / 3
-    again = [*sent, *(r for b in layout.pack_words(iter(table.to_batches())) for r in b.to_pylist())]
-    packed = pa.RecordBatch.from_pylist(sorted(again, key=lambda r: r["part"]), pa.schema([("part", pa.int64()), ("words", pa.binary())]))
+    sent = [r for b in layout.pack_rows(iter(table.to_batches(max_chunksize=700))) for r in b.to_pylist()]
+    assert [r["part"] for r in sent] == [0, 1] and sum(len(r["rows"]) for r in sent) < table.nbytes / 3
+    again = [*sent, *(r for b in layout.pack_rows(iter(table.to_batches())) for r in b.to_pylist())]
+    packed = pa.RecordBatch.from_pylist(sorted(again, key=lambda r: r["part"]), pa.schema([("part", pa.int64()), ("rows", pa.binary())]))
     unpack = layout.unpack_words(pa.schema([f for f in table.schema if f.name != "part"]))
     got = [tuple(r.values()) for b in unpack(iter([packed.slice(0, 1), packed.slice(1)])) for r in b.to_pylist()]
     key = lambda r: (r[0] or "", r[1], r[5], r[4] is not None, r[4] or 0.0, r[2])

@@ -11,6 +11,7 @@ from ledgerloom.functions.predicates import day
 from ledgerloom.operators import aggregates as agg
 from ledgerloom.operators import changes, evaluation, intake, joins, lists, trends
 from ledgerloom.plans import reports
+from ledgerloom.sources.tables import dealt_by_company
 from tests.helpers import rows_of
 
 INVOICE = ("invoice_id STRING, company_id INT, type STRING, status STRING, transaction_status STRING, category STRING, "
@@ -281,3 +282,16 @@ def test_a_deep_page_reads_its_own_days_only(spark, tmp_path):
         page += [r["invoice_id"] for r in first]
         first = lists.page_after(stored, "invoice_id", first[-1]["created_at"], first[-1]["invoice_id"], 2500).collect()
     assert page == whole
+
+
+def test_rows_dealt_by_company_travel_packed(spark, tmp_path):
+    """A store's rows come back as they were, nulls, times and amounts too, and a row is not a shuffled row."""
+    rows = spark.range(3000).selectExpr(
+        "IF(id % 7 = 0, NULL, CAST(id % 3 AS STRING)) AS company_id", "id", "IF(id % 5 = 0, NULL, id * 1.5D) AS amount",
+        "CAST(id AS DECIMAL(12, 2)) AS price", "IF(id % 4 = 0, NULL, DATE '2026-08-01' + CAST(id % 90 AS INT)) AS day",
+        "TIMESTAMP '2026-08-01 10:00:00' + MAKE_INTERVAL(0, 0, 0, 0, 0, id) AS at", "id % 2 = 0 AS even", "CONCAT('n', id % 11) AS name")
+    dealt = dealt_by_company(rows)
+    assert dealt.schema == rows.schema or [f.dataType for f in dealt.schema] == [f.dataType for f in rows.schema]
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, rows.collect()))
+    shuffles = [p for p in dealt._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Rebalance" in p or "MapInArrow" in p]
+    assert ["Rebalance" in p for p in shuffles] == [False, True, False]  # packed, dealt, unpacked
